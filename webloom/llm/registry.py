@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, language, mixing, packing, pairwise, warc, weak
+from . import credentials, graphs, language, mixing, near, packing, pairwise, warc, weak
 from .shared import id_remainder, read, shared_dir, stored
 
 
+def op1_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    queries = graphs.usable(vectors, "vec_id", "embedding").filter("vec_id % 100 = 0")
+    return graphs.search(graphs.index(vectors), queries, beam=96)
+
+
 def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = pairwise.train(docs.filter(id_remainder("doc_id", 5) != 0), labels)
@@ -19,6 +25,10 @@ def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_probminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = stored(weak.base(read(spark, sf_dir, "documents")), "rules")
     judged = weak.judge(features, weak.rules())
@@ -50,7 +60,7 @@ def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_pairwise_quality, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials]
+    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials]
     return {f.__name__: f for f in own}
 
 

@@ -2,39 +2,77 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 #: White space on which the tokenizer never joins: its pre-tokenizer splits there too.
 _chunks = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
+#: Latin text, on which NFC is the identity and lower case is the same everywhere, and which holds no special token.
+_other = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ž]|<\\|").search
+
+
+def _class(kind: str) -> str:
+    return "".join(re.escape(chr(c)) for c in range(0x180) if unicodedata.category(chr(c))[0] == kind)
+
+
+#: The tokenizer's pre-tokenizer, over Latin letters (L) and numbers (N).
+_runs = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
 class Subwords:
-    """Encodes chunk by chunk; ids of short chunks are kept, at most `most` of them, so memory is bounded."""
+    """Encodes piece by piece; ids of short pieces are kept, at most `most` of them, so memory is bounded.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Latin texts are split here as the tokenizer's own rules do, so that a word is one piece whatever stands beside it, and
+    new words go straight to its merges. All other texts go through the whole tokenizer, by white space.
+    """
+
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
         self.most = most
         self.kept: dict[str, bytes] = {}
+        self.kept_chunks: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+        parts = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
+        splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.latin = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
-    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}
+    def _run(self, run: str) -> bytes:
+        text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        chunks = _chunks(text or "")
-        ids = list(map(self.kept.get, chunks))
+    def _all(self, pieces: list[str], kept: dict[str, bytes], learn) -> bytes:
+        ids = list(map(kept.get, pieces))
         if None in ids:
-            missing = list({c for c, i in zip(chunks, ids) if i is None})
-            new = self._learn(missing)
-            ids = [i if i is not None else new[c] for c, i in zip(chunks, ids)]
-            if len(self.kept) + len(new) > self.most:
-                self.kept.clear()
-            self.kept.update((c, i) for c, i in new.items() if len(c) <= 48)
+            new = learn(list({p for p, i in zip(pieces, ids) if i is None}))
+            ids = [i if i is not None else new[p] for p, i in zip(pieces, ids)]
+            if len(kept) + len(new) > self.most:
+                kept.clear()
+            kept.update((p, i) for p, i in new.items() if len(p) <= 48)
         return b"".join(ids)
+
+    def encode(self, text: str | None) -> bytes:
+        text = text or ""
+        if self.latin and not _other(text):
+            return self._all(_runs(text.lower()), self.kept, lambda new: {p: self._run(p) for p in new})
+        return self._all(_chunks(text), self.kept_chunks, self._chunks)
+
+    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
+        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}

@@ -84,67 +84,76 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         repeated_words(F.col("w")).alias("n_repeat_words"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         (F.length("text") - F.length(F.translate("text", "|{}[]=_\\~^", ""))).cast("long").alias("n_marks"),
+        F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long").alias("n_letters"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.d").alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), F.col("lines.n").alias("n_lines"), "n_distinct", "n_marks")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.d").alias("n_dup_lines"), "n_repeat_words", failed.alias("base_failed"), F.col("lines.n").alias("n_lines"), "n_distinct", "n_marks", "n_letters")
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, 0).when(good, 1)
+def _vote(bad: Column, good: Column | None = None) -> Column:
+    vote = F.when(bad, 0)
+    return vote if good is None else vote.when(good, 1)
 
 
 def rules() -> dict[str, Column]:
-    """Votes over the columns of base(). Between its two bounds a rule abstains."""
+    """Votes over the columns of base(). Outside its bounds a rule abstains; most rules only ever vote against."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     lines = F.greatest(F.col("n_lines"), F.lit(1))
-    symbols, length, dups, repeats, distinct, marks = F.col("n_symbols") / n, chars / n, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n, F.col("n_distinct") / n, F.col("n_marks") / n
+    symbols, length, dups, repeats, distinct, marks, letters = F.col("n_symbols") / n, chars / n, F.col("n_dup_lines") / lines, F.col("n_repeat_words") / n, F.col("n_distinct") / n, F.col("n_marks") / n, F.col("n_letters") / chars
     return {
-        "symbols": _vote(symbols < 0.02, symbols > 0.1),
-        "marks": _vote(marks < 0.02, marks > 0.1),
-        "word_length": _vote(length.between(3, 9), (length < 2) | (length > 14)),
-        "dup_lines": _vote(dups < 0.1, dups > 0.3),
-        "repeats": _vote(repeats < 0.15, repeats > 0.35),
-        "distinct": _vote(distinct > 0.25, distinct < 0.1),
-        "enough": _vote(F.col("n_words") >= 50, F.col("n_words") < 20),
+        "symbols": _vote(symbols > 0.1, symbols < 0.02),
+        "letters": _vote(letters < 0.8, letters > 0.94),
+        "marks": _vote(marks > 0.1),
+        "word_length": _vote((length < 2) | (length > 14)),
+        "dup_lines": _vote((dups > 0.3) & (F.col("n_dup_lines") >= 3)),
+        "repeats": _vote(repeats > 0.35),
+        "distinct": _vote(distinct < 0.1),
+        "enough": _vote(F.col("n_words") < 20, F.col("n_words") >= 100),
     }
 
 
-def expect(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 100) -> tuple[float, list[tuple[float, float]], dict[tuple, float]]:
-    """(share of good, (P(votes good | good), P(votes bad | bad)) of each rule, posterior of each pattern) by expectation-maximisation.
+#: What each rule is taken to do before anything is seen, in documents: votes good, votes bad, abstains.
+_GOOD, _BAD = (6.0, 0.3, 3.7), (1.5, 6.0, 2.5)
 
-    Starts where rules are right 8 times of 10; a pattern of abstentions alone has the prior as its posterior. Counts carry a weak
-    prior of the start, so that a rule that votes one way only doesn't become certain.
+
+def expect(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[tuple, tuple]], dict[tuple, float]]:
+    """(share of good, each rule's outcome probabilities (good, bad, abstains) given a good and a bad document, posterior of each pattern).
+
+    Expectation-maximisation over patterns and their counts; abstaining is an outcome like a vote, so a vote that good documents
+    hardly ever get weighs much. The starting beliefs stay as pseudo-counts. A rule's vote against is never taken to be
+    likelier for good documents than for bad ones, nor the reverse, lest the sides change places.
     """
     k = len(patterns[0][0]) if patterns else 0
-    prior, accuracy = 0.7, [(0.8, 0.8)] * k
+    prior = 0.8
+    table = [tuple(tuple(x / 10 for x in side) for side in (_GOOD, _BAD))] * k
+    which = lambda v: 2 if v is None else 1 - v
 
     def posterior(votes: tuple) -> float:
         g, b = math.log(prior), math.log(1 - prior)
-        for v, (right_good, right_bad) in zip(votes, accuracy):
-            if v is not None:
-                g += math.log(right_good if v else 1 - right_good)
-                b += math.log(1 - right_bad if v else right_bad)
-        return 1 / (1 + math.exp(min(700.0, b - g)))
+        for v, (good, bad) in zip(votes, table):
+            g += math.log(good[which(v)])
+            b += math.log(bad[which(v)])
+        return 1 / (1 + math.exp(max(-700.0, min(700.0, b - g))))
 
     for _ in range(rounds):
         post = {v: posterior(v) for v, _ in patterns}
         total = sum(n for _, n in patterns)
-        prior_new = (sum(n * post[v] for v, n in patterns) + 7) / (total + 10) if total else prior
+        share = (sum(n * post[v] for v, n in patterns) + 8) / (total + 10)
         new = []
         for r in range(k):
-            gg = gn = bb = bn = 0.0
+            good, bad = list(_GOOD), list(_BAD)
             for v, n in patterns:
-                if v[r] is not None:
-                    gn, bn = gn + n * post[v], bn + n * (1 - post[v])
-                    gg, bb = gg + n * post[v] * v[r], bb + n * (1 - post[v]) * (1 - v[r])
-            # a rule that is worse than chance would turn the labels round
-            new.append(tuple(min(0.999, max(0.501, (right + 8) / (all_ + 10))) for right, all_ in ((gg, gn), (bb, bn))))
-        moved = max([abs(prior_new - prior), *(abs(x - y) for p, q in zip(new, accuracy) for x, y in zip(p, q))])
-        prior, accuracy = min(0.999, max(0.001, prior_new)), new
-        if moved < 1e-7:
+                good[which(v[r])] += n * post[v]
+                bad[which(v[r])] += n * (1 - post[v])
+            good, bad = [x / sum(good) for x in good], [x / sum(bad) for x in bad]
+            good[1], bad[0] = min(good[1], bad[1]), min(bad[0], good[0])
+            new.append((tuple(good), tuple(bad)))
+        moved = max([abs(share - prior), *(abs(x - y) for p, q in zip(new, table) for one, two in zip(p, q) for x, y in zip(one, two))])
+        prior, table = min(0.999, max(0.001, share)), new
+        if moved < 1e-9:
             break
-    return prior, accuracy, {v: posterior(v) for v, _ in patterns}
+    return prior, table, {v: posterior(v) for v, _ in patterns}
 
 
 def judge(features: DataFrame, votes: dict[str, Column], threshold: float = 0.5) -> DataFrame:
