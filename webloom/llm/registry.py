@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, graphs, language, mixing, near, packing, pairwise, warc, weak
+from . import attention, credentials, graphs, language, mixing, near, packing, pairwise, warc, weak
 from .shared import id_remainder, read, shared_dir, stored
 
 
@@ -59,8 +59,14 @@ def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(number, ("assign", "access", "hex")), F.sha2(credentials.written(F.col("base")), 256).alias("base_sha256"), credentials.written(F.concat("base", "more")).alias("spans"))
 
 
+def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", (id_remainder("doc_id", 7) != 2).alias("learned"))
+    scored = attention.score(docs, "learned", public_tokenizers.path("word_bpe_49k.json"))
+    return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials]
+    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials, op10_attention]
     return {f.__name__: f for f in own}
 
 
