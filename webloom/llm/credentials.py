@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, whole
 
 #: Fixed values of the contract: kinds in order, pattern, group that is measured, least length.
 BASE = (
@@ -103,13 +103,15 @@ def _with_links(scanned: DataFrame, reach: int) -> DataFrame:
     return plain.unionByName(held)
 
 
-def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
-    """docs with every reported span replaced by mark; overlapping spans by one. Other texts stay as they are."""
-    scanned = scan(docs.select(F.struct(*docs.columns).alias("row"), id_col, text_col), id_col, text_col, keep=["row"])
+def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", reach: int = 200) -> DataFrame:
+    """docs with every reported span replaced by mark; overlapping spans by one. The length column, if there is one, follows. Other rows stay as they are."""
+    scanned = scan(docs.select(whole(docs), id_col, text_col), id_col, text_col, keep=["row"])
     rows = _with_links(stored(scanned, "secrets"), reach)
     t = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out")))
     clean = F.aggregate(F.sort_array(F.concat("base", "more")), start, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
-    text = F.when(F.size("base") + F.size("more") > 0, clean).otherwise(F.col(f"row.{text_col}"))
-    return rows.withColumn("clean", text).select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = rows.withColumn("clean", F.when(F.size("base") + F.size("more") > 0, clean))
+    kind = dict(docs.dtypes)
+    new = {text_col: F.col("clean"), length_col: F.length("clean").cast(kind.get(length_col, "long"))}
+    return rows.select(*(F.when(F.col("clean").isNotNull(), new[c]).otherwise(F.col(f"row.`{c}`")).alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngrams import Trigrams
+from .shared import whole
 
 UNKNOWN = "und"
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
@@ -92,9 +94,10 @@ def fit(train: DataFrame, buckets: int = 1 << 15) -> Mixture:
     return Mixture([tuple(r) for r in count(train, buckets).collect()], buckets)
 
 
-def predict(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs (doc_id, held_out, text) to PREDICTION; languages: name:share, largest first."""
+def predict(docs: DataFrame, model: Mixture, keep: list[str] = ()) -> DataFrame:
+    """docs (doc_id, held_out, text) to PREDICTION and what keep names; languages: name:share, largest first."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers
+    names = [x.split()[0] for x in PREDICTION.split(", ")]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -109,6 +112,18 @@ def predict(docs: DataFrame, model: Mixture) -> DataFrame:
                 ranked = sorted(shares.items(), key=lambda x: (-x[1], x[0])) or [(UNKNOWN, 0.0)]
                 found.append((*ranked[0], ",".join(f"{k}:{v:.4f}" for k, v in ranked) if shares else ""))
             pred, score, langs = zip(*found) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(langs, pa.string())], [x.split()[0] for x in PREDICTION.split(", ")])
+            own = [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(langs, pa.string())]
+            yield pa.RecordBatch.from_arrays(own + [batch.column(c) for c in keep], names + list(keep))
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(task, PREDICTION)
+    rows = docs.select("doc_id", "held_out", "text", *keep)
+    schema = T._parse_datatype_string(PREDICTION)
+    for c in keep:
+        schema = schema.add(rows.schema[c])
+    return rows.mapInArrow(task, schema)
+
+
+def identified(docs: DataFrame, model: Mixture) -> DataFrame:
+    """The rows of docs (doc_id, text, lang and others) whose language the model tells; a null lang becomes the prediction."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("held_out"), "text", whole(docs))
+    told = predict(rows, model, keep=["row"]).filter(F.col("lang_pred") != UNKNOWN)
+    return told.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

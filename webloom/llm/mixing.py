@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD, stored
+from .shared import WORD, stored, whole
 
 NULL = "(null)"
 SIDES = ("source", "lang", "topic")
@@ -90,6 +90,6 @@ def mix(docs: DataFrame, seed: int = 11, topic: Column | None = None, **fitting)
 
 def sample(docs: DataFrame, seed: int = 11, topic: Column | None = None, **fitting) -> DataFrame:
     """The rows of docs that stay, with their own columns."""
-    rows = measured(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "source", "lang"), topic=topic, keep=["row"])
+    rows = measured(docs.select(whole(docs), "doc_id", "text", "source", "lang"), topic=topic, keep=["row"])
     fitted = fit(measured(docs, topic=topic), **fitting)
     return rows.join(fitted, list(SIDES)).filter(uniform("doc_id", seed) < F.col("probability")).select("row.*")

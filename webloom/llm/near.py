@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import stored, whole
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -229,7 +229,7 @@ def representatives(docs: DataFrame, **settings) -> DataFrame:
     chosen = stored(chosen, "near-kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("i"), text_key(text).alias("k"), worded.alias("worded"))
+    rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("i"), text_key(text).alias("k"), worded.alias("worded"))
     kept = rows.filter("worded").join(chosen, (F.col("k") == F.col("key")) & F.col("i").eqNullSafe(F.col("class_id")))
     if not chosen.filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["class_id"])

@@ -39,3 +39,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def id_remainder(col: str, modulus: int) -> Column:
     """crc32(id as text) mod modulus; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % F.lit(modulus)
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of df as one struct named row, so that other columns beside it can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
