@@ -68,8 +68,9 @@ def test_classes_are_components(spark):
                 a, b = find(i), find(j)
                 parent[max(a, b)] = min(a, b)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
-    got = {x.doc_id: x.class_id for x in near.classes(docs).collect()}
-    assert got == {i: find(i) for i in range(len(texts))}
+    for settings in ({}, {"large": 1, "rare": 3}):
+        got = {x.doc_id: x.class_id for x in near.classes(docs, **settings).collect()}
+        assert got == {i: find(i) for i in range(len(texts))}
 
 
 def test_odd_rows(spark):

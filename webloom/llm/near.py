@@ -6,9 +6,13 @@ texts agree in a register with the probability Jaccard similarity of their weigh
 next arrival is later than every register's. Registers are banded; texts that share a band are candidates.
 
 Equal texts are one vertex, keyed by a hash, before anything is paired. In a bucket each text is first compared with one leader
-only (the least key), and what is linked so far falls into components. Texts of a bucket that are then still outside its leader's
-component are compared with every text there of another component; hence any two similar texts that share a bucket end in one class,
-without all pairs of a group. Links need an exact probability Jaccard of at least the threshold.
+only, the text that shares most buckets with others, and what is linked so far falls into components. Texts of a bucket that are
+then still outside its leader's component are compared with every text there of another component that can be similar, so any two
+similar texts that share a bucket end in one class, without all pairs of a group. In large buckets, where texts of one
+origin with many edits abound, a bound decides who can be: a shingle that at most `rare` texts have brings those
+together by itself, and texts a, b that share no such shingle have a Jaccard similarity of at most
+min(|a| - r(a), |b| - r(b)) / max(|a| + r(b), |b| + r(a)), where r counts a text's rare shingles. Links need an exact
+probability Jaccard of at least the threshold.
 
 Texts that are null or have no word are in classes of their own, one a row. The class is the smallest doc_id in it (null only
 if all its ids are). Repeated rows share a class. An empty table gives no rows. Other columns, whatever their names, are not read.
@@ -143,34 +147,38 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(task, "doc_id long, key binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs (a, b) of keys, those that are similar; stored. Texts are read of the vertices that pairs name only, one row each."""
+def shingled(vertices: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, h, w, plain) of vertices (key, rep), one row each, stored; plain: all weights are 1, then w is empty."""
 
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles()
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column("text")]
-            # weights that are all 1 take no room
-            weights = [b"" if w.max(initial=1) == 1 else w.astype("<u4").tobytes() for _, w in found]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array(weights, pa.binary())], ["key", "h", "w"])
+            plain = [bool(w.max(initial=1) == 1) for _, w in found]
+            weights = [w[:0] if p else w for (_, w), p in zip(found, plain)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([h.view(np.int64) for h, _ in found], pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int64())), pa.array(plain)], ["key", "h", "w", "plain"])
+
+    named = vertices.select(F.col("key").alias("k"), "rep")
+    texts = docs.join(named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
+    return stored(texts.mapInArrow(task, "key binary, h array<long>, w array<long>, plain boolean").dropDuplicates(["key"]), "near-shingles")
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def read(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-            h = np.frombuffer(h, np.uint64)
-            return h, np.frombuffer(w, "<u4").astype(np.int64) if w else np.ones(len(h), np.int64)
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Of pairs (a, b) of keys, those that are similar; stored."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(h: pa.Scalar, w: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+            h, w = h.values.to_numpy().view(np.uint64), w.values.to_numpy()
+            return h, w if len(w) else np.ones(len(h), np.int64)
 
         for batch in batches:
             ah, aw, bh, bw = (batch.column(c) for c in ("ah", "aw", "bh", "bw"))
-            near = [similarity(read(ah[i].as_py(), aw[i].as_py()), read(bh[i].as_py(), bw[i].as_py())) >= threshold for i in range(batch.num_rows)]
+            near = [similarity(read(ah[i], aw[i]), read(bh[i], bw[i])) >= threshold for i in range(batch.num_rows)]
             mask = pa.array(near, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = stored(vertices.select("key", "rep").join(named, "key", "left_semi"), "near-named").select(F.col("key").alias("k"), "rep")
-    texts = docs.join(named, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text")
-    sets = stored(texts.mapInArrow(shingled, "key binary, h binary, w binary").dropDuplicates(["key"]), "near-shingles")
     side = lambda x: sets.select(F.col("key").alias(x), F.col("h").alias(f"{x}h"), F.col("w").alias(f"{x}w"))
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compared, "a binary, b binary"), "near-links")
+    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(task, "a binary, b binary"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -188,30 +196,63 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, class_id) of every row, stored; key is a hash of the text."""
+def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int, rare: int) -> DataFrame:
+    """Pairs (a, b) of labelled (band, key, n, c, lead) that may link what is outside a bucket's leader's component to the rest of the bucket.
+
+    Buckets of at most `large` texts give all such pairs. In larger ones a pair comes up in the first band that both share,
+    if the bound allows it, or by a rare shingle.
+    """
+    outside = F.col("c") != F.col("lead")
+    rest = stored(labelled.filter(outside).select("band", F.col("key").alias("k"), F.col("c").alias("kc"), "n"), "near-rest")
+    small = rest.filter(F.col("n") <= large).drop("n").join(labelled.filter(F.col("n") <= large).select("band", "key", "c"), "band").filter("kc != c")
+    small = _ordered(small, "k", "key")
+    big = rest.filter(F.col("n") > large)
+    if big.isEmpty():
+        return small
+    members = stored(labelled.select("band", "key", "c").join(big.select("band").distinct(), "band", "left_semi"), "near-large")
+    per_key = members.groupBy("key").agg(F.any_value("c").alias("c"), F.sort_array(F.collect_list("band")).alias("own"))  # at most all bands of a text
+    held = stored(sets.join(per_key.select("key", "c"), "key").select("key", "c", "plain", F.size("h").alias("size"), "h"), "near-held")
+    spread = held.select("key", "c", F.explode("h").alias("s"))
+    few = stored(spread.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare), "near-rare")
+    scarce = stored(spread.join(few, "s"), "near-scarce")
+    other = scarce.filter("n > 1").select("s", F.col("key").alias("k"), F.col("c").alias("kc"))
+    by_rare = _ordered(scarce.filter("n > 1").select("s", "key", "c").join(other, "s").filter("k < key and kc != c"), "k", "key")  # at most rare ** 2 / 2 a shingle
+    counted = held.select("key", "plain", "size").join(scarce.groupBy("key").agg(F.count(F.lit(1)).alias("r")), "key", "left").join(per_key.select("key", "own"), "key")
+    counted = stored(counted.select("key", "plain", "size", F.coalesce("r", F.lit(0)).alias("r"), "own"), "near-counted")
+    x = stored(big.select("band", F.col("k").alias("key"), F.col("kc").alias("c")).join(counted, "key"), "near-outside").select("band", *(F.col(c).alias(f"x_{c}") for c in ("key", "c", "plain", "size", "r", "own")))
+    y = stored(members.join(counted, "key"), "near-inside")
+    able = ~(F.col("x_plain") & F.col("plain")) | (F.least(F.col("size") - F.col("r"), F.col("x_size") - F.col("x_r")) >= threshold * F.greatest(F.col("size") + F.col("x_r"), F.col("x_size") + F.col("r")) - 1e-6)
+    by_bound = _ordered(y.join(x, (y["band"] == x["band"]) & (F.col("c") != F.col("x_c")) & able & (F.array_min(F.array_intersect("own", "x_own")) == y["band"])).select("key", "x_key"), "key", "x_key")
+    return small.union(by_rare).union(by_bound).distinct()
+
+
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 5, large: int = 16, rare: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, class_id) of every row, stored; key is a hash of the text. large and rare only divide the work, see remaining()."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     sketched = stored(sketches(docs, bands, rows), "near-sketches")
     # one vertex per text; a group of copies is combined before it is shuffled
     vertices = stored(sketched.filter("bands is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "near-vertices")
     members = vertices.select("key", F.explode("bands").alias("band"))
-    leaders = stored(members.groupBy("band").agg(F.min("key").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "leader"), "near-leaders")
-    shared = stored(members.join(leaders, "band"), "near-members")
-    ordered = lambda df, a, b: df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
-    pairs = stored(ordered(shared.filter("key != leader"), "key", "leader"), "near-pairs")
-    links = verified(pairs, vertices, docs, threshold)
+    crowds = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-crowds")
+    shared = stored(members.join(crowds, "band"), "near-shared")
+    central = stored(shared.groupBy("key").agg(F.sum("n").alias("central")), "near-central")
+    leaders = shared.join(central, "key").groupBy("band").agg(F.max(F.struct("central", "key")).alias("x")).select("band", F.col("x.key").alias("leader"))
+    shared = stored(shared.join(stored(leaders, "near-leaders"), "band"), "near-members")
+    sets = shingled(vertices.join(central, "key", "left_semi").select("key", "rep"), docs)
+    pairs = stored(_ordered(shared.filter("key != leader"), "key", "leader"), "near-pairs")
+    links = verified(pairs, sets, threshold)
     found = components(links)
-    # the rest of each bucket against all there that is not yet linked to it
     of = lambda c, to: found.select(F.col("key").alias(c), F.col("component").alias(to))
     labelled = shared.join(of("key", "c"), "key", "left").join(of("leader", "lead"), "leader", "left")
-    labelled = labelled.select("band", "key", F.coalesce("c", "key").alias("c"), F.coalesce("lead", "leader").alias("lead"))
-    labelled = stored(labelled, "near-labelled")
-    rest = stored(labelled.filter("c != lead").select("band", F.col("key").alias("k"), F.col("c").alias("kc")), "near-rest")
-    more = ordered(rest.join(labelled.select("band", "key", "c"), "band").filter("kc != c"), "k", "key").join(pairs, ["a", "b"], "left_anti")
-    more = stored(more, "near-pairs")
+    labelled = stored(labelled.select("band", "key", "n", F.coalesce("c", "key").alias("c"), F.coalesce("lead", "leader").alias("lead")), "near-labelled")
+    more = stored(remaining(labelled, sets, threshold, large, rare).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
-        found = components(links.union(verified(more, vertices, docs, threshold)))
+        found = components(links.union(verified(more, sets, threshold)))
     merged = vertices.select("key", "rep").join(found, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = stored(merged.groupBy("component").agg(F.min("rep").alias("class_id")), "near-classes")
     named = stored(merged.join(least, "component").select("key", "class_id"), "near-classes")
