@@ -142,7 +142,7 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = 8192, id_col: str =
 
 def train(docs: DataFrame, labels: DataFrame, level: float = 0.3, most: int = 8192) -> Preference:
     rows = labelled(docs, labels, most).orderBy("x", "y").collect()
-    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], float).reshape(len(rows), -1)
+    x = np.array([np.frombuffer(r.x, "<f4") for r in rows], float).reshape(len(rows), BUCKETS + SURFACE)
     return fit(x, np.array([r.y for r in rows], int), level)
 
 
