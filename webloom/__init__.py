@@ -1,0 +1 @@
+"""Analytics over captured web pages and documents, as Spark DataFrames."""
