@@ -11,8 +11,10 @@ then still outside its leader's component are compared with every text there of
 similar texts that share a bucket end in one class, without all pairs of a group. In large buckets, where texts of one
 origin with many edits abound, a bound decides who can be: a shingle that at most `rare` texts have brings those
 together by itself, and texts a, b that share no such shingle have a Jaccard similarity of at most
-min(|a| - r(a), |b| - r(b)) / max(|a| + r(b), |b| + r(a)), where r counts a text's rare shingles. Links need an exact
-probability Jaccard of at least the threshold.
+min(|a| - r(a), |b| - r(b)) / max(|a| + r(b), |b| + r(a)), where r counts a text's rare shingles. With weights, x being the
+share of a's weight on rare shingles and y that of b's, their probability Jaccard is at most PQ / max(Q + yP, P + xQ), where
+P = 1 - x and Q = 1 - y: each common shingle adds at most 1 / (1 / p + y / q), which is concave, so the sums bound it. Links need
+an exact probability Jaccard of at least the threshold.
 
 Texts that are null or have no word are in classes of their own, one a row. The class is the smallest doc_id in it (null only
 if all its ids are). Repeated rows share a class. An empty table gives no rows. Other columns, whatever their names, are not read.
@@ -215,17 +217,20 @@ def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int
         return small
     members = stored(labelled.select("band", "key", "c").join(big.select("band").distinct(), "band", "left_semi"), "near-large")
     per_key = members.groupBy("key").agg(F.any_value("c").alias("c"), F.sort_array(F.collect_list("band")).alias("own"))  # at most all bands of a text
-    held = stored(sets.join(per_key.select("key", "c"), "key").select("key", "c", "plain", F.size("h").alias("size"), "h"), "near-held")
-    spread = held.select("key", "c", F.explode("h").alias("s"))
+    total = F.when(F.col("plain"), F.size("h")).otherwise(F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b))
+    held = stored(sets.join(per_key.select("key", "c"), "key").select("key", "c", "plain", F.size("h").alias("size"), total.alias("total"), "h", "w"), "near-held")
+    spread = held.select("key", "c", F.explode(F.arrays_zip("h", "w")).alias("x")).select("key", "c", F.col("x.h").alias("s"), F.coalesce("x.w", F.lit(1)).alias("w"))
     few = stored(spread.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare), "near-rare")
     scarce = stored(spread.join(few, "s"), "near-scarce")
     other = scarce.filter("n > 1").select("s", F.col("key").alias("k"), F.col("c").alias("kc"))
     by_rare = _ordered(scarce.filter("n > 1").select("s", "key", "c").join(other, "s").filter("k < key and kc != c"), "k", "key")  # at most rare ** 2 / 2 a shingle
-    counted = held.select("key", "plain", "size").join(scarce.groupBy("key").agg(F.count(F.lit(1)).alias("r")), "key", "left").join(per_key.select("key", "own"), "key")
-    counted = stored(counted.select("key", "plain", "size", F.coalesce("r", F.lit(0)).alias("r"), "own"), "near-counted")
-    x = stored(big.select("band", F.col("k").alias("key"), F.col("kc").alias("c")).join(counted, "key"), "near-outside").select("band", *(F.col(c).alias(f"x_{c}") for c in ("key", "c", "plain", "size", "r", "own")))
+    rares = scarce.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.sum("w").alias("rw"))
+    counted = held.select("key", "plain", "size", "total").join(rares, "key", "left").join(per_key.select("key", "own"), "key")
+    counted = stored(counted.select("key", "plain", "size", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce(F.col("rw") / F.col("total"), F.lit(0.0)).alias("part"), "own"), "near-counted")
+    x = stored(big.select("band", F.col("k").alias("key"), F.col("kc").alias("c")).join(counted, "key"), "near-outside").select("band", *(F.col(c).alias(f"x_{c}") for c in ("key", "c", "plain", "size", "r", "part", "own")))
     y = stored(members.join(counted, "key"), "near-inside")
-    able = ~(F.col("x_plain") & F.col("plain")) | (F.least(F.col("size") - F.col("r"), F.col("x_size") - F.col("x_r")) >= threshold * F.greatest(F.col("size") + F.col("x_r"), F.col("x_size") + F.col("r")) - 1e-6)
+    p, q = 1 - F.col("part"), 1 - F.col("x_part")
+    able = (p * q >= (threshold - 1e-9) * F.greatest(q + F.col("x_part") * p, p + F.col("part") * q)) & (~(F.col("x_plain") & F.col("plain")) | (F.least(F.col("size") - F.col("r"), F.col("x_size") - F.col("x_r")) >= threshold * F.greatest(F.col("size") + F.col("x_r"), F.col("x_size") + F.col("r")) - 1e-6))
     by_bound = _ordered(y.join(x, (y["band"] == x["band"]) & (F.col("c") != F.col("x_c")) & able & (F.array_min(F.array_intersect("own", "x_own")) == y["band"])).select("key", "x_key"), "key", "x_key")
     return small.union(by_rare).union(by_bound).distinct()
 
