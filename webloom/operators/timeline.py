@@ -29,16 +29,16 @@ def _month(m: Column) -> Column:
 
 def dates(text: Column) -> Column:
     """(date, precision, match) in texts, by pattern and then by place; impossible dates are left out."""
-    every = []
-    for pattern, year, month, day, precision in DATES:
-        part = lambda m, g, p=pattern: F.regexp_extract(m, f"(?i){p}", g)
-        whole = F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0))
+    def of(pattern: str, year: int, month: int, day: int, precision: str) -> Column:
+        part = lambda m, g: F.regexp_extract(m, f"(?i){pattern}", g)
 
-        def one(m: Column, year=year, month=month, day=day, precision=precision, part=part) -> Column:
-            date = F.try_to_date(F.concat_ws("-", part(m, year), F.lpad(_month(part(m, month)).cast("string"), 2, "0"), F.lpad(part(m, day), 2, "0") if day else F.lit("01")), F.lit("yyyy-MM-dd"))
+        def one(m: Column) -> Column:
+            date = F.try_to_date(F.concat_ws("-", part(m, year), F.lpad(_month(part(m, month)).cast("string"), 2, "0"), F.lpad(part(m, day), 2, "0") if day else F.lit("01")), "yyyy-MM-dd")
             return F.struct(date.alias("date"), F.lit(precision).alias("precision"), m.alias("match"))
 
-        every.append(F.transform(whole, one))
+        return F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)), one)
+
+    every = [of(*x) for x in DATES]
     return F.filter(F.concat(*every), lambda x: x["date"].isNotNull())
 
 

@@ -106,7 +106,7 @@ def _ranked_sentences(question: str) -> str:
 
 
 def _ordered_distinct(items: str) -> str:
-    return f"list_filter({items}, lambda x, i: list_position({items}, x) = i)"
+    return f"list_filter({items}, lambda one, i: list_position({items}, one) = i)"
 
 
 _EMAIL_LIST = f"list_slice({_ordered_distinct(f'regexp_extract_all(text, {_s(entities.EMAIL)})')}, 1, 8)"
@@ -191,7 +191,7 @@ ORACLE = {
     "timeline_transitions": f"WITH {_SPANS}, n AS (SELECT *, lead(company) OVER w AS to_company, lead(start) OVER w AS moved FROM spans WHERE start IS NOT NULL WINDOW w AS (PARTITION BY who ORDER BY start, company)) SELECT who, company AS from_company, to_company, moved FROM n WHERE \"end\" IS NOT NULL AND to_company <> company AND moved >= \"end\"",
     "timeline_recent": f"WITH {_SPANS} SELECT who, company, coalesce(\"end\", '9999') AS shown FROM spans ORDER BY shown DESC, who, company LIMIT 50",
     "snapshot_daily_collapse": f"WITH {_CAPTURES}, d AS (SELECT url, strftime(ts, '%Y%m%d') AS day, min(ts) AS ts FROM captures WHERE ok GROUP BY 1, 2) SELECT url, day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts) AS n FROM d) WHERE n <= 10",
-    "snapshot_asof_latest": f"WITH {_CAPTURES}, w AS (SELECT url, CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS BIGINT) AS at FROM captures GROUP BY 1), v AS (SELECT url, at FROM w UNION ALL SELECT url, NULL FROM w) SELECT v.url, v.at IS NULL AS latest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM v JOIN captures c ON c.url = v.url AND (v.at IS NULL OR epoch_us(c.ts) <= v.at) GROUP BY v.url, v.at",
+    "snapshot_asof_latest": f"WITH {_CAPTURES}, w AS (SELECT url, CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS BIGINT) AS upto FROM captures GROUP BY 1), v AS (SELECT url, upto FROM w UNION ALL SELECT url, NULL FROM w) SELECT v.url, v.upto IS NULL AS latest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM v JOIN captures c ON c.url = v.url AND (v.upto IS NULL OR epoch_us(c.ts) <= v.upto) GROUP BY v.url, v.upto",
     "capture_list_rows": "SELECT * FROM (VALUES (1, '20240101000000', 'http://a/'), (1, '20240102000000', 'http://b/')) AS t(id, ts, url)",
     "frontier_dedupe": f"WITH {_LINKS} SELECT target AS url, min(page_id * 1000 + pos) AS seq FROM links WHERE target NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0) GROUP BY 1",
     "frontier_pop_topk": "SELECT job, priority, depth, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY priority DESC, depth, seq) AS n FROM (SELECT event_type AS job, CAST(floor(value) AS BIGINT) AS priority, CAST(user_id % 4 AS INT) AS depth, event_id AS seq FROM events)) WHERE n <= 5",

@@ -293,8 +293,8 @@ def snapshot_daily_collapse(spark, d):
 @query
 def snapshot_asof_latest(spark, d):
     captures = _captures(spark, d)
-    wanted = captures.groupBy("url").agg(F.expr("timestamp_micros(cast((unix_micros(min(ts)) + unix_micros(max(ts))) / 2 as bigint))").alias("at"))
-    both = wanted.union(wanted.select("url", F.lit(None).cast("timestamp").alias("at")))
+    wanted = captures.groupBy("url").agg(F.expr("min(ts) + (max(ts) - min(ts)) / 2").alias("at"))
+    both = wanted.union(wanted.select("url", F.lit(None).cast("timestamp_ntz").alias("at")))
     return archive.as_of(captures, both).select("url", F.col("at").isNull().alias("latest"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 

@@ -14,9 +14,13 @@ def daily(captures: DataFrame, per_url: int = 10) -> DataFrame:
 
 
 def as_of(captures: DataFrame, wanted: DataFrame) -> DataFrame:
-    """For each wanted (url, at) the latest capture up to `at`, or the latest of all where at is null."""
-    near = captures.withColumnRenamed("url", "u").join(wanted, (F.col("u") == F.col("url")) & (F.col("at").isNull() | (F.col("ts") <= F.col("at"))))
-    return near.groupBy("url", "at").agg(F.max("ts").alias("ts"))
+    """For each wanted (url, at) the latest capture up to `at`, or the latest of all where at is null. Both sides are put in one order of time, so nothing is joined."""
+    kind = captures.schema["ts"].dataType
+    end = F.lit("9999-12-31 23:59:59").cast(kind)
+    line = captures.select("url", F.col("ts").alias("t"), "ts", F.lit(None).cast(kind).alias("at"), F.lit(False).alias("asked"))
+    line = line.union(wanted.select("url", F.coalesce(F.col("at").cast(kind), end), F.lit(None).cast(kind), F.col("at").cast(kind), F.lit(True)))
+    before = Window.partitionBy("url").orderBy("t", "asked").rowsBetween(Window.unboundedPreceding, 0)
+    return line.withColumn("ts", F.last("ts", ignorenulls=True).over(before)).filter("asked and ts is not null").select("url", "at", "ts")
 
 
 def archive_url(prefix: str, ts: Column, url: Column) -> Column:
