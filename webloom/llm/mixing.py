@@ -48,13 +48,12 @@ def rake(cells: DataFrame, goals: dict[str, DataFrame], rounds: int = 8) -> Data
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0]
     now = cells.withColumn("weight", F.col("tokens") / F.lit(total or 1.0))
-    for k in range(rounds):
+    for _ in range(rounds):
         for side in goals:
             sums = now.groupBy(side).agg(F.sum("weight").alias("sum"))
             factor = sums.join(goals[side], side).select(side, F.when(F.col("sum") > 0, F.col("goal") / F.col("sum")).otherwise(0.0).alias("factor"))
             now = now.join(factor, side, "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("factor")
-        if k % 2 or k == rounds - 1:
-            now = stored(now, "rake")
+            now = stored(now, "rake")  # each step reads the table twice, so plans that span steps would double with each
     return now
 
 
