@@ -220,11 +220,12 @@ def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int
     total = F.when(F.col("plain"), F.size("h")).otherwise(F.aggregate("w", F.lit(0).cast("long"), lambda a, b: a + b))
     held = stored(sets.join(per_key.select("key", "c"), "key").select("key", "c", "plain", F.size("h").alias("size"), total.alias("total"), "h", "w"), "near-held")
     spread = held.select("key", "c", F.explode(F.arrays_zip("h", "w")).alias("x")).select("key", "c", F.col("x.h").alias("s"), F.coalesce("x.w", F.lit(1)).alias("w"))
-    few = stored(spread.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= rare), "near-rare")
-    scarce = stored(spread.join(few, "s"), "near-scarce")
-    other = scarce.filter("n > 1").select("s", F.col("key").alias("k"), F.col("c").alias("kc"))
-    by_rare = _ordered(scarce.filter("n > 1").select("s", "key", "c").join(other, "s").filter("k < key and kc != c"), "k", "key")  # at most rare ** 2 / 2 a shingle
-    rares = scarce.groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.sum("w").alias("rw"))
+    few = stored(spread.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("w").alias("w")).filter(F.col("n") <= rare), "near-rare")
+    # a shingle of one text names that text itself; only those of several are looked up
+    scarce = stored(spread.join(few.filter("n > 1").select("s"), "s"), "near-scarce")
+    other = scarce.select("s", F.col("key").alias("k"), F.col("c").alias("kc"))
+    by_rare = _ordered(scarce.select("s", "key", "c").join(other, "s").filter("k < key and kc != c"), "k", "key")  # at most rare ** 2 / 2 a shingle
+    rares = few.filter("n = 1").select("key", "w").union(scarce.select("key", "w")).groupBy("key").agg(F.count(F.lit(1)).alias("r"), F.sum("w").alias("rw"))
     counted = held.select("key", "plain", "size", "total").join(rares, "key", "left").join(per_key.select("key", "own"), "key")
     counted = stored(counted.select("key", "plain", "size", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce(F.col("rw") / F.col("total"), F.lit(0.0)).alias("part"), "own"), "near-counted")
     x = stored(big.select("band", F.col("k").alias("key"), F.col("kc").alias("c")).join(counted, "key"), "near-outside").select("band", *(F.col(c).alias(f"x_{c}") for c in ("key", "c", "plain", "size", "r", "part", "own")))
