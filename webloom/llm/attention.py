@@ -6,10 +6,10 @@ joined with the counts by word, so no vocabulary passes through the driver and n
 
 The model has one causal self-attention layer with a bias per distance and a two-step output: the class of the next
 id given the context, then the id within its class by its share there. Ids are ranked by their counts in all
-training words; the most frequent are classes of their own, the rest form classes of equal weight. It is trained in numpy by
-tasks, each on spans of every training text of its partition, one span every `every` words so that the work grows with
-the input, and their parameters are averaged by weight in a tree; `passes` times. Windows of `window` ids overlap, so each id is scored once with at least
-`overlap` ids before it (as far as the text has them); many windows form one masked batch.
+training words; the most frequent are classes of their own, the rest form classes of equal weight. Windows of `window` ids overlap, so each id
+is scored once with at least `overlap` ids before it (as far as the text has them); many windows form one masked batch.
+It is trained in numpy by tasks, each on the same windows of every whole training text of its partition, so that each id and
+each text's end is learned once a pass, and their parameters are averaged by weight in a tree; `passes` times.
 
 A null text counts as empty: one end token. Empty training data give every token the same base probability and the model its
 starting weights. Rows that repeat are scored once each. Other columns, whatever their names, are not read.
@@ -162,8 +162,10 @@ class Model:
         """Attention of windows rows (B, window), for queries from `first` on; tables: rows already times q, k and v."""
         p = self.p
         if tables is None:
-            tables = tuple(p["e"] @ p[k] for k in "qkv")
-        q, k, v = tables[0][rows[:, first:]], tables[1][rows], tables[2][rows]
+            e = p["e"][rows]
+            q, k, v = e[:, first:] @ p["q"], e @ p["k"], e @ p["v"]
+        else:
+            q, k, v = tables[0][rows[:, first:]], tables[1][rows], tables[2][rows]
         s = np.matmul(q, k.transpose(0, 2, 1))
         s += (p["d"][self.back] + self.later)[first:]
         s += np.where(rows == self.vocab.pad, np.float32(-1e9), np.float32(0))[:, None, :]
@@ -189,14 +191,11 @@ class Model:
         x += self.p["e"].take(own, 0)
         return np.tanh(x, out=x)
 
-    def log_scores(self, ids: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text of ids (its subwords, without start and end), batches of windows at a time."""
+    def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Input rows and next ids (-1: none) of texts one after the other, where their windows start, and each window's text."""
         vocab, step = self.vocab, self.window - self.overlap
-        q, k, v = (self.p["e"] @ self.p[n] for n in "qkv")
-        tables = q, k, np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
         lengths = np.array([len(i) + 1 for i in ids])
         windows = -(-lengths // step)
-        out = np.zeros(len(ids))
         # inputs with `overlap` pads before each text, padded at the end to whole steps
         room = windows * step + self.overlap
         base = np.concatenate([[0], np.cumsum(room)])
@@ -209,7 +208,19 @@ class Model:
             y[at : at + len(t)] = t
             y[at + len(t)] = vocab.end
         starts = np.repeat(base[:-1], windows) + step * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
-        owner = np.repeat(np.arange(len(ids)), windows)
+        return x, y, starts, np.repeat(np.arange(len(ids)), windows)
+
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """All rows times q, k and v, for log_scores of many lists with the same parameters."""
+        q, k, v = (self.p["e"] @ self.p[n] for n in "qkv")
+        return q, k, np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
+
+    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+        """log10 probability of each text of ids (its subwords, without start and end), batches of windows at a time."""
+        vocab = self.vocab
+        q, k, _ = tables = tables or self.tables()
+        out = np.zeros(len(ids))
+        x, y, starts, owner = self.windows(ids)
         mask = (self.p["d"][self.back] + self.later)[self.overlap :]
         steady = float(np.sqrt((q**2).sum(1).max() * (k**2).sum(1).max()) + np.abs(self.p["d"]).max()) < 60
         flat = float(np.abs(self.p["o"]).sum(0).max() + np.abs(self.p["b"]).max()) < 60  # hidden values lie in -1..1
@@ -239,11 +250,18 @@ class Model:
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss of windows: input rows x and target classes y (both (B, window); -1 targets don't count), and its gradient."""
+        loss, g, rows, sums = self.slopes(x, y, 0)
+        table = np.zeros_like(self.p["e"])
+        table[rows] = sums
+        return loss, np.concatenate([table.ravel(), *(np.asarray(g[n], np.float32).ravel() for n in self.shapes if n != "e")])
+
+    def slopes(self, x: np.ndarray, y: np.ndarray, first: int) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """As gradient(), with targets y of the places from `first` on; the gradient of e is given as rows and theirs."""
         p = self.p
-        q, k, v, a, h = self.attend(x, 0)
+        q, k, v, a, h = self.attend(x, first)
         z = h @ p["o"] + p["b"]
         z -= z.max(2, keepdims=True)
-        e = np.exp(z)
+        e = np.exp(z, out=z)
         prob = e / e.sum(2, keepdims=True)
         on = y >= 0
         n = max(1, on.sum())
@@ -257,43 +275,35 @@ class Model:
         da = np.matmul(dx, v.transpose(0, 2, 1))
         dv = np.matmul(a.transpose(0, 2, 1), dx)
         ds = a * (da - (da * a).sum(2, keepdims=True))
-        g["d"] = np.bincount(self.back.ravel(), (ds.sum(0) * (self.later == 0)).ravel(), self.window)
+        g["d"] = np.bincount(self.back[first:].ravel(), (ds.sum(0) * (self.later[first:] == 0)).ravel(), self.window)
         dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        emb = p["e"][x].reshape(-1, WIDTH)
-        de = dx.reshape(-1, WIDTH).copy()
-        for name, d in (("q", dq), ("k", dk), ("v", dv)):
-            d = d.reshape(-1, WIDTH)
-            g[name] = emb.T @ d
-            de += d @ p[name].T
-        table = np.zeros_like(p["e"])
+        emb = p["e"][x]
+        de = dk @ p["k"].T + dv @ p["v"].T
+        de[:, first:] += dx + dq @ p["q"].T
+        for name, own, d in (("q", emb[:, first:], dq), ("k", emb, dk), ("v", emb, dv)):
+            g[name] = own.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
         order = np.argsort(x.ravel(), kind="stable")
-        rows, first = np.unique(x.ravel()[order], return_index=True)
-        table[rows] = np.add.reduceat(de[order], first)
-        g["e"] = table
-        return loss, np.concatenate([np.asarray(g[n], np.float32).ravel() for n in self.shapes])
+        rows, at = np.unique(x.ravel()[order], return_index=True)
+        return loss, g, rows, np.add.reduceat(de.reshape(-1, WIDTH)[order], at)
 
 
 class Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(size, np.float32), np.zeros(size, np.float32), 0, rate
-
-    def step(self, flat: np.ndarray, g: np.ndarray) -> None:
-        self.t += 1
-        self.m += 0.1 * (g - self.m)
-        self.v += 0.01 * (g * g - self.v)
-        flat -= self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-6)
+    """Steps for a model's parameters; an input row's moments change only when it occurs."""
 
+    def __init__(self, model: Model, rate: float):
+        self.model, self.t, self.rate = model, 0, rate
+        self.moments = {k: (np.zeros(s, np.float32), np.zeros(s, np.float32)) for k, s in model.shapes.items()}
 
-def spans(text: str | None, every: int, words: int) -> Iterator[str]:
-    """One span of `words` words in every `every` words of a text, the last of a shorter stretch included; at its start in the first, then in turn further inside."""
-    w = (text or "").split()
-    for n, at in enumerate(range(0, len(w), every)):
-        shift = (n * 37) % max(1, every - words)
-        part = w[at + shift : at + shift + words] if at + shift < len(w) else w[at : at + words]
-        yield " ".join(part)
+    def step(self, g: dict[str, np.ndarray], rows: np.ndarray, sums: np.ndarray) -> None:
+        self.t += 1
+        for name, (m, v) in self.moments.items():
+            at, d = (rows, sums) if name == "e" else (slice(None), g[name])
+            m[at] += 0.1 * (d - m[at])
+            v[at] += 0.01 * (d * d - v[at])
+            self.model.p[name][at] -= self.rate * (m[at] / (1 - 0.9**self.t)) / (np.sqrt(v[at] / (1 - 0.99**self.t)) + 1e-6)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str, every: int = 480, span: int = 10, passes: int = 2, batch: int = 64, rate: float = 0.01) -> np.ndarray:
+def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str, passes: int = 2, batch: int = 64, rate: float = 0.01) -> np.ndarray:
     """Parameters after `passes` rounds of training by tasks and averaging. docs: text."""
     context = docs.sparkSession.sparkContext
     flat = Model(vocab).flat
@@ -303,28 +313,26 @@ def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str, every: int = 480,
         def task(batches: Iterator[pa.RecordBatch], shared=shared, speed=rate / (1 + number)) -> Iterator[pa.RecordBatch]:
             vocab, flat = shared.value
             model = Model(vocab, flat)
-            adam, subwords = Adam(len(flat), speed), Subwords(tokenizer)
-            w, seen, held = model.window, 0, []
+            adam, subwords, rng = Adam(model, speed), Subwords(tokenizer), np.random.default_rng(5)
+            seen, held, size = 0, [], 0
+            span = np.arange(model.window)
 
             def learn() -> int:
-                x = np.full((len(held), w), vocab.pad, np.int32)
-                y = np.full((len(held), w), -1, np.int64)
-                for i, t in enumerate(held):
-                    x[i, : len(t) - 1], y[i, : len(t) - 1] = vocab.row[t[:-1]], vocab.of[t[1:]]
-                adam.step(model.flat, model.gradient(x, y)[1])
-                n = int((y >= 0).sum())
+                """Steps on all windows of the held texts, in any order, so that a batch isn't one text's."""
+                x, y, starts, _ = model.windows(held)
+                of = np.where(y < 0, -1, vocab.of[y])
+                for s in np.array_split(rng.permutation(starts), -(-len(starts) // batch)):
+                    s = s[:, None] + span
+                    adam.step(*model.slopes(x[s], of[s[:, model.overlap :]], model.overlap)[1:])
                 held.clear()
-                return n
+                return int((y >= 0).sum())
 
             for b in batches:
                 for text in b.column(0):
-                    for at, part in enumerate(spans(text.as_py(), every, span)):
-                        ids = np.frombuffer(subwords.encode(part), "<u4").astype(np.int64)
-                        t = np.concatenate([[vocab.start] * (at == 0), ids])[: w + 1].astype(np.int64)
-                        if len(t) > 1:
-                            held.append(t)
-                        if len(held) == batch:
-                            seen += learn()
+                    held.append(np.frombuffer(subwords.encode(text.as_py()), "<u4").astype(np.int64))
+                    size += len(held[-1]) + 1
+                    if size >= 32 * batch * (model.window - model.overlap):
+                        seen, size = seen + learn(), 0
             if held:
                 seen += learn()
             if seen:
@@ -371,6 +379,7 @@ def score(docs: DataFrame, train_on: str, tokenizer: str, hot: int = 200_000, **
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat, hot = shared.value
         model, subwords = Model(vocab, flat), Subwords(tokenizer)
+        tables = model.tables()
         logs = {w: math.log10((c + 1) / floor) for w, c in hot}
         row = TaskContext.get().partitionId() << 36
         end = (1, logs[END]) if END in logs else (int(ends is not None), math.log10(((ends or 0) + 1) / floor))
@@ -392,7 +401,7 @@ def score(docs: DataFrame, train_on: str, tokenizer: str, hot: int = 200_000, **
                     ids.append(np.frombuffer(subwords.encode(text), "<u4").astype(np.int64))
                 rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(often, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array(model.log_scores(ids), pa.float64())],
+                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array(model.log_scores(ids, tables), pa.float64())],
                     ["row", "doc_id", "learned", "n", "known", "sum", "rest", "score"],
                 )
                 row += part.num_rows
