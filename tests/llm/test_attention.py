@@ -133,3 +133,22 @@ def test_held_out_texts_against_base(spark, sf):
     # 173 texts train a model that stays below the base of whole words; trained on a part of each text it was at 1.48
     got = [r for r in registry.op10_attention(spark, sf).collect() if r.held_out]
     assert sum(r.score for r in got) > 1.35 * sum(r.base_score for r in got)
+
+
+def test_every_id_has_its_own_row(spark):
+    for rows in (None, 40):
+        vocab = attention.vocabulary([(i, 10_000 - i) for i in range(6000)], 10, 6000, rows=rows)
+        assert (vocab.row == vocab.row[vocab.start]).sum() == 1 and vocab.pad == vocab.row.max() + 1
+        assert len(set(vocab.row.tolist())) == (rows or 6002)
+
+
+def test_ends_are_learned(spark):
+    texts = ["red green blue"] * 6000
+    vocab, flat = trained(spark, texts)
+    before, after = attention.Model(vocab), attention.Model(vocab, flat)
+    ids = np.frombuffer(attention.Subwords(PATH).encode(texts[0]), "<u4").astype(np.int64)
+    x, y, starts, _ = after.windows([ids])
+    assert y[y >= 0].tolist() == [*ids, vocab.end]
+    h = [m.attend(x[starts[:, None] + np.arange(m.window)], m.overlap)[-1][0, len(ids)] @ m.p["o"] + m.p["b"] for m in (before, after)]
+    end = [v[vocab.of[vocab.end]] - np.log(np.exp(v).sum()) for v in h]
+    assert end[1] > end[0] and end[1] > math.log(0.5)

@@ -77,7 +77,7 @@ def frequent(counts: DataFrame, hot: int) -> list[tuple[bytes, int]]:
 
 @dataclass
 class Vocabulary:
-    """For each subword id: input row (rank, cut off), class, and log10 share within its class."""
+    """For each subword id: input row (its rank), class, and log10 share within its class."""
 
     row: np.ndarray
     of: np.ndarray
@@ -110,8 +110,12 @@ def subword_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
     return counts.filter("word != X''").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(id_counts: list[tuple[int, int]], ends: int, size: int, rows: int = 4096, single: int = 64, grouped: int = 32) -> Vocabulary:
-    """size ids of the tokenizer, then the start. The end is the id before the start."""
+def vocabulary(id_counts: list[tuple[int, int]], ends: int, size: int, rows: int | None = None, single: int = 64, grouped: int = 32) -> Vocabulary:
+    """size ids of the tokenizer, then the start. The end is the id before the start.
+
+    Every id has an input row of its own, or, with `rows`, the rarest share the last but one; the start has the last.
+    """
+    rows = rows or size + 2
     n = np.zeros(size + 2)
     for i, c in id_counts:
         n[i] = c
@@ -130,7 +134,7 @@ def vocabulary(id_counts: list[tuple[int, int]], ends: int, size: int, rows: int
     of[-1] = 0
     per = np.bincount(of[:-1], smooth, single + grouped) + 1e-9
     share = np.append(np.log10(smooth / per[of[:-1]]), 0.0).astype(np.float32)
-    return Vocabulary(np.minimum(rank, rows - 1), of, share, np.log(per / per.sum()).astype(np.float32), end)
+    return Vocabulary(np.append(np.minimum(rank[:-1], rows - 2), rows - 1), of, share, np.log(per / per.sum()).astype(np.float32), end)
 
 
 WIDTH = 16
