@@ -68,3 +68,18 @@ def test_odd_rows(spark):
     assert credentials.secrets(empty(spark)).count() == 0 and credentials.redacted(empty(spark)).count() == 0
     twice = [(1, "login: someone; aB3dE5fG7hI9jK1lM3nO5", None, None, 1, *"wk", 1, *"voth")] * 2
     assert [len(r.more) for r in credentials.secrets(spark.createDataFrame(twice, SCHEMA)).collect()] == [2, 2]
+
+
+def test_long_parts_are_linked(spark):
+    value, who = "aB3dE5fG7hI9jK1lM3nO5", "client_id = someone42"
+    texts, want = [], []
+    for n in (300, 500, 700, 1000):
+        secret, jwt, where = "aB3" + "x" * n, "token=" + "eyJ" * (n // 3), "https://api.example.com/" + "p" * n
+        for gap in (14, 190, 250):
+            dots = f" {'.' * (gap - 2)} "
+            for a, b, kinds in ((jwt, who, ["id"]), (who, jwt, ["id"]), (where, value, ["endpoint", "value"]), (value, where, ["value", "endpoint"]), (where, secret, ["endpoint", "value"]), (secret, where, ["value", "endpoint"])):
+                texts.append(a + dots + b)
+                want.append(kinds if gap <= 200 else [])
+    docs = with_texts(spark, texts)
+    got = {r.doc_id: [x.split(":")[0] for x in r.m.split(",") if x] for r in credentials.secrets(docs).select("doc_id", credentials.written(F.col("more")).alias("m")).collect()}
+    assert got == dict(enumerate(want))

@@ -73,18 +73,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def linked(scanned: DataFrame, reach: int = 200) -> DataFrame:
     """(doc_id, text_hash, more): the weak spans that a complement supports.
 
-    Each part falls into the stretch of `reach` characters that holds its start, and secrets into the two beside it as
-    well, so that the join is on (document, stretch) and the distance is checked on what meets there.
+    Each part falls into every stretch of `reach` characters from its start to its end, secrets from `reach` before to `reach`
+    after, so that the join is on (document, stretch); pairs meet in the first that both have and the distance is checked there.
     """
     held = scanned.filter(F.size("weak") > 0).select("doc_id", "text_hash", "breaks", F.explode(F.concat("base", "weak")).alias("s"))
     kind = F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind"))
     scope = F.size(F.filter("breaks", lambda b: b < F.col("s.start")))
-    parts = held.select("doc_id", "text_hash", "s", kind.alias("kind"), scope.alias("scope"), F.floor(F.col("s.start") / reach).alias("stretch")).dropDuplicates(["doc_id", "text_hash", "s"])
-    secret = parts.filter(F.col("kind").isin(*_SECRET)).withColumn("stretch", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)))
-    public = parts.filter(F.col("kind").isin(*_PUBLIC)).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("s").alias("p"), F.col("scope").alias("z"), F.col("stretch").alias("b"))
+    parts = held.select("doc_id", "text_hash", "s", kind.alias("kind"), scope.alias("scope")).dropDuplicates(["doc_id", "text_hash", "s"])
+    stretches = lambda kinds, more: parts.filter(F.col("kind").isin(*kinds)).withColumn("first", F.floor((F.col("s.start") - more) / reach)).withColumn("stretch", F.explode(F.sequence("first", F.floor((F.col("s.end") + more) / reach))))
+    secret = stretches(_SECRET, reach)
+    public = stretches(_PUBLIC, 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("s").alias("p"), F.col("scope").alias("z"), F.col("first").alias("f"), F.col("stretch").alias("b"))
     near = F.greatest(F.col("s.start") - F.col("p.end"), F.col("p.start") - F.col("s.end")) <= reach
     apart = (F.col("s.end") <= F.col("p.start")) | (F.col("p.end") <= F.col("s.start"))
-    pairs = secret.join(public, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("stretch") == F.col("b")) & (F.col("scope") == F.col("z")) & near & apart)
+    pairs = secret.join(public, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")) & (F.col("stretch") == F.col("b")) & (F.col("b") == F.greatest("first", "f")) & (F.col("scope") == F.col("z")) & near & apart)
     weak = pairs.select("doc_id", "text_hash", F.explode(F.array("s", "p")).alias("s")).filter(F.col("s.kind") >= len(BASE))
     return weak.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("s")).alias("more"))
 
