@@ -89,3 +89,14 @@ def test_odd_rows(spark):
 def test_band_keys_differ_by_band():
     keys = near.band_keys(np.zeros((1, 20), np.uint64), 4)
     assert len(set(keys[0].tolist())) == 4
+
+
+def test_one_row_of_each_class_with_null_and_shared_ids(spark):
+    base = sentence(1)
+    near_copy = base.replace(base.split()[50], "changed", 1)
+    texts = [(None, base), (None, near_copy), (None, sentence(2)), (7, sentence(3)), (7, sentence(4)), (None, None), (None, "")]
+    for repeat in ([], [(8, sentence(5))] * 2):
+        rows = [(i, t, None, None, 1, *"wk", 1, *"voth") for i, t in texts + repeat]
+        kept = [(r.doc_id, r.text) for r in near.representatives(spark.createDataFrame(rows, SCHEMA)).collect()]
+        first = next(t for i, t in kept if t in (base, near_copy))
+        assert sorted(kept, key=str) == sorted([(None, first), *texts[2:], *repeat[:1]], key=str)

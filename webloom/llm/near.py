@@ -237,7 +237,7 @@ def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int = 5, large: int = 16, rare: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, key, class_id) of every row, stored; key is a hash of the text. large and rare only divide the work, see remaining()."""
+    """(doc_id, key, class_id, component) of every row, stored; key is a hash of the text, component the least of a class (null without words). large and rare only divide the work, see remaining()."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     sketched = stored(sketches(docs, bands, rows), "near-sketches")
@@ -261,23 +261,17 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int
         found = components(links.union(verified(more, sets, threshold)))
     merged = vertices.select("key", "rep").join(found, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = stored(merged.groupBy("component").agg(F.min("rep").alias("class_id")), "near-classes")
-    named = stored(merged.join(least, "component").select("key", "class_id"), "near-classes")
-    worded = sketched.filter("bands is not null").select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id")
-    return stored(worded.union(sketched.filter("bands is null").select("doc_id", "key", F.col("doc_id").alias("class_id"))), "near-result")
+    named = stored(merged.join(least, "component").select("key", "class_id", "component"), "near-classes")
+    worded = sketched.filter("bands is not null").select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", "component")
+    return stored(worded.union(sketched.filter("bands is null").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("component"))), "near-result")
 
 
 def representatives(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs (doc_id, text and others), one of each class: that with the class's id, and rows without words all.
-
-    Only where several rows have a class's id and text (repeated rows, null ids) are the kept rows compared with each other.
-    """
-    found = classes(docs, **settings)
-    chosen = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("key", "class_id").groupBy("key", "class_id").count()
-    chosen = stored(chosen, "near-kept")
+    """The rows of docs (doc_id, text and others), one of each class: that with the least id, null last, and key of its text; and rows without words all."""
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("x")
+    chosen = classes(docs, **settings).filter("component is not null").groupBy("component").agg(least).select("component", F.col("x.doc_id").alias("id"), F.col("x.key").alias("key"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
     rows = docs.select(whole(docs), F.col("doc_id").cast("long").alias("i"), text_key(text).alias("k"), worded.alias("worded"))
-    kept = rows.filter("worded").join(chosen, (F.col("k") == F.col("key")) & F.col("i").eqNullSafe(F.col("class_id")))
-    if not chosen.filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["class_id"])
+    kept = rows.filter("worded").join(stored(chosen, "near-kept"), (F.col("k") == F.col("key")) & F.col("i").eqNullSafe(F.col("id"))).dropDuplicates(["component"])
     return kept.select("row.*").unionByName(rows.filter("not worded").select("row.*"))
