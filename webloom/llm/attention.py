@@ -4,15 +4,24 @@ The base needs every training word's count. Counts are combined per task and sum
 enough for at most `hot` of them to be so go to the tasks as a table of that proven size, and each text's other words are
 joined with the counts by word, so no vocabulary passes through the driver and no frequent word meets in one task.
 
+Each text is cut into subwords once; its ids are stored and read by all later passes. The first counts, for every id, what
+stands before it: `buckets` numbers an id, by a hash of the id before, summed over all training texts. They are of the
+tokenizer's size, whatever the input's, so the driver gets them. From them come the classes of the output: the most
+frequent ids are classes of their own, and the others are clustered by what stands before them (k-means on square roots of
+shares, weighted by counts).
+
 The model has one causal self-attention layer with a bias per distance and a two-step output: the class of the next
-id given the context, then the id within its class by its share there. Ids are ranked by their counts in all
-training words; the most frequent are classes of their own, the rest form classes of equal weight. Windows of `window` ids overlap, so each id
+id given the context, then the id within its class by its share there. Windows of `window` ids overlap, so each id
 is scored once with at least `overlap` ids before it (as far as the text has them); many windows form one masked batch.
-It is trained in numpy by tasks, each on the same windows of every whole training text of its partition, so that each id and
-each text's end is learned once a pass, and their parameters are averaged by weight in a tree; `passes` times.
+It is trained in numpy by tasks on windows that tile every whole training text, so that each id and each text's end is
+learned once. Training goes by rounds over disjoint parts of the texts; after each, the tasks' parameters and step sizes are
+averaged by weight in a tree. So the model depends on how the rows lie in partitions (their order and number), within what
+the average of tasks leaves; the base does not.
 
 A null text counts as empty: one end token. Empty training data give every token the same base probability and the model its
-starting weights. Rows that repeat are scored once each. Other columns, whatever their names, are not read.
+starting weights. Rows that repeat are scored once each, and have equal scores; an id that is null or repeats is kept as it
+is, for rows are numbered inside. Very long texts are windows like others, some at a time, so only their own ids are held at once.
+Frequencies that tie are ranked by id. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import stored
-from .subwords import Subwords
+from .subwords import subwords
 
 END = b""
 _FLUSH = 400_000
@@ -94,50 +103,84 @@ class Vocabulary:
         return int(self.row.max()) + 1
 
 
-def subword_counts(counts: DataFrame, tokenizer: str) -> DataFrame:
-    """(id, n) from word counts."""
+def numbers(raw: bytes, size: int) -> np.ndarray:
+    """Ids from their stored bytes: two each where the tokenizer has at most 65,536 ids, else four."""
+    return np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords = Subwords(tokenizer, most=0)
-        total = np.zeros(subwords.size, np.int64)
-        for batch in batches:
-            c = batch.column("c").to_numpy()
-            ids = [np.frombuffer(subwords.encode(w.as_py().decode("utf-8", "replace")), "<u4") for w in batch.column("word")]
-            total += np.bincount(np.concatenate(ids).astype(np.int64), weights=np.repeat(c, [len(i) for i in ids]), minlength=subwords.size).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(at, pa.int32()), "n": pa.array(total[at], pa.int64())})
 
-    return counts.filter("word != X''").mapInArrow(task, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+def contexts(ids: DataFrame, size: int, buckets: int = 64) -> np.ndarray:
+    """(size + 1, buckets) over ids (ids): how often each id, or the end, which comes last, follows an id of each bucket. The start has a bucket as any id has."""
+    names = [f"b{i}" for i in range(buckets)]
 
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size + 1) * buckets, np.int64)
+        held: list[np.ndarray] = []
+        n = 0
 
-def vocabulary(id_counts: list[tuple[int, int]], ends: int, size: int, rows: int | None = None, single: int = 64, grouped: int = 32) -> Vocabulary:
-    """size ids of the tokenizer, then the start. The end is the id before the start.
+        def add() -> None:
+            x = np.concatenate(held)
+            follows = x[1:] < size + 1  # the start follows nothing
+            total[:] += np.bincount(x[1:][follows] * buckets + (x[:-1][follows] * 2654435761 % 2**32 >> 7) % buckets, minlength=len(total))
+            held.clear()
+
+        for batch in batches:
+            for raw in batch.column(0):
+                held += [[size + 1], numbers(raw.as_py(), size), [size]]
+                n += len(held[-2])
+                if n > 2_000_000:
+                    add()
+                    n = 0
+        if held:
+            add()
+        table = total.reshape(-1, buckets)
+        at = np.flatnonzero(table.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(table[at, i]) for i in range(buckets))], ["id", *names])
+
+    summed = ids.select("ids").mapInArrow(task, "id int, " + ", ".join(f"{x} long" for x in names)).groupBy("id").agg(*(F.sum(x).alias(x) for x in names))
+    got = summed.toArrow()  # at most a row for each id of the tokenizer
+    out = np.zeros((size + 1, buckets), np.int64)
+    if got.num_rows:
+        out[got["id"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], 1)
+    return out
+
+
+def clusters(table: np.ndarray, n: int, rounds: int = 15, seed: int = 3) -> np.ndarray:
+    """A cluster, of n, for each row of counts: k-means of the square roots of their smoothed shares, weighted by counts."""
+    total = table.sum(1, keepdims=True)
+    x = np.sqrt((table + 20 * (table.sum(0) + 1) / (table.sum() + table.shape[1])) / (total + 20))
+    weight = total[:, 0] + 0.5
+    rng = np.random.default_rng(seed)
+    centres = x[rng.choice(len(x), n, replace=False, p=weight / weight.sum())]
+    for _ in range(rounds):
+        of = (np.square(centres).sum(1) - 2 * x @ centres.T).argmin(1)
+        for c in range(n):
+            mine = of == c
+            centres[c] = np.average(x[mine], 0, weight[mine]) if mine.any() else x[rng.choice(len(x), p=weight / weight.sum())]
+    return of
+
+
+def vocabulary(table: np.ndarray, rows: int | None = None, single: int = 16, grouped: int = 32) -> Vocabulary:
+    """Ids of the tokenizer, then the end, then the start; table: counts by what stands before, as contexts() gives them.
 
     Every id has an input row of its own, or, with `rows`, the rarest share the last but one; the start has the last.
     """
-    rows = rows or size + 2
-    n = np.zeros(size + 2)
-    for i, c in id_counts:
-        n[i] = c
-    end = size
-    n[end] = ends
-    order = np.argsort(-n[:-1], kind="stable")
-    rank = np.empty(size + 2, np.int64)
-    rank[order] = np.arange(size + 1)
-    rank[-1] = rows - 1
-    smooth = n[:-1] + 0.5
-    of = np.full(size + 2, 0)
-    tail = order[single:]
-    mass = np.cumsum(smooth[tail])
+    end = len(table) - 1
+    rows = rows or end + 2
+    n = table.sum(1)
+    order = np.argsort(-n, kind="stable")
+    rank = np.empty(end + 2, np.int64)
+    rank[order] = np.arange(end + 1)
+    smooth = n + 0.5
+    of = np.zeros(end + 2, np.int64)
     of[order[:single]] = np.arange(single)
-    of[tail] = single + np.minimum(grouped - 1, (mass / mass[-1] * grouped).astype(int))
-    of[-1] = 0
+    of[order[single:]] = single + clusters(table[order[single:]], grouped)
     per = np.bincount(of[:-1], smooth, single + grouped) + 1e-9
     share = np.append(np.log10(smooth / per[of[:-1]]), 0.0).astype(np.float32)
     return Vocabulary(np.append(np.minimum(rank[:-1], rows - 2), rows - 1), of, share, np.log(per / per.sum()).astype(np.float32), end)
 
 
 WIDTH = 16
+_FAR = np.float32(-1e9)
 
 
 def shapes(vocab: Vocabulary, window: int) -> dict[str, tuple[int, ...]]:
@@ -147,7 +190,7 @@ def shapes(vocab: Vocabulary, window: int) -> dict[str, tuple[int, ...]]:
 class Model:
     """Parameters and the forward and backward passes."""
 
-    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, window: int = 32, overlap: int = 8):
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, window: int = 16, overlap: int = 4):
         self.vocab, self.window, self.overlap = vocab, window, overlap
         self.shapes = shapes(vocab, window)
         if flat is None:
@@ -160,40 +203,47 @@ class Model:
             at += math.prod(s)
         i = np.arange(window)
         self.back = np.clip(i[:, None] - i[None, :], 0, None)
-        self.later = np.where(i[None, :] > i[:, None], np.float32(-1e9), np.float32(0))
-
-    def attend(self, rows: np.ndarray, first: int, tables: tuple[np.ndarray, ...] | None = None):
-        """Attention of windows rows (B, window), for queries from `first` on; tables: rows already times q, k and v."""
-        p = self.p
-        if tables is None:
-            e = p["e"][rows]
-            q, k, v = e[:, first:] @ p["q"], e @ p["k"], e @ p["v"]
-        else:
-            q, k, v = tables[0][rows[:, first:]], tables[1][rows], tables[2][rows]
-        s = np.matmul(q, k.transpose(0, 2, 1))
-        s += (p["d"][self.back] + self.later)[first:]
-        s += np.where(rows == self.vocab.pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        s -= s.max(2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(2, keepdims=True)
-        x = p["e"][rows[:, first:]] + np.matmul(s, v)
-        return q, k, v, s, np.tanh(x)
-
-    def hidden(self, rows: np.ndarray, tables: tuple[np.ndarray, ...], mask: np.ndarray, steady: bool) -> np.ndarray:
-        """The last of attend() for queries from the overlap on. tables: q, k, v with a column of ones, which sums the weights.
-        steady: no sum of exponentials can overflow, so no maximum is taken off."""
-        own = rows[:, self.overlap :]
-        s = np.matmul(tables[0].take(own, 0), tables[1].take(rows, 0).transpose(0, 2, 1))
-        s += mask
-        if (rows[:, : self.overlap] == self.vocab.pad).any() or (rows[:, -1] == self.vocab.pad).any():
-            s += np.where(rows == self.vocab.pad, np.float32(-1e9), np.float32(0))[:, None, :]
-        if not steady:
+        self.later = np.where(i[None, :] > i[:, None], _FAR, np.float32(0))
+        self.room: dict[str, np.ndarray] = {}
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is used again by every batch, for what is large."""
+        n = math.prod(shape)
+        if name not in self.room or len(self.room[name]) < n:
+            self.room[name] = np.empty(n, np.float32)
+        return self.room[name][:n].reshape(shape)
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All input rows times q, k and v."""
+        return tuple(self.p["e"] @ self.p[n] for n in "qkv")
+
+    def attend(self, rows: np.ndarray, own: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weights, what the values give, hidden values and a column of ones) of windows of input rows for their last queries; own: the queries' rows of e."""
+        first = rows.shape[1] - own.shape[1]
+        s = np.matmul(q, k.transpose(0, 2, 1), out=self.space("s", *own.shape[:2], rows.shape[1]))
+        s += (self.p["d"][self.back] + self.later)[first:]
+        pads = rows == self.vocab.pad
+        if pads.any():
+            at = np.flatnonzero(pads.any(1))
+            s[at] += np.where(pads[at], _FAR, np.float32(0))[:, None, :]
+        if s.max() > 60:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
-        sums = np.matmul(s, tables[2].take(rows, 0))
-        x = sums[..., :-1] / (sums[..., -1:] + np.float32(1e-30))
-        x += self.p["e"].take(own, 0)
-        return np.tanh(x, out=x)
+        sums = s.reshape(-1, s.shape[2]) @ np.ones(s.shape[2], np.float32)
+        s *= (1 / (sums + np.float32(1e-30))).reshape(*own.shape[:2], 1)
+        given = np.matmul(s, v)
+        h = self.space("h", *own.shape[:2], WIDTH + 1)
+        h[..., -1] = 1
+        np.tanh(own + given, out=h[..., :-1])
+        return s, given, h
+
+    def odds(self, h: np.ndarray) -> np.ndarray:
+        """Odds of the classes for hidden values (n, WIDTH + 1)."""
+        both = np.concatenate([self.p["o"], self.p["b"][None]])
+        z = np.matmul(h, both, out=self.space("z", len(h), both.shape[1]))
+        if np.abs(both).sum(0).max() > 60:  # hidden values lie in -1..1
+            z -= z.max(1, keepdims=True)
+        return np.exp(z, out=z)
 
     def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input rows and next ids (-1: none) of texts one after the other, where their windows start, and each window's text."""
@@ -205,51 +255,33 @@ class Model:
         base = np.concatenate([[0], np.cumsum(room)])
         x = np.full(base[-1], vocab.pad, np.int32)
         y = np.full(base[-1], -1, np.int32)
-        for i, t in enumerate(ids):
-            at = base[i] + self.overlap
-            x[at] = vocab.row[vocab.start]
-            x[at + 1 : at + 1 + len(t)] = vocab.row[t]
-            y[at : at + len(t)] = t
-            y[at + len(t)] = vocab.end
+        # each text's ids, and the end, lie together from its base on; its inputs from `overlap` places later on
+        flat = np.concatenate([*ids, np.empty(0, np.int64)])
+        before = np.cumsum(lengths - 1) - (lengths - 1)
+        at = np.arange(len(flat)) + np.repeat(base[:-1] + self.overlap - before, lengths - 1)
+        y[at], x[at + 1] = flat, vocab.row[flat]
+        x[base[:-1] + self.overlap] = vocab.row[vocab.start]
+        y[base[:-1] + self.overlap + lengths - 1] = vocab.end
         starts = np.repeat(base[:-1], windows) + step * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
         return x, y, starts, np.repeat(np.arange(len(ids)), windows)
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """All rows times q, k and v, for log_scores of many lists with the same parameters."""
-        q, k, v = (self.p["e"] @ self.p[n] for n in "qkv")
-        return q, k, np.concatenate([v, np.ones((len(v), 1), np.float32)], 1)
-
-    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None) -> np.ndarray:
+    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None, batch: int = 128) -> np.ndarray:
         """log10 probability of each text of ids (its subwords, without start and end), batches of windows at a time."""
         vocab = self.vocab
-        q, k, _ = tables = tables or self.tables()
+        q, k, v = tables or self.tables()
         out = np.zeros(len(ids))
         x, y, starts, owner = self.windows(ids)
-        mask = (self.p["d"][self.back] + self.later)[self.overlap :]
-        steady = float(np.sqrt((q**2).sum(1).max() * (k**2).sum(1).max()) + np.abs(self.p["d"]).max()) < 60
-        flat = float(np.abs(self.p["o"]).sum(0).max() + np.abs(self.p["b"]).max()) < 60  # hidden values lie in -1..1
-        bias = np.exp(np.minimum(self.p["b"], 60))
         span = np.arange(self.window)
-        for at in range(0, len(starts), 64):
-            s = starts[at : at + 64, None] + span
-            h = self.hidden(x[s], tables, mask, steady)
-            target = y[s[:, self.overlap :]]
-            z = h.reshape(-1, WIDTH) @ self.p["o"]
-            if not flat:
-                z += self.p["b"]
-                z -= z.max(1, keepdims=True)
+        for at in range(0, len(starts), batch):
+            s = starts[at : at + batch, None] + span
+            rows, target = x[s], y[s[:, self.overlap :]]
+            own = rows[:, self.overlap :]
+            h = self.attend(rows, self.p["e"].take(own, 0), q.take(own, 0), k.take(rows, 0), v.take(rows, 0))[-1]
+            z = self.odds(h.reshape(-1, WIDTH + 1))
             t = target.ravel()
-            c = vocab.of.take(t)
-            logp = z[np.arange(len(t)), c]
-            np.exp(z, out=z)
-            if flat:
-                logp += self.p["b"].take(c)
-                logp -= np.log(z @ bias)
-            else:
-                logp -= np.log(z.sum(1))
-            logp = logp * np.float32(1 / math.log(10)) + vocab.share.take(t)
+            logp = np.log10(z[np.arange(len(t)), vocab.of.take(t)] / (z @ np.ones(z.shape[1], np.float32)) + np.float32(1e-37)) + vocab.share.take(t)
             logp[t < 0] = 0
-            np.add.at(out, owner[at : at + 64], logp.reshape(target.shape).sum(1, dtype=float))
+            out += np.bincount(owner[at : at + batch], logp.reshape(target.shape).sum(1, dtype=float), len(ids))
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
@@ -261,63 +293,79 @@ class Model:
 
     def slopes(self, x: np.ndarray, y: np.ndarray, first: int) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """As gradient(), with targets y of the places from `first` on; the gradient of e is given as rows and theirs."""
-        p = self.p
-        q, k, v, a, h = self.attend(x, first)
-        z = h @ p["o"] + p["b"]
-        z -= z.max(2, keepdims=True)
-        e = np.exp(z, out=z)
-        prob = e / e.sum(2, keepdims=True)
-        on = y >= 0
-        n = max(1, on.sum())
-        right = np.take_along_axis(prob, np.maximum(y, 0)[..., None], 2)[..., 0]
-        loss = float(-np.log(right[on] + 1e-20).sum() / n)
-        dz = prob
-        np.put_along_axis(dz, np.maximum(y, 0)[..., None], (right - 1)[..., None], 2)
-        dz *= (on / np.float32(n))[..., None].astype(np.float32)
-        g = {"o": h.reshape(-1, WIDTH).T @ dz.reshape(-1, dz.shape[2]), "b": dz.sum((0, 1))}
-        dx = (dz @ p["o"].T) * (1 - h * h)
-        da = np.matmul(dx, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), dx)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
+        p, (n, w) = self.p, x.shape
+        e = p["e"].take(x, 0)
+        flat, own = e.reshape(-1, WIDTH), np.ascontiguousarray(e[:, first:])
+        q = (own.reshape(-1, WIDTH) @ p["q"]).reshape(own.shape)
+        k, v = ((flat @ p[name]).reshape(e.shape) for name in "kv")
+        a, given, h = self.attend(x, own, q, k, v)
+        z = self.odds(h.reshape(-1, WIDTH + 1))
+        t = y.ravel()
+        on = t >= 0
+        count, at, t = max(1, int(on.sum())), np.arange(len(t)), np.maximum(t, 0)
+        share = on.astype(np.float32) / np.float32(count)
+        total = z @ np.ones(z.shape[1], np.float32)
+        loss = -float(np.log(z[at, t] / total + np.float32(1e-37)) @ share)
+        z *= (share / total)[:, None]
+        z[at, t] -= share
+        ob = h.reshape(-1, WIDTH + 1).T @ z
+        h = h[..., :-1]
+        dx = (z @ p["o"].T).reshape(own.shape)
+        dx *= 1 - h * h
+        ds = np.matmul(dx, v.transpose(0, 2, 1), out=self.space("ds", *a.shape))
+        ds -= np.einsum("nid,nid->ni", dx, given)[..., None]
+        ds *= a
+        dk, dv = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH), np.matmul(a.transpose(0, 2, 1), dx).reshape(-1, WIDTH)
+        dq = np.matmul(ds, k).reshape(-1, WIDTH)
+        g = {"q": own.reshape(-1, WIDTH).T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "o": ob[:-1], "b": ob[-1]}
         g["d"] = np.bincount(self.back[first:].ravel(), (ds.sum(0) * (self.later[first:] == 0)).ravel(), self.window)
-        dq, dk = np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q)
-        emb = p["e"][x]
-        de = dk @ p["k"].T + dv @ p["v"].T
-        de[:, first:] += dx + dq @ p["q"].T
-        for name, own, d in (("q", emb[:, first:], dq), ("k", emb, dk), ("v", emb, dv)):
-            g[name] = own.reshape(-1, WIDTH).T @ d.reshape(-1, WIDTH)
-        order = np.argsort(x.ravel(), kind="stable")
-        rows, at = np.unique(x.ravel()[order], return_index=True)
-        return loss, g, rows, np.add.reduceat(de.reshape(-1, WIDTH)[order], at)
-
+        de = (dk @ p["k"].T + dv @ p["v"].T).reshape(e.shape)
+        dx += (dq @ p["q"].T).reshape(dx.shape)
+        de[:, first:] += dx
+        places = x.ravel().astype(np.uint16 if self.vocab.pad < 1 << 16 else np.int32)  # short numbers sort by radix
+        order = np.argsort(places, kind="stable")
+        places = places[order]
+        begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+        return loss, g, places[begins].astype(np.int64), np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), begins)
+
+
+class Steps:
+    """AdaGrad for a model's parameters, with one rate for each input row. state: what has been summed, as flat numbers."""
+
+    def __init__(self, model: Model, rate: float, state: np.ndarray | None = None):
+        self.model, self.rate = model, np.float32(rate)
+        sizes = {k: (s[0], 1) if k == "e" else s for k, s in model.shapes.items()}
+        self.state = np.full(sum(map(math.prod, sizes.values())), 1e-8, np.float32) if state is None else state.astype(np.float32).copy()
+        self.sums, at = {}, 0
+        for k, s in sizes.items():
+            self.sums[k] = self.state[at : at + math.prod(s)].reshape(s)
+            at += math.prod(s)
 
-class Adam:
-    """Steps for a model's parameters; an input row's moments change only when it occurs."""
+    def step(self, g: dict[str, np.ndarray], rows: np.ndarray, sums: np.ndarray) -> None:
+        for name, d in g.items():
+            self.sums[name] += d * d
+            self.model.p[name] -= self.rate * d / np.sqrt(self.sums[name])
+        seen = self.sums["e"][rows] + np.square(sums).mean(1, keepdims=True)
+        self.sums["e"][rows] = seen
+        self.model.p["e"][rows] -= self.rate * sums / np.sqrt(seen)
 
-    def __init__(self, model: Model, rate: float):
-        self.model, self.t, self.rate = model, 0, rate
-        self.moments = {k: (np.zeros(s, np.float32), np.zeros(s, np.float32)) for k, s in model.shapes.items()}
 
-    def step(self, g: dict[str, np.ndarray], rows: np.ndarray, sums: np.ndarray) -> None:
-        self.t += 1
-        for name, (m, v) in self.moments.items():
-            at, d = (rows, sums) if name == "e" else (slice(None), g[name])
-            m[at] += 0.1 * (d - m[at])
-            v[at] += 0.01 * (d * d - v[at])
-            self.model.p[name][at] -= self.rate * (m[at] / (1 - 0.9**self.t)) / (np.sqrt(v[at] / (1 - 0.99**self.t)) + 1e-6)
+#: Rounds of training: each learns from the texts whose hash mod 8 is named, so that every text is learned once.
+ROUNDS = ((0,), (1, 2, 3), (4, 5, 6, 7))
 
 
-def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str, passes: int = 2, batch: int = 64, rate: float = 0.01) -> np.ndarray:
-    """Parameters after `passes` rounds of training by tasks and averaging. docs: text."""
-    context = docs.sparkSession.sparkContext
+def train(encoded: DataFrame, vocab: Vocabulary, rounds: tuple[tuple[int, ...], ...] = ROUNDS, batch: int = 128, rate: float = 0.1) -> np.ndarray:
+    """Parameters after training by tasks and averaging, a round after another. encoded: ids, as encode() gives them."""
+    context = encoded.sparkSession.sparkContext
     flat = Model(vocab).flat
-    for number in range(passes):
-        shared = context.broadcast((vocab, flat))  # of the model's size, which the input does not change
+    size, state = len(flat), None
+    for number, part in enumerate(rounds):
+        shared = context.broadcast((vocab, flat, state))  # of the model's size, which the input does not change
 
         def task(batches: Iterator[pa.RecordBatch], shared=shared, speed=rate / (1 + number)) -> Iterator[pa.RecordBatch]:
-            vocab, flat = shared.value
+            vocab, flat, state = shared.value
             model = Model(vocab, flat)
-            adam, subwords, rng = Adam(model, speed), Subwords(tokenizer), np.random.default_rng(5)
+            steps, rng = Steps(model, speed, state), np.random.default_rng(5)
             seen, held, size = 0, [], 0
             span = np.arange(model.window)
 
@@ -327,24 +375,25 @@ def train(docs: DataFrame, vocab: Vocabulary, tokenizer: str, passes: int = 2, b
                 of = np.where(y < 0, -1, vocab.of[y])
                 for s in np.array_split(rng.permutation(starts), -(-len(starts) // batch)):
                     s = s[:, None] + span
-                    adam.step(*model.slopes(x[s], of[s[:, model.overlap :]], model.overlap)[1:])
+                    steps.step(*model.slopes(x[s], of[s[:, model.overlap :]], model.overlap)[1:])
                 held.clear()
                 return int((y >= 0).sum())
 
             for b in batches:
-                for text in b.column(0):
-                    held.append(np.frombuffer(subwords.encode(text.as_py()), "<u4").astype(np.int64))
+                for ids in b.column(0):
+                    held.append(numbers(ids.as_py(), vocab.end))
                     size += len(held[-1]) + 1
-                    if size >= 32 * batch * (model.window - model.overlap):
+                    if size >= 64 * batch * (model.window - model.overlap):
                         seen, size = seen + learn(), 0
             if held:
                 seen += learn()
             if seen:
-                yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "weight": [float(seen)], "flat": pa.array([model.flat.tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "weight": [float(seen)], "flat": pa.array([np.concatenate([model.flat, steps.state]).tobytes()], pa.binary())})
 
-        rows = stored(docs.select("text").mapInArrow(task, "task long, weight double, flat binary"), "attention")
-        total = averaged(rows)
-        flat = flat if total is None else total
+        texts = encoded.filter(F.pmod(F.xxhash64("ids"), F.lit(8)).isin(*part)).select("ids")
+        total = averaged(stored(texts.mapInArrow(task, "task long, weight double, flat binary"), "attention"))
+        if total is not None:
+            flat, state = total[:size], total[size:]
     return flat
 
 
@@ -368,52 +417,77 @@ def averaged(rows: DataFrame, fan: int = 24) -> np.ndarray | None:
     return None if last is None else np.frombuffer(last["flat"], np.float32)
 
 
-def score(docs: DataFrame, train_on: str, tokenizer: str, hot: int = 200_000, **training) -> DataFrame:
-    """docs (doc_id, text, flag train_on) to (doc_id, learned, n_tokens, n_known, train_tokens, base_score, score)."""
-    context = docs.sparkSession.sparkContext
-    texts = docs.filter(train_on).select("text")
-    counts = stored(word_counts(texts), "word-counts")
-    total, distinct, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
-    total = total or 0
-    floor = total + distinct + 1
-    size = Subwords(tokenizer).size
-    vocab = vocabulary([tuple(r) for r in subword_counts(counts, tokenizer).collect()], ends or 0, size)  # at most as many as the tokenizer has ids
-    shared = context.broadcast((vocab, train(texts, vocab, tokenizer, **training), frequent(counts, hot)))
+def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[bytes, int]], floor: int, ends: int | None) -> DataFrame:
+    """A row for each of docs, numbered, stored: its ids, and what the base needs: the sum over the end and the known `words`, and the other words.
+
+    floor: what counts are divided by; ends: how many training texts there are, None for no training words at all.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, flat, hot = shared.value
-        model, subwords = Model(vocab, flat), Subwords(tokenizer)
-        tables = model.tables()
-        logs = {w: math.log10((c + 1) / floor) for w, c in hot}
+        cut = subwords(tokenizer)
+        logs = {w: math.log10((c + 1) / floor) for w, c in shared.value}
         row = TaskContext.get().partitionId() << 36
         end = (1, logs[END]) if END in logs else (int(ends is not None), math.log10(((ends or 0) + 1) / floor))
+        short = cut.size <= 1 << 16
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 known, sums, n, others, often, ends_at, ids = [], [], [], [], [], [0], []
                 for text in part.column("text"):
                     text = text.as_py()
-                    words = words_of(text)
-                    found = list(map(logs.get, words))
-                    missing = Counter([w for w, x in zip(words, found) if x is None]) if None in found else {}
-                    n.append(len(words) + 1)
-                    known.append(len(words) - sum(missing.values()) + end[0])
+                    said = words_of(text)
+                    found = list(map(logs.get, said))
+                    missing = Counter([w for w, x in zip(said, found) if x is None]) if None in found else {}
+                    n.append(len(said) + 1)
+                    known.append(len(said) - sum(missing.values()) + end[0])
                     sums.append(math.fsum(filter(None, found)) + end[1])
                     others.extend(missing)
                     often.extend(missing.values())
                     ends_at.append(len(others))
-                    ids.append(np.frombuffer(subwords.encode(text), "<u4").astype(np.int64))
+                    raw = cut.encode(text)
+                    ids.append(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if short else raw)
                 rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(often, pa.int64())], ["word", "n"]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array(model.log_scores(ids, tables), pa.float64())],
-                    ["row", "doc_id", "learned", "n", "known", "sum", "rest", "score"],
+                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array(ids, pa.binary())],
+                    ["row", "doc_id", "learned", "n", "known", "sum", "rest", "ids"],
                 )
                 row += part.num_rows
 
-    first = docs.select(F.col("doc_id").cast("long"), F.col(train_on).alias("learned"), "text")
-    scored = stored(first.mapInArrow(task, "row long, doc_id long, learned boolean, n long, known long, sum double, rest array<struct<word:binary,n:long>>, score double"), "scored")
-    others = scored.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(counts, "word", "left")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col(train_on).alias("learned"), "text")
+    return stored(rows.mapInArrow(task, "row long, doc_id long, learned boolean, n long, known long, sum double, rest array<struct<word:binary,n:long>>, ids binary"), "encoded")
+
+
+def modelled(encoded: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
+    """(row, doc_id, learned, n, known, sum, score) of encode()'s rows: the model's log10 probability of each."""
+    shared = encoded.sparkSession.sparkContext.broadcast((vocab, flat))
+    kept = ["row", "doc_id", "learned", "n", "known", "sum"]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, flat = shared.value
+        model = Model(vocab, flat)
+        tables = model.tables()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                ids = [numbers(x.as_py(), vocab.end) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model.log_scores(ids, tables), pa.float64())], [*kept, "score"])
+
+    return encoded.select(*kept, "ids").mapInArrow(task, "row long, doc_id long, learned boolean, n long, known long, sum double, score double")
+
+
+def score(docs: DataFrame, train_on: str, tokenizer: str, hot: int = 200_000, **training) -> DataFrame:
+    """docs (doc_id, text, flag train_on) to (doc_id, learned, n_tokens, n_known, train_tokens, base_score, score)."""
+    counts = stored(word_counts(docs.filter(train_on).select("text")), "word-counts")
+    total, distinct, ends = counts.agg(F.sum("c"), F.count(F.lit(1)), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+    total = total or 0
+    floor = total + distinct + 1
+    encoded = encode(docs, train_on, tokenizer, frequent(counts, hot), floor, ends)
+    ids = encoded.filter("learned").select("ids")
+    vocab = vocabulary(contexts(ids, subwords(tokenizer).size))
+    scored = modelled(encoded, vocab, train(ids, vocab, **training))
+    others = encoded.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(counts, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(floor))
     more = others.groupBy("row").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
-    both = scored.drop("rest").join(more, "row", "left")
+    both = scored.join(more, "row", "left")
     return both.select("doc_id", "learned", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sum") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

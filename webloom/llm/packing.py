@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .subwords import Subwords
+from .subwords import subwords
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -73,7 +73,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     end = end_id.to_bytes(4, "little")
 
     def worker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        subwords, bins = Subwords(tokenizer), Bins(capacity)
+        cut_up, bins = subwords(tokenizer), Bins(capacity)
         base = TaskContext.get().partitionId() << 36
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -84,7 +84,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(subwords.encode(text.as_py()) + end)
+                ids = memoryview(cut_up.encode(text.as_py()) + end)
                 total = len(ids) // 4
                 for start, length in cut(total, capacity):
                     crc = zlib.crc32(ids[4 * start : 4 * (start + length)])

@@ -5,9 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 import unicodedata
-
-import numpy as np
+from functools import lru_cache
 
 #: White space on which the tokenizer never joins: its pre-tokenizer splits there too.
 _chunks = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
@@ -30,11 +30,15 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _pack(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Subwords:
-    """Encodes piece by piece; ids of short pieces are kept, at most `most` of them, so memory is bounded.
+    """Encodes word by word; ids of short words are kept, at most `most` of them, so memory is bounded.
 
-    Latin texts are split here as the tokenizer's own rules do, so that a word is one piece whatever stands beside it, and
-    new words go straight to its merges. All other texts go through the whole tokenizer, by white space.
+    White space always divides. Words of Latin texts are divided here as the tokenizer's own rules do and go straight to
+    its merges; those of all other texts go through the whole tokenizer.
     """
 
     def __init__(self, path: str, most: int = 500_000):
@@ -46,6 +50,7 @@ class Subwords:
         self.size = self.tokenizer.get_vocab_size()
         self.most = most
         self.kept: dict[str, bytes] = {}
+        self.kept_runs: dict[str, bytes] = {}
         self.kept_chunks: dict[str, bytes] = {}
         self.letters = _byte_letters()
         parts = json.loads(self.tokenizer.to_str())
@@ -53,14 +58,10 @@ class Subwords:
         splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.latin = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
-    def _run(self, run: str) -> bytes:
-        text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-        return np.array([t.id for t in self.model.tokenize(text)], "<u4").tobytes()
-
     def _all(self, pieces: list[str], kept: dict[str, bytes], learn) -> bytes:
         ids = list(map(kept.get, pieces))
         if None in ids:
-            new = learn(list({p for p, i in zip(pieces, ids) if i is None}))
+            new = learn(dict.fromkeys(p for p, i in zip(pieces, ids) if i is None))
             ids = [i if i is not None else new[p] for p, i in zip(pieces, ids)]
             if len(kept) + len(new) > self.most:
                 kept.clear()
@@ -70,9 +71,30 @@ class Subwords:
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if self.latin and not _other(text):
-            return self._all(_runs(text.lower()), self.kept, lambda new: {p: self._run(p) for p in new})
+            return self._all(text.lower().split(), self.kept, self._latin)
         return self._all(_chunks(text), self.kept_chunks, self._chunks)
 
-    def _chunks(self, chunks: list[str]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch(chunks, add_special_tokens=False)
-        return {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, encoded)}
+    def _latin(self, words: dict[str, None]) -> dict[str, bytes]:
+        return {w: b"".join(map(self._run, _runs(w))) for w in words}
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a part of a word; they are kept too, as words come with many marks around them."""
+        ids = self.kept_runs.get(run)
+        if ids is None:
+            text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+            ids = _pack([t.id for t in self.model.tokenize(text)])
+            if len(self.kept_runs) >= self.most:
+                self.kept_runs.clear()
+            if len(run) <= 48:
+                self.kept_runs[run] = ids
+        return ids
+
+    def _chunks(self, chunks: dict[str, None]) -> dict[str, bytes]:
+        encoded = self.tokenizer.encode_batch(list(chunks), add_special_tokens=False)
+        return {c: _pack(e.ids) for c, e in zip(chunks, encoded)}
+
+
+@lru_cache(maxsize=2)
+def subwords(path: str) -> Subwords:
+    """The encoder of a tokenizer file: one for all tasks that a worker process runs, so that words seen before are known."""
+    return Subwords(path)
