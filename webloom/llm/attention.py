@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import discard, stored
 from .subwords import subwords
 
 END = b""
@@ -159,7 +159,7 @@ def clusters(table: np.ndarray, n: int, rounds: int = 15, seed: int = 3) -> np.n
     return of
 
 
-def vocabulary(table: np.ndarray, rows: int | None = None, single: int = 16, grouped: int = 32) -> Vocabulary:
+def vocabulary(table: np.ndarray, rows: int | None = None, single: int = 8, grouped: int = 32) -> Vocabulary:
     """Ids of the tokenizer, then the end, then the start; table: counts by what stands before, as contexts() gives them.
 
     Every id has an input row of its own, or, with `rows`, the rarest share the last but one; the start has the last.
@@ -179,7 +179,7 @@ def vocabulary(table: np.ndarray, rows: int | None = None, single: int = 16, gro
     return Vocabulary(np.append(np.minimum(rank[:-1], rows - 2), rows - 1), of, share, np.log(per / per.sum()).astype(np.float32), end)
 
 
-WIDTH = 16
+WIDTH = 8
 _FAR = np.float32(-1e9)
 
 
@@ -391,7 +391,9 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: tuple[tuple[int, ...],
                 yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "weight": [float(seen)], "flat": pa.array([np.concatenate([model.flat, steps.state]).tobytes()], pa.binary())})
 
         texts = encoded.filter(F.pmod(F.xxhash64("ids"), F.lit(8)).isin(*part)).select("ids")
-        total = averaged(stored(texts.mapInArrow(task, "task long, weight double, flat binary"), "attention"))
+        trained = stored(texts.mapInArrow(task, "task long, weight double, flat binary"), "attention")
+        total = averaged(trained)
+        discard(trained)
         if total is not None:
             flat, state = total[:size], total[size:]
     return flat
@@ -485,7 +487,7 @@ def score(docs: DataFrame, train_on: str, tokenizer: str, hot: int = 200_000, **
     encoded = encode(docs, train_on, tokenizer, frequent(counts, hot), floor, ends)
     ids = encoded.filter("learned").select("ids")
     vocab = vocabulary(contexts(ids, subwords(tokenizer).size))
-    scored = modelled(encoded, vocab, train(ids, vocab, **training))
+    scored = stored(modelled(encoded, vocab, train(ids, vocab, **training)), "scored")
     others = encoded.select("row", F.explode("rest").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("n")).join(counts, "word", "left")
     log = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(floor))
     more = others.groupBy("row").agg(F.sum(F.col("n") * log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("also"))
