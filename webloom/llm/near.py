@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, whole
+from .shared import discard, stored, whole
 
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -187,14 +187,18 @@ def components(links: DataFrame) -> DataFrame:
     """(key, component) of every key in links (a, b); a component is its least key. Labels go to neighbours and to the labels' own labels until none changes."""
     arcs = stored(links.union(links.select("b", "a")).distinct().toDF("a", "b"), "near-arcs")
     labels = stored(arcs.groupBy(F.col("a").alias("key")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "near-labels")
+    before = labels
     while True:
         near = arcs.join(labels.withColumnRenamed("key", "a"), "a").groupBy(F.col("b").alias("key")).agg(F.min("component").alias("new"))
         wide = labels.join(near, "key", "left").select("key", "component", F.least("component", "new").alias("new"))
         wide = stored(wide, "near-labels")
         own = wide.select(F.col("key").alias("new"), F.col("new").alias("newer"))
-        wide = stored(wide.join(own, "new", "left").select("key", "component", F.least("new", "newer").alias("new")), "near-labels")
-        labels = wide.select("key", F.col("new").alias("component"))
-        if wide.filter("component != new").isEmpty():
+        nearer = stored(wide.join(own, "new", "left").select("key", "component", F.least("new", "newer").alias("new")), "near-labels")
+        discard(wide)
+        discard(before)
+        before, labels = nearer, nearer.select("key", F.col("new").alias("component"))
+        if nearer.filter("component != new").isEmpty():
+            discard(arcs)
             return labels
 
 
@@ -202,7 +206,7 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
-def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int, rare: int) -> DataFrame:
+def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int, rare: int, salt: int = 2048) -> DataFrame:
     """Pairs (a, b) of labelled (band, key, n, c, lead) that may link what is outside a bucket's leader's component to the rest of the bucket.
 
     Buckets of at most `large` texts give all such pairs. In larger ones a pair comes up in the first band that both share,
@@ -232,7 +236,11 @@ def remaining(labelled: DataFrame, sets: DataFrame, threshold: float, large: int
     y = stored(members.join(counted, "key"), "near-inside")
     p, q = 1 - F.col("part"), 1 - F.col("x_part")
     able = (p * q >= (threshold - 1e-9) * F.greatest(q + F.col("x_part") * p, p + F.col("part") * q)) & (~(F.col("x_plain") & F.col("plain")) | (F.least(F.col("size") - F.col("r"), F.col("x_size") - F.col("x_r")) >= threshold * F.greatest(F.col("size") + F.col("x_r"), F.col("x_size") + F.col("r")) - 1e-6))
-    by_bound = _ordered(y.join(x, (y["band"] == x["band"]) & (F.col("c") != F.col("x_c")) & able & (F.array_min(F.array_intersect("own", "x_own")) == y["band"])).select("key", "x_key"), "key", "x_key")
+    # a large band's members are dealt to salts of some thousands, and those outside are copied to each salt: no task gets a whole band's pairs
+    n_salts = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / salt).cast("int").alias("salts"))
+    y = y.join(n_salts, "band").withColumn("salt", F.pmod(F.xxhash64("key"), F.col("salts")).cast("int"))
+    x = x.join(n_salts, "band").withColumn("x_salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    by_bound = _ordered(y.join(x, (y["band"] == x["band"]) & (F.col("salt") == F.col("x_salt")) & (F.col("c") != F.col("x_c")) & able & (F.array_min(F.array_intersect("own", "x_own")) == y["band"])).select("key", "x_key"), "key", "x_key")
     return small.union(by_rare).union(by_bound).distinct()
 
 
@@ -242,7 +250,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text"))
     sketched = stored(sketches(docs, bands, rows), "near-sketches")
     # one vertex per text; a group of copies is combined before it is shuffled
-    vertices = stored(sketched.filter("bands is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "near-vertices")
+    vertices = stored(sketched.filter("bands is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.count(F.lit(1)).alias("copies")), "near-vertices")
     members = vertices.select("key", F.explode("bands").alias("band"))
     crowds = stored(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-crowds")
     shared = stored(members.join(crowds, "band"), "near-shared")
@@ -259,10 +267,15 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 32, rows: int
     more = stored(remaining(labelled, sets, threshold, large, rare).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
         found = components(links.union(verified(more, sets, threshold)))
-    merged = vertices.select("key", "rep").join(found, "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
+    merged = vertices.select("key", "rep", "copies").join(found, "key", "left").select("key", "rep", "copies", F.coalesce("component", "key").alias("component"))
     least = stored(merged.groupBy("component").agg(F.min("rep").alias("class_id")), "near-classes")
-    named = stored(merged.join(least, "component").select("key", "class_id", "component"), "near-classes")
-    worded = sketched.filter("bands is not null").select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", "component")
+    named = stored(merged.join(least, "component").select("key", "copies", "class_id", "component"), "near-classes")
+    # a text that more than a thousandth of all rows repeat is looked up in a table of at most a thousand rows, so its copies don't meet in one task
+    n = sketched.count()
+    often = F.broadcast(named.filter(F.col("copies") * 1000 > n).select("key", F.col("class_id").alias("often_id"), F.col("component").alias("often")))
+    looked = sketched.filter("bands is not null").select("doc_id", "key").join(often, "key", "left")
+    rarer = looked.filter("often is null").select("doc_id", "key").join(named, "key").select("doc_id", "key", "class_id", "component")
+    worded = rarer.union(looked.filter("often is not null").select("doc_id", "key", F.col("often_id").alias("class_id"), F.col("often").alias("component")))
     return stored(worded.union(sketched.filter("bands is null").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(None).cast("binary").alias("component"))), "near-result")
 
 
