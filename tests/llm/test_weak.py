@@ -58,3 +58,40 @@ def test_empty(spark):
 def test_no_python_in_plan(spark, sf):
     plan = weak.base(spark.read.parquet(f"{sf}/documents.parquet")).withColumn("x", F.lit(1))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def plain_posteriors(votes, rounds=500):
+    """Expectation-maximisation document by document: votes is a list of rows."""
+    k, n, prior = len(votes[0]), len(votes), 0.8
+    chance = {(y, r, v): c for y, side in ((1, weak._GOOD), (0, weak._BAD)) for r in range(k) for v, c in ((1, side[0] / 10), (0, side[1] / 10))}
+    for _ in range(rounds):
+        post = []
+        for row in votes:
+            like = {1: prior, 0: 1 - prior}
+            for y in (0, 1):
+                for r, v in enumerate(row):
+                    like[y] *= 1 if v is None else chance[y, r, v]
+            post.append(like[1] / (like[0] + like[1]))
+        prior = min(0.999, max(0.001, (sum(post) + 8) / (n + 10)))
+        for r in range(k):
+            for y, side in ((1, weak._GOOD), (0, weak._BAD)):
+                p = [x if y else 1 - x for x in post]
+                for v in (1, 0):
+                    chance[y, r, v] = (side[1 - v] + sum(x for x, row in zip(p, votes) if row[r] == v)) / (sum(p) + sum(side))
+            chance[1, r, 0] = min(chance[1, r, 0], chance[0, r, 0])
+            chance[0, r, 1] = min(chance[0, r, 1], chance[1, r, 1])
+    return prior, post
+
+
+def test_posteriors_against_plain_fitting(spark):
+    features = weak.base(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
+    judged = weak.judge(features, weak.rules())
+    rows = judged.select(*(v.alias(n) for n, v in weak.rules().items()), "posterior", "kept", "base_failed").collect()
+    prior, want = plain_posteriors([tuple(r[n] for n in weak.rules()) for r in rows], rounds=200)
+    assert all(abs(r.posterior - p) < 1e-6 and r.kept == (not r.base_failed and r.posterior >= 0.5) for r, p in zip(rows, want))
+
+
+def test_abstaining_is_no_evidence():
+    patterns = [((1, 1, None), 700), ((0, 0, None), 180), ((None, None, None), 120), ((1, None, None), 50)]
+    prior, _, post = weak.expect(patterns)
+    assert abs(post[(None, None, None)] - prior) < 1e-6 and post[(1, None, None)] > prior

@@ -2,7 +2,7 @@
 
 Each rule votes 1 (good), 0 (bad) or null (abstains). Expectation-maximisation over the counts of vote patterns, of
 which there are at most 3 to the number of rules whatever the input, estimates the share of good documents and each
-rule's accuracy on either side; from these, each pattern has a posterior probability that a document is good.
+rule's accuracy on either side; from these, each document has a posterior probability of being good. Abstaining is no evidence.
 
 A null or empty text has no words: its counts are zero and base_failed holds. An empty table gives no rows. Equal
 rows are judged once each. Other columns, whatever their names, are kept out of the result unless asked for.
@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WORD
+from .shared import WORD, let
 
 #: Fixed values of the contract.
 _SYMBOLS = "#*$%&|<>"
@@ -52,25 +52,20 @@ def repeated_words(w: Column) -> Column:
                 same = lambda x, j: F.coalesce((F.shiftright(x, _POSITIONS) == F.shiftright(F.get(s, j), _POSITIONS)) & (F.get(h, place(x)) == F.get(h, place(F.get(s, j)))), F.lit(False))
                 return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), place))
 
-            return _let(packed, repeats)
+            return let(packed, repeats)
 
-        return _let(hashes, of)
+        return let(hashes, of)
 
     def long() -> Column:
         def repeats(s: Column) -> Column:
             same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
             return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
 
-        return _let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), repeats)
+        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), repeats)
 
     return F.when(n < 4, F.lit(0).cast("long")).when(n < (1 << _POSITIONS), covered(short())).otherwise(covered(long()))
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once: a lambda binds it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) and what the rules read."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -80,7 +75,7 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = rows.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), bare.alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("lines"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("lines"),
         repeated_words(F.col("w")).alias("n_repeat_words"),
         F.size(F.array_distinct("w")).cast("long").alias("n_distinct"),
         (F.length("text") - F.length(F.translate("text", "|{}[]=_\\~^", ""))).cast("long").alias("n_marks"),
@@ -117,60 +112,65 @@ def rules() -> dict[str, Column]:
 _GOOD, _BAD = (6.0, 0.3, 3.7), (1.5, 6.0, 2.5)
 
 
-def expect(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 200) -> tuple[float, list[tuple[tuple, tuple]], dict[tuple, float]]:
-    """(share of good, each rule's outcome probabilities (good, bad, abstains) given a good and a bad document, posterior of each pattern).
+def weights(prior: float, table: list[tuple[tuple, tuple]]) -> tuple[float, list[tuple[float, float]]]:
+    """(log odds of good before any vote, for each rule what a vote for good and one for bad add to them)."""
+    return math.log(prior / (1 - prior)), [(math.log(good[0] / bad[0]), math.log(good[1] / bad[1])) for good, bad in table]
+
+
+def posterior(votes: tuple[int | None, ...], start: float, adds: list[tuple[float, float]]) -> float:
+    odds = start + sum(a[1 - v] for v, a in zip(votes, adds) if v is not None)
+    return 1 / (1 + math.exp(max(-700.0, min(700.0, -odds))))
 
-    Expectation-maximisation over patterns and their counts; abstaining is an outcome like a vote, so a vote that good documents
-    hardly ever get weighs much. The starting beliefs stay as pseudo-counts. A rule's vote against is never taken to be
-    likelier for good documents than for bad ones, nor the reverse, lest the sides change places.
+
+def expect(patterns: list[tuple[tuple[int | None, ...], int]], rounds: int = 500) -> tuple[float, list[tuple[tuple, tuple]], dict[tuple, float]]:
+    """(share of good, each rule's chance to vote good and to vote bad on a good and on a bad document, posterior of each pattern).
+
+    Expectation-maximisation over patterns and their counts. A vote weighs as much as it is likelier on the one side than
+    on the other; a rule that abstains is taken as not asked, so it leaves the posterior where it is, and a document on
+    which all abstain has the share of good as its own. The starting beliefs stay as pseudo-counts. A rule's vote against is never taken to
+    be likelier for good documents than for bad ones, nor the reverse, lest the sides change places.
     """
     k = len(patterns[0][0]) if patterns else 0
     prior = 0.8
-    table = [tuple(tuple(x / 10 for x in side) for side in (_GOOD, _BAD))] * k
-    which = lambda v: 2 if v is None else 1 - v
-
-    def posterior(votes: tuple) -> float:
-        g, b = math.log(prior), math.log(1 - prior)
-        for v, (good, bad) in zip(votes, table):
-            g += math.log(good[which(v)])
-            b += math.log(bad[which(v)])
-        return 1 / (1 + math.exp(max(-700.0, min(700.0, b - g))))
-
+    table = [tuple(tuple(x / sum(side) for x in side[:2]) for side in (_GOOD, _BAD))] * k
+    total = sum(n for _, n in patterns)
     for _ in range(rounds):
-        post = {v: posterior(v) for v, _ in patterns}
-        total = sum(n for _, n in patterns)
-        share = (sum(n * post[v] for v, n in patterns) + 8) / (total + 10)
+        start, adds = weights(prior, table)
+        post = [(v, n, n * posterior(v, start, adds)) for v, n in patterns]
+        share = (sum(p for *_, p in post) + 8) / (total + 10)
         new = []
         for r in range(k):
-            good, bad = list(_GOOD), list(_BAD)
-            for v, n in patterns:
-                good[which(v[r])] += n * post[v]
-                bad[which(v[r])] += n * (1 - post[v])
-            good, bad = [x / sum(good) for x in good], [x / sum(bad) for x in bad]
+            good, bad = list(_GOOD[:2]), list(_BAD[:2])
+            for v, n, p in post:
+                if v[r] is not None:
+                    good[1 - v[r]] += p
+                    bad[1 - v[r]] += n - p
+            on_good, on_bad = sum(p for *_, p in post) + sum(_GOOD), sum(n - p for _, n, p in post) + sum(_BAD)
+            good, bad = [x / on_good for x in good], [x / on_bad for x in bad]
             good[1], bad[0] = min(good[1], bad[1]), min(bad[0], good[0])
             new.append((tuple(good), tuple(bad)))
         moved = max([abs(share - prior), *(abs(x - y) for p, q in zip(new, table) for one, two in zip(p, q) for x, y in zip(one, two))])
         prior, table = min(0.999, max(0.001, share)), new
         if moved < 1e-9:
             break
-    return prior, table, {v: posterior(v) for v, _ in patterns}
+    return prior, table, {v: posterior(v, *weights(prior, table)) for v, _ in patterns}
 
 
 def judge(features: DataFrame, votes: dict[str, Column], threshold: float = 0.5) -> DataFrame:
     """features with posterior and kept: not base_failed and a posterior of at least threshold.
 
-    features is read twice, so callers store it; the second pass looks the pattern up in a literal map of at most
-    3 ** rules entries.
+    features is read twice, so callers store it: once to count vote patterns, of which the driver gets at most
+    3 ** rules, and once to add up what the votes of each row weigh.
     """
-    names = list(votes)
-    pattern = F.concat(*(F.coalesce(v.cast("string"), F.lit("-")) for v in votes.values()))
-    voted = features.withColumn("votes", pattern)
-    counted = voted.groupBy("votes").count().orderBy("votes").collect()
+    cast = {name: F.coalesce(v.cast("string"), F.lit("-")) for name, v in votes.items()}
+    counted = features.groupBy(F.concat(*cast.values()).alias("votes")).count().orderBy("votes").collect()
     read = lambda s: tuple(None if c == "-" else int(c) for c in s)
-    *_, post = expect([(read(r["votes"]), r["count"]) for r in counted])
+    prior, table, _ = expect([(read(r["votes"]), r["count"]) for r in counted])
     if not counted:
-        return voted.withColumns({"posterior": F.lit(None).cast("double"), "kept": F.lit(False)})
-    assert len(counted) <= 3 ** len(names)
-    table = F.create_map(*(F.lit(x) for r in counted for x in (r["votes"], post[read(r["votes"])])))
-    voted = voted.withColumn("posterior", table[F.col("votes")])
-    return voted.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
+        return features.withColumns({"posterior": F.lit(None).cast("double"), "kept": F.lit(False)})
+    odds, adds = weights(prior, table)
+    total = F.lit(odds)
+    for vote, (good, bad) in zip(votes.values(), adds):
+        total = total + F.when(vote == 1, good).when(vote == 0, bad).otherwise(0.0)
+    judged = features.withColumn("posterior", 1 / (1 + F.exp(F.greatest(F.lit(-700.0), F.least(F.lit(700.0), -total)))))
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
