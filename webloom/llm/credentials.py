@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, whole
+from .shared import let, running, stored, whole
 
 #: Fixed values of the contract: kinds in order, pattern, group that is measured, least length.
 BASE = (
@@ -40,17 +40,31 @@ def found(text: Column, kind: str, pattern: str, group: int, least: int) -> Colu
 
     Places follow from the lengths of what lies between the matches. Text without a match is only searched once.
     """
-    whole = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    part = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(F.transform(whole, F.length), F.zip_with(gaps, F.transform(part, F.length), lambda g, p: F.struct(F.length(g).alias("gap"), p.alias("part"))), lambda w, x: F.struct(w.alias("whole"), x["gap"].alias("gap"), x["part"].alias("part")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    step = lambda s, x: F.struct(
-        (s["at"] + x["gap"] + F.coalesce(x["whole"], F.lit(0))).alias("at"),
-        F.when(x["part"] >= least, F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), (s["at"] + x["gap"] + x["whole"]).alias("end"))))).otherwise(s["spans"]).cast(SPAN).alias("spans"),
-    )
-    none = F.array().cast(SPAN)
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda s: s["spans"])).otherwise(none)
+    lengths = lambda x: F.transform(x, F.length)
+    whole = lengths(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)))
+    part = lengths(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))) if group else None
+
+    def placed(w: Column) -> Column:
+        gaps = F.slice(lengths(F.split(text, pattern, -1)), F.lit(1), F.size(w))
+        ends = running(F.zip_with(gaps, w, lambda g, n: g + n))
+        spans = F.zip_with(ends, w, lambda e, n: F.struct((e - n).alias("start"), F.lit(KINDS.index(kind)).alias("kind"), e.alias("end"), n.alias("n")))
+        if part is not None:
+            spans = F.zip_with(spans, part, lambda s, n: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), n.alias("n")))
+        return F.transform(F.filter(spans, lambda s: s["n"] >= least), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+    return F.when(text.rlike(pattern), let(whole, placed)).otherwise(F.array()).cast(SPAN)
+
+
+def scoped(spans: Column, text: Column) -> Column:
+    """array of struct (s, scope): spans by their start, and how many blank lines begin before each."""
+    blank = r"\n[\x20\x09\r]*\n"
+    # a blank line begins after the paragraphs and blank lines before it
+    both = F.zip_with(F.transform(F.split(text, blank, -1), F.length), F.transform(F.regexp_extract_all(text, F.lit(f"({blank})"), F.lit(1)), F.length), lambda p, b: F.struct(p.alias("p"), F.coalesce(b, F.lit(0)).alias("b")))
+    begins = let(both, lambda x: F.slice(F.zip_with(running(F.transform(x, lambda y: y["p"] + y["b"])), x, lambda e, y: e - y["b"]), F.lit(1), F.size(x) - 1))
+    nothing = F.lit(None).cast("struct<start:int,kind:int,end:int>")
+    events = F.sort_array(F.concat(F.transform(spans, lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("what"), s.alias("s"))), F.transform(begins, lambda b: F.struct(b.alias("at"), F.lit(0).alias("what"), nothing.alias("s")))))
+    numbered = let(events, lambda e: F.zip_with(e, running(F.transform(e, lambda x: 1 - x["what"])), lambda x, n: F.struct(x["s"].alias("s"), n.alias("scope"))))
+    return F.filter(numbered, lambda x: x["s"].isNotNull())
 
 
 def written(spans: Column) -> Column:
@@ -60,14 +74,13 @@ def written(spans: Column) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(doc_id, text_hash, base, weak, breaks) and what keep names; breaks: where blank lines begin, in texts with a weak part."""
+    """(doc_id, text_hash, base, weak, parts) and what keep names; parts: all spans and their scopes, in texts with a weak part."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), *keep)
     spans = lambda kinds: F.concat(*(found(F.col("t"), *k) for k in kinds))
     rows = rows.withColumn("base", spans(BASE)).withColumn("weak", spans(WEAK))
-    # lengths of the paragraphs, summed
-    ends = F.aggregate(F.split("t", r"\n[\x20\x09\r]*\n", -1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda s, x: F.struct((s["at"] + F.length(x)).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(x))).alias("out")), lambda s: s["out"])
-    return rows.withColumn("breaks", F.when(F.size("weak") > 0, ends)).withColumn("text_hash", F.xxhash64("t")).drop("t")
+    parts = F.when(F.size("weak") > 0, scoped(F.concat("base", "weak"), F.col("t")))
+    return rows.withColumn("parts", parts).withColumn("text_hash", F.xxhash64("t")).drop("t")
 
 
 def linked(scanned: DataFrame, reach: int = 200) -> DataFrame:
@@ -76,10 +89,9 @@ def linked(scanned: DataFrame, reach: int = 200) -> DataFrame:
     Each part falls into every stretch of `reach` characters from its start to its end, secrets from `reach` before to `reach`
     after, so that the join is on (document, stretch); pairs meet in the first that both have and the distance is checked there.
     """
-    held = scanned.filter(F.size("weak") > 0).select("doc_id", "text_hash", "breaks", F.explode(F.concat("base", "weak")).alias("s"))
+    held = scanned.filter(F.size("weak") > 0).select("doc_id", "text_hash", F.explode("parts").alias("x")).select("doc_id", "text_hash", "x.s", "x.scope")
     kind = F.get(F.array(*map(F.lit, KINDS)), F.col("s.kind"))
-    scope = F.size(F.filter("breaks", lambda b: b < F.col("s.start")))
-    parts = held.select("doc_id", "text_hash", "s", kind.alias("kind"), scope.alias("scope")).dropDuplicates(["doc_id", "text_hash", "s"])
+    parts = held.select("doc_id", "text_hash", "s", kind.alias("kind"), "scope").dropDuplicates(["doc_id", "text_hash", "s"])
     stretches = lambda kinds, more: parts.filter(F.col("kind").isin(*kinds)).withColumn("first", F.floor((F.col("s.start") - more) / reach)).withColumn("stretch", F.explode(F.sequence("first", F.floor((F.col("s.end") + more) / reach))))
     secret = stretches(_SECRET, reach)
     public = stretches(_PUBLIC, 0).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("s").alias("p"), F.col("scope").alias("z"), F.col("first").alias("f"), F.col("stretch").alias("b"))
@@ -109,9 +121,14 @@ def redacted(docs: DataFrame, mark: str = "[secret]", id_col: str = "doc_id", te
     scanned = scan(docs.select(whole(docs), id_col, text_col), id_col, text_col, keep=["row"])
     rows = _with_links(stored(scanned, "secrets"), reach)
     t = F.coalesce(F.col(f"row.{text_col}").cast("string"), F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(F.struct(x["end"].alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit(mark))).alias("out")))
-    clean = F.aggregate(F.sort_array(F.concat("base", "more")), start, step, lambda s: F.concat(s["out"], F.substring(t, s["at"] + 1, F.length(t))))
+
+    def cleaned(spans: Column) -> Column:
+        """The text between the spans, with a mark for each that begins where no earlier one reaches."""
+        ends = running(F.transform(spans, lambda x: x["end"]), F.greatest)
+        pieces = lambda e: F.transform(spans, lambda x, i: let(F.when(i == 0, 0).otherwise(F.get(e, i - 1)), lambda at: F.when(x["start"] >= at, F.concat(F.substring(t, at + 1, x["start"] - at), F.lit(mark))).otherwise("")))
+        return let(ends, lambda e: F.concat(F.array_join(pieces(e), ""), F.substring(t, F.element_at(e, -1) + 1, F.length(t))))
+
+    clean = let(F.sort_array(F.concat("base", "more")), cleaned)
     rows = rows.withColumn("clean", F.when(F.size("base") + F.size("more") > 0, clean))
     kind = dict(docs.dtypes)
     new = {text_col: F.col("clean"), length_col: F.length("clean").cast(kind.get(length_col, "long"))}
