@@ -15,22 +15,38 @@ from .data import empty, frame
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
-@given(st.integers(1, 10_000), st.sampled_from([1, 16, 2048]))
-def test_cut_covers_with_reciprocal_lengths(total, capacity):
-    at = 0
-    for start, length in packing.cut(total, capacity):
-        assert start == at and capacity % length == 0
-        at += length
-    assert at == total
-
-
-def test_bins_are_full_or_a_power_of_two():
-    bins, r, filled = packing.Bins(64), random.Random(1), {}
-    got = [x for _ in range(500) for n in [2 ** r.randrange(7)] for x in bins.add(n, n)] + list(bins.rest())
-    for sequence, offset, n in got:
-        assert filled.get(sequence, 0) == offset
-        filled[sequence] = offset + n
-    assert len(got) == 500 and all(x == 64 or x & (x - 1) == 0 for x in filled.values())
+def packed(bins, documents):
+    return [x for i, n in enumerate(documents) for x in bins.add(i, np.full(n, i, "<u4").tobytes())] + list(bins.rest())
+
+
+@given(st.lists(st.integers(1, 300), max_size=80), st.sampled_from([16, 64, 128]))
+def test_bins_cover_documents_without_padding(documents, capacity):
+    bins = packing.Bins(capacity, classes=5)
+    got, filled, at = packed(bins, documents), {}, {}
+    for sequence, offset, (key, start, ids) in got:
+        assert filled.get(sequence, 0) == offset and ids == np.full(len(ids) // 4, key, "<u4").tobytes() and ids
+        filled[sequence] = offset + len(ids) // 4
+    for _, _, (key, start, ids) in sorted(got, key=lambda x: x[2][:2]):
+        assert at.get(key, 0) == start
+        at[key] = start + len(ids) // 4
+    assert at == dict(enumerate(documents))
+    assert all(n == capacity or n & (n - 1) == 0 for n in filled.values())
+    assert sum(n < capacity for n in filled.values()) <= capacity.bit_length()
+
+
+def test_bins_take_a_fixed_count_of_their_class():
+    # 2048 // 600 = 3 in each bin; the next document's head fills what is left
+    bins = packing.Bins(2048)
+    got = packed(bins, [600, 600, 600, 700])
+    first = [(key, start, len(ids) // 4) for sequence, _, (key, start, ids) in got if sequence == 0]
+    assert first == [(0, 0, 600), (1, 0, 600), (2, 0, 600), (3, 0, 248)]
+
+
+def test_few_documents_are_cut():
+    r = random.Random(2)
+    documents = [r.randrange(1, 6000) for _ in range(3000)]
+    got = packed(packing.Bins(2048), documents)
+    assert len(got) < 2 * len(documents) + sum(documents) // 2048
 
 
 def test_ids_are_the_tokenizers():

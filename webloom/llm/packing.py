@@ -1,13 +1,16 @@
 """Harmonic packing of documents into sequences of fixed capacity.
 
-Class j holds pieces of length capacity / j, and each of its bins takes exactly j of them. Documents are cut so that
-every piece has such a length: whole capacities first, then the rest by descending powers of two, the reciprocals
-that divide a power-of-two capacity without a remainder. A bin that is full is therefore full to the last token.
+Class j, for j from 1 to `classes`, holds what is longer than capacity / (j + 1) and at most capacity / j, and each of its bins
+takes j of them; the last class holds all that is shorter, one after another. A document is cut only where a bin would be left
+padded: whole capacities come off a long one first, and the head of the document that comes next fills what a bin of j has
+left; its rest goes to the class of its length. A piece of the last class that crosses the end of a bin goes on in the next.
 Each worker (Spark partition) fills bins of its own, so there is no shuffle and nothing to agree on; it keeps at most
-j - 1 waiting pieces a class. What waits at its end leaves in groups of a power of two pieces, which need no padding.
+j - 1 waiting pieces a class. What waits at its end is laid together, cut at the ends of sequences, and the very last
+sequence is cut by powers of two, which need no padding. So no sequence is padded, at one to two pieces a document.
 
-Nulls and empty texts are a document of the end id alone. Equal rows are packed once each. A null doc_id stays null.
-An empty table gives no rows. Other columns, whatever their names, are not read.
+Nulls and empty texts are a document of the end id alone. Equal rows are packed once each. Ties (equal lengths) stay in the order
+of the rows. A null doc_id stays null. Very long texts are cut like others. An empty table gives no rows. Other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,45 +28,75 @@ from .subwords import subwords
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def cut(total: int, capacity: int) -> Iterator[tuple[int, int]]:
-    """(start, length) of the pieces of a document of total ids."""
-    start = 0
-    while total - start >= capacity:
-        yield start, capacity
-        start += capacity
-    length = capacity >> 1
-    while start < total:
-        if total - start >= length:
-            yield start, length
-            start += length
-        length >>= 1
-
-
 class Bins:
-    """The bins of one worker. add() and rest() yield (sequence number, offset, piece)."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self.sequences = capacity, 0
-        self.waiting: dict[int, list] = {}
-
-    def _sequence(self, length: int, pieces: list) -> Iterator[tuple]:
-        for k, piece in enumerate(pieces):
-            yield self.sequences, k * length, piece
+    """The bins of one worker. A piece is (key, start, ids), ids being little-endian unsigned 32-bit bytes; add() and rest() yield (sequence number, offset, piece)."""
+
+    def __init__(self, capacity: int, classes: int = 32):
+        self.capacity, self.classes, self.sequences = capacity, classes, 0
+        self.waiting: dict[int, list[tuple]] = {}
+        self.open: list[tuple] = []  # a bin that has its count of pieces and still some room
+        self.room = 0
+        self.small: list[tuple] = []
+        self.n_small = 0
+
+    def _sequence(self, pieces: list[tuple]) -> Iterator[tuple]:
+        at = 0
+        for piece in pieces:
+            yield self.sequences, at, piece
+            at += len(piece[2]) // 4
         self.sequences += 1
 
-    def add(self, length: int, piece: object) -> Iterator[tuple]:
-        waiting = self.waiting.setdefault(length, [])
+    def add(self, key: object, ids: bytes) -> Iterator[tuple]:
+        n, start = len(ids) // 4, min(self.room, len(ids) // 4)
+        if start:
+            self.open.append((key, 0, ids[: 4 * start]))
+            self.room -= start
+            if not self.room:
+                yield from self._sequence(self.open)
+                self.open = []
+        while n - start >= self.capacity:
+            yield from self._sequence([(key, start, ids[4 * start : 4 * (start + self.capacity)])])
+            start += self.capacity
+        if start == n:
+            return
+        piece, j = (key, start, ids[4 * start :]), self.capacity // (n - start)
+        if j > self.classes:
+            yield from self._last_class(piece)
+            return
+        waiting = self.waiting.setdefault(j, [])
         waiting.append(piece)
-        if len(waiting) == self.capacity // length:
-            self.waiting[length] = []
-            yield from self._sequence(length, waiting)
+        if len(waiting) == j:
+            self.waiting[j] = []
+            self.room = self.capacity - sum(len(p[2]) for p in waiting) // 4
+            if self.room:
+                self.open = waiting
+            else:
+                yield from self._sequence(waiting)
+
+    def _last_class(self, piece: tuple) -> Iterator[tuple]:
+        key, start, ids = piece
+        room = self.capacity - self.n_small
+        self.small.append((key, start, ids[: 4 * room]))
+        self.n_small += min(room, len(ids) // 4)
+        if self.n_small == self.capacity:
+            yield from self._sequence(self.small)
+            rest = ids[4 * room :]
+            self.small, self.n_small = [(key, start + room, rest)] if rest else [], len(rest) // 4
 
     def rest(self) -> Iterator[tuple]:
-        for length, pieces in sorted(self.waiting.items()):
-            while pieces:
-                n = 1 << (len(pieces).bit_length() - 1)
-                yield from self._sequence(length, pieces[:n])
-                pieces = pieces[n:]
+        left = self.open + self.small + [p for _, pieces in sorted(self.waiting.items()) for p in pieces]
+        total = sum(len(p[2]) for p in left) // 4
+        sizes = [self.capacity] * (total // self.capacity) + [1 << k for k in reversed(range(self.capacity.bit_length())) if total % self.capacity >> k & 1]
+        for size in sizes:
+            pieces = []
+            while size:
+                key, start, ids = left.pop(0)
+                n = min(size, len(ids) // 4)
+                pieces.append((key, start, ids[: 4 * n]))
+                if 4 * n < len(ids):
+                    left.insert(0, (key, start + n, ids[4 * n :]))
+                size -= n
+            yield from self._sequence(pieces)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1) -> DataFrame:
@@ -78,18 +111,15 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*((*piece, base + n, at) for n, at, piece in rows)))
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            table = zip(*((key[0], start, len(ids) // 4, zlib.crc32(ids), key[1], base + n, at) for n, at, (key, start, ids) in rows))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in table], names)
 
         rows: list[tuple] = []
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(cut_up.encode(text.as_py()) + end)
-                total = len(ids) // 4
-                for start, length in cut(total, capacity):
-                    crc = zlib.crc32(ids[4 * start : 4 * (start + length)])
-                    rows.extend(bins.add(length, (doc_id, start, length, crc, total)))
-                if len(rows) >= 20_000:
+                ids = cut_up.encode(text.as_py()) + end
+                rows.extend(bins.add((doc_id, len(ids) // 4), ids))
+                if len(rows) >= 5_000:
                     yield out(rows)
                     rows = []
         rows.extend(bins.rest())
