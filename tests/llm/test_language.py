@@ -42,3 +42,32 @@ def test_odd_rows(spark):
     nothing = language.fit(empty(spark))
     assert {r.lang_pred for r in language.predict(docs.selectExpr("doc_id", "false held_out", "text"), nothing).collect()} == {"und"}
     assert language.identified(empty(spark), model).count() == 0
+
+
+def test_shares_maximise_the_likelihood():
+    # against all mixtures of a fine grid
+    rng = np.random.default_rng(2)
+    rows = [(name, b, int(n)) for name in ("a", "b", "c") for b, n in enumerate(rng.integers(1, 60, 40))]
+    table = language.pa.table({"lang": [r[0] for r in rows], "bucket": [r[1] for r in rows], "n": [r[2] for r in rows]})
+    model = language.Mixture(table, 40, penalty=0.0)
+    for mix in ((0.7, 0.3, 0.0), (0.2, 0.3, 0.5), (1.0, 0.0, 0.0)):
+        counts = rng.multinomial(4000, np.array(mix) @ model.p)
+        likelihood = lambda w: counts @ np.log(np.array(w) @ model.p)
+        grid = [(i / 50, j / 50, 1 - i / 50 - j / 50) for i in range(51) for j in range(51 - i)]
+        best = max(grid, key=likelihood)
+        found, full = model.inferred(counts)
+        assert max(abs(found.get(n, 0) - w) for n, w in zip("abc", best)) < 0.05
+        assert max(abs(full[n] - w) for n, w in zip("abc", best)) < 0.05
+
+
+def test_score_tells_how_sure_a_prediction_is(spark):
+    got = [r.score for r in registry.op7_language_mixture(spark, "/root/testdata/sf0.001").collect()]
+    assert len({round(s, 6) for s in got}) > len(got) / 2
+
+
+def test_too_many_labels_are_told(spark):
+    import pytest
+
+    rows = spark.createDataFrame([(f"l{i}", "some text") for i in range(5)], "lang string, text string")
+    with pytest.raises(ValueError):
+        language.fit(rows, most_languages=4)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngrams import Trigrams
-from .shared import whole
+from .shared import stored, whole
 
 UNKNOWN = "und"
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
@@ -50,13 +50,14 @@ def count(train: DataFrame, buckets: int) -> DataFrame:
 class Mixture:
     """Per-language trigram probabilities; proportions() is the inference for one text."""
 
-    def __init__(self, counts: list[tuple[str, int, int]], buckets: int, smooth: float = 0.5, penalty: float = 3.0, rounds: int = 25):
+    def __init__(self, counts: pa.Table, buckets: int, smooth: float = 0.5, penalty: float = 3.0, rounds: int = 25):
         self.buckets, self.penalty, self.rounds = buckets, penalty, rounds
-        self.names = sorted({x[0] for x in counts})
-        row = {x: i for i, x in enumerate(self.names)}
+        self.names = sorted(counts["lang"].unique().to_pylist())
         c = np.full((len(self.names), buckets), smooth)
-        for lang, bucket, n in counts:
-            c[row[lang], bucket] += n
+        row = np.array([self.names.index(x) for x in counts["lang"].unique().to_pylist()], int)
+        at = counts["lang"].combine_chunks().dictionary_encode() if counts.num_rows else None
+        if at is not None:
+            c[row[at.indices.to_numpy()], counts["bucket"].to_numpy()] += counts["n"].to_numpy()
         self.p = c / c.sum(1, keepdims=True) if self.names else c
 
     def _fit(self, p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, float]:
@@ -70,12 +71,17 @@ class Mixture:
         return mix, float(n @ np.log(mix @ p))
 
     def proportions(self, counts: np.ndarray) -> dict[str, float]:
+        """The share of each language of the set that the penalised likelihood selects."""
+        return self.inferred(counts)[0]
+
+    def inferred(self, counts: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
+        """proportions(), and the shares of all languages where none is left out, which tell how sure the choice is."""
         at = np.flatnonzero(counts)
         n, p = counts[at].astype(float), self.p[:, at]
         total = n.sum()
         single = np.log(p) @ n
         best = int(single.argmax())
-        chosen, mix, fit = [best], np.ones(1), float(single[best])
+        chosen, mix, fit, full = [best], np.ones(1), float(single[best]), np.ones(1)
         if len(self.names) > 1:
             full, most = self._fit(p, n, total)
             price = self.penalty * np.log(total + 1)
@@ -86,16 +92,23 @@ class Mixture:
                     if gain - fit <= price:
                         break
                     chosen, mix, fit = [*chosen, i], wider, gain
-        return {self.names[i]: float(m) for i, m in zip(chosen, mix)}
+        return {self.names[i]: float(m) for i, m in zip(chosen, mix)}, dict(zip(self.names, full.tolist()))
 
 
-def fit(train: DataFrame, buckets: int = 1 << 15) -> Mixture:
-    """Reads all of train (lang, text). The driver gets languages x buckets counts."""
-    return Mixture([tuple(r) for r in count(train, buckets).collect()], buckets)
+def fit(train: DataFrame, buckets: int = 1 << 15, most_languages: int = 512) -> Mixture:
+    """Reads all of train (lang, text). The model is one table of languages x buckets numbers, which the driver and every
+    task hold: 128 MB at the most languages it is made for. Where labels are more, they are no languages, and this raises an error.
+    """
+    counts = stored(count(train, buckets), "trigrams")
+    labels = counts.select("lang").distinct().count()
+    if labels > most_languages:
+        raise ValueError(f"{labels} languages; a model holds at most {most_languages}")
+    return Mixture(counts.toArrow(), buckets)
 
 
 def predict(docs: DataFrame, model: Mixture, keep: list[str] = ()) -> DataFrame:
-    """docs (doc_id, held_out, text) to PREDICTION and what keep names; languages: name:share, largest first."""
+    """docs (doc_id, held_out, text) to PREDICTION and what keep names. languages: name:share of the selected set, largest
+    first; score: the share that the first of them has where every language may take part."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x buckets numbers
     names = [x.split()[0] for x in PREDICTION.split(", ")]
 
@@ -106,11 +119,12 @@ def predict(docs: DataFrame, model: Mixture, keep: list[str] = ()) -> DataFrame:
             found: list[tuple[str, float, str]] = []
             for text in batch.column("text"):
                 text = text.as_py()
-                shares = {}
+                shares, full = {}, {}
                 if text and model.names and any(map(str.isalpha, text)):
-                    shares = model.proportions(grams.counts(text))
+                    shares, full = model.inferred(grams.counts(text))
                 ranked = sorted(shares.items(), key=lambda x: (-x[1], x[0])) or [(UNKNOWN, 0.0)]
-                found.append((*ranked[0], ",".join(f"{k}:{v:.4f}" for k, v in ranked) if shares else ""))
+                first = ranked[0][0]
+                found.append((first, full.get(first, 0.0), ",".join(f"{k}:{v:.4f}" for k, v in ranked) if shares else ""))
             pred, score, langs = zip(*found) if found else ((), (), ())
             own = [batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64()), pa.array(langs, pa.string())]
             yield pa.RecordBatch.from_arrays(own + [batch.column(c) for c in keep], names + list(keep))
