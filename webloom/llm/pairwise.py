@@ -10,7 +10,9 @@ The cut is the quantile of the labelled documents' scores with the best balanced
 
 A null text counts as empty; an empty text has all features zero and is scored as such. Conflicting labels of one id count as
 their mean, 1 from a half up. With no labels, or labels of one class only, w is zero and every score is 0.5. An
-empty table gives no rows. Equal rows are scored once each. Other columns, whatever their names, are not read.
+empty table gives no rows. Equal rows are scored once each. Of different texts of one labelled id, that with the least MD5 is
+learned from. Words are divided by ASCII blanks alone, so a text of other white space has words. Other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from .ngrams import Trigrams
 BUCKETS = 256
 _words = re.compile(r"[^\x20\x09-\x0D]+").findall
 SURFACE = 12
+#: What stands between words, and nothing else does.
+_BLANKS = "\t\n\x0b\x0c\r "
 
 
 def surface(text: str) -> list[float]:
     """Statistics of a text that do not depend on its language."""
     n = len(text)
     words = _words(text)
-    lines = [x for x in text.split("\n") if x.strip()]
+    lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
     if not words:
         return [0.0] * SURFACE
     k = len(words)
@@ -136,8 +140,9 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = 8192, id_col: str =
             x = [features(t.as_py()).astype("<f4").tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(x, pa.binary())], ["y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")  # at most `most` rows of two numbers
-    return rows.dropDuplicates(["k"]).select("y", "text").mapInArrow(task, "y int, x binary")
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "k")  # at most `most` rows of two numbers
+    one = rows.groupBy("k").agg(F.min_by(F.struct("y", "text"), F.md5("text")).alias("x"))
+    return one.select("x.y", "x.text").mapInArrow(task, "y int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, level: float = 0.3, most: int = 8192) -> Preference:
