@@ -125,13 +125,14 @@ def _page(urn: str | None) -> int | None:
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """(page_id, url, payload, refers_to): refers_to is the largest id with an equal payload, null for that row itself.
 
-    Only keys take part in the grouping, which combines on the map side; payloads pass by once, in the join on the key.
+    Payloads are told apart by SHA-1. Only ids and keys take part in the grouping, which combines on the map side, and in the
+    join on the key; a payload is shuffled once, by its id and key, so a page that is copied often sends its bytes to many tasks.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("key", F.sha1("payload"))
     last = rows.groupBy("key").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "last")
-    refers = F.when(F.col("page_id") < F.col("last"), F.col("last"))
-    return rows.join(last, "key", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    revisits = rows.select("page_id", "key").join(last, "key").filter("page_id < last").select(F.col("page_id").alias("id"), F.col("key").alias("k"), F.col("last").alias("refers_to")).distinct()
+    return rows.join(revisits, (F.col("page_id") == F.col("id")) & (F.col("key") == F.col("k")), "left").select("page_id", "url", "payload", "refers_to")
 
 
 def write(marked: DataFrame, folder: str) -> DataFrame:
