@@ -2,7 +2,8 @@
 
 Equal vectors are one node: partitions first cut their rows to the few smallest ids of each vector, so that copies,
 however many, neither crowd a graph nor a task; no answer needs more, for nearness ties go to smaller ids. Nodes are dealt
-to shards by a hash of their vector; the number of shards follows the number of nodes, so a shard fits one task. In a
+to shards by a hash of their vector; a shard takes `shard_bytes` of vectors and links, as much as a task can hold, so that
+there are as few graphs to search as may be: in a graph the work of a search hardly grows with its nodes. In a
 shard, batches of nodes search the graph greedily from its centre for neighbour candidates, and robust pruning keeps a
 candidate only if none that was kept is nearer to it, by a factor alpha, than the node is; links are then made
 both ways and pruned again. A second pass with alpha over 1 adds long links.
@@ -71,6 +72,9 @@ class Graph:
         nodes[:, : len(self.entry)] = self.entry
         dist = self._to(q, nodes)
         seen = nodes < 0
+        met = np.zeros((len(q), len(self.x) + 1), bool)  # nodes that were measured; the last column is no node
+        met[:, -1] = True
+        met[rows, nodes] = True
         while True:
             open_ = np.where(seen, np.inf, dist)
             best = open_.argmin(1)
@@ -79,7 +83,9 @@ class Graph:
                 break
             seen[busy, best[busy]] = True
             new = self.links[nodes[busy, best[busy]]]
-            new = np.where((new[:, :, None] == nodes[busy][:, None, :]).any(2), -1, new)
+            known = met[busy[:, None], new]
+            met[busy[:, None], new] = True
+            new = np.where(known, -1, new)
             d = np.concatenate([dist[busy], self._to(q[busy], new)], 1)
             n = np.concatenate([nodes[busy], new], 1)
             s = np.concatenate([seen[busy], new < 0], 1)
@@ -179,13 +185,14 @@ def nodes(vectors: DataFrame, most: int) -> DataFrame:
     return cut.groupBy("raw").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, most).alias("ids"))
 
 
-def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", copies: int = 11, shard_size: int = 4096, **building) -> DataFrame:
+def index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", copies: int = 11, shard_bytes: int = 16 << 20, shard_size: int | None = None, **building) -> DataFrame:
     """A row per shard (width, shard, x, links, entry, offsets, ids), stored. Every usable row is in it.
 
-    copies: how many ids of equal vectors are kept, one more than any query's k.
+    copies: how many ids of equal vectors are kept, one more than any query's k. shard_size: nodes of a shard, instead of shard_bytes.
     """
     table = stored(nodes(usable(vectors, id_col, vec_col), copies).withColumn("width", (F.length("raw") / 8).cast("int")), "nodes")
-    shards = {r["width"]: max(1, math.ceil(r["count"] / shard_size)) for r in table.groupBy("width").count().collect()}
+    most = lambda width: shard_size or max(1, shard_bytes // (8 * width + 256))
+    shards = {r["width"]: max(1, math.ceil(r["count"] / most(r["width"]))) for r in table.groupBy("width").count().collect()}
     if not shards:
         shards = {0: 1}
     number = F.create_map(*(F.lit(x) for pair in shards.items() for x in pair))[F.col("width")]  # one entry per vector length
@@ -218,29 +225,33 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 48, b
     shards = graphs.groupBy("width").agg((F.max("shard") + 1).alias("shards"))
     packed = packed.join(shards, "width").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
 
+    def answers(row: dict[str, pa.Scalar]) -> Iterator[pa.RecordBatch]:
+        """The hits of one block of queries in one shard, whose arrays are read where they lie."""
+        array = lambda name, kind: np.frombuffer(row[name].as_buffer(), kind)
+        width, own, v = row["width"].as_py(), row["q"].values.field("vec_id").to_numpy(), row["q"].values.field("v")
+        queries = v.flatten().to_numpy().reshape(len(own), width)
+        x = array("x", np.float64).reshape(-1, width)
+        graph = Graph(x, array("links", np.int32).reshape(len(x), -1), array("entry", np.int32))
+        offsets, ids = array("offsets", np.int64), array("ids", np.int64)
+        for at in range(0, len(own), 256):
+            part, q = own[at : at + 256].tolist(), queries[at : at + 256]
+            found, _ = graph.search(q, max(beam, k + 1))
+            rows: list[tuple] = []
+            for query, v, near in zip(part, q, found):
+                near = near[near >= 0]
+                d = np.sqrt(np.square(x[near] - v).sum(1))
+                # k + 1 nodes hold k candidates besides the query's own
+                best = np.argsort(d, kind="stable")
+                limit = d[best[min(k, len(best) - 1)]]
+                mine = [(dist, i) for dist, node in zip(d[d <= limit], near[d <= limit]) for i in ids[offsets[node] : offsets[node + 1]].tolist() if i != query]
+                rows += [(query, i, dist) for dist, i in sorted(mine)[:k]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                x = np.frombuffer(row["x"], np.float64).reshape(-1, row["width"])
-                n = len(x)
-                links = np.frombuffer(row["links"], np.int32).reshape(n, -1)
-                graph = Graph(x, links, np.frombuffer(row["entry"], np.int32))
-                offsets, ids = np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["ids"], np.int64)
-                for at in range(0, len(row["q"]), 256):
-                    part = row["q"][at : at + 256]
-                    q = np.array([p["v"] for p in part])
-                    found, _ = graph.search(q, max(beam, k + 1))
-                    rows: list[tuple] = []
-                    for p, v, near in zip(part, q, found):
-                        near = near[near >= 0]
-                        d = np.sqrt(np.square(x[near] - v).sum(1))
-                        # k + 1 nodes hold k candidates besides the query's own
-                        best = np.argsort(d, kind="stable")
-                        limit = d[best[min(k, len(best) - 1)]]
-                        mine = [(dist, i) for dist, node in zip(d[d <= limit], near[d <= limit]) for i in ids[offsets[node] : offsets[node + 1]].tolist() if i != p["vec_id"]]
-                        rows += [(p["vec_id"], i, dist) for dist, i in sorted(mine)[:k]]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+            for at in range(batch.num_rows):
+                yield from answers({c: batch.column(c)[at] for c in batch.schema.names})
 
     hits = graphs.join(packed, ["width", "shard"]).mapInArrow(task, HIT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")

@@ -15,7 +15,7 @@ from .shared import id_remainder, read, shared_dir, stored
 def op1_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     queries = graphs.usable(vectors, "vec_id", "embedding").filter("vec_id % 100 = 0")
-    return graphs.search(graphs.index(vectors), queries, beam=96)
+    return graphs.search(graphs.index(vectors), queries, beam=192)
 
 
 def op2_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read(spark, sf_dir, "documents"))
+    return mixing.mix(read(spark, sf_dir, "documents"), targets={"lang": {"en": 0.4}})
 
 
 def op9_credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
