@@ -30,7 +30,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample in which sources, languages and topics are a little more even."""
-    return mixing.sample(docs, power=dict.fromkeys(mixing.SIDES, 0.95))
+    return mixing.sample(docs, power=dict.fromkeys(mixing.SIDES, 0.95), share=0.9)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
