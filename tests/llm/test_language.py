@@ -49,7 +49,7 @@ def test_shares_maximise_the_likelihood():
     rng = np.random.default_rng(2)
     rows = [(name, b, int(n)) for name in ("a", "b", "c") for b, n in enumerate(rng.integers(1, 60, 40))]
     table = language.pa.table({"lang": [r[0] for r in rows], "bucket": [r[1] for r in rows], "n": [r[2] for r in rows]})
-    model = language.Mixture(table, 40, penalty=0.0)
+    model = language.Mixture(table, 40, penalty=0.0, rounds=5000, nearness=1e-7)
     for mix in ((0.7, 0.3, 0.0), (0.2, 0.3, 0.5), (1.0, 0.0, 0.0)):
         counts = rng.multinomial(4000, np.array(mix) @ model.p)
         likelihood = lambda w: counts @ np.log(np.array(w) @ model.p)

@@ -50,8 +50,8 @@ def count(train: DataFrame, buckets: int) -> DataFrame:
 class Mixture:
     """Per-language trigram probabilities; proportions() is the inference for one text."""
 
-    def __init__(self, counts: pa.Table, buckets: int, smooth: float = 0.5, penalty: float = 3.0, rounds: int = 25):
-        self.buckets, self.penalty, self.rounds = buckets, penalty, rounds
+    def __init__(self, counts: pa.Table, buckets: int, smooth: float = 0.5, penalty: float = 3.0, rounds: int = 25, nearness: float = 1e-3):
+        self.buckets, self.penalty, self.rounds, self.nearness = buckets, penalty, rounds, nearness
         self.names = sorted(counts["lang"].unique().to_pylist())
         c = np.full((len(self.names), buckets), smooth)
         row = np.array([self.names.index(x) for x in counts["lang"].unique().to_pylist()], int)
@@ -64,7 +64,7 @@ class Mixture:
         mix = np.full(len(p), 1 / len(p))
         for _ in range(self.rounds):
             new = mix * (p @ (n / (mix @ p))) / total
-            done = np.abs(new - mix).max() < 1e-3
+            done = np.abs(new - mix).max() < self.nearness
             mix = new
             if done:
                 break
