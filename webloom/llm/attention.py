@@ -114,20 +114,21 @@ def contexts(ids: DataFrame, size: int, buckets: int = 64) -> np.ndarray:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size + 1) * buckets, np.int64)
+        bucket = (np.arange(size + 2) * 2654435761 % 2**32 >> 7) % buckets
         held: list[np.ndarray] = []
         n = 0
 
         def add() -> None:
             x = np.concatenate(held)
             follows = x[1:] < size + 1  # the start follows nothing
-            total[:] += np.bincount(x[1:][follows] * buckets + (x[:-1][follows] * 2654435761 % 2**32 >> 7) % buckets, minlength=len(total))
+            total[:] += np.bincount(x[1:][follows] * buckets + bucket.take(x[:-1][follows]), minlength=len(total))
             held.clear()
 
         for batch in batches:
             for raw in batch.column(0):
                 held += [[size + 1], numbers(raw.as_py(), size), [size]]
                 n += len(held[-2])
-                if n > 2_000_000:
+                if n > 4_000_000:
                     add()
                     n = 0
         if held:
@@ -190,7 +191,7 @@ def shapes(vocab: Vocabulary, window: int) -> dict[str, tuple[int, ...]]:
 class Model:
     """Parameters and the forward and backward passes."""
 
-    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, window: int = 16, overlap: int = 4):
+    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, window: int = 16, overlap: int = 3):
         self.vocab, self.window, self.overlap = vocab, window, overlap
         self.shapes = shapes(vocab, window)
         if flat is None:
@@ -419,6 +420,18 @@ def averaged(rows: DataFrame, fan: int = 24) -> np.ndarray | None:
     return None if last is None else np.frombuffer(last["flat"], np.float32)
 
 
+class _Logs(dict):
+    """Log probabilities of words; what is asked for and isn't there counts nothing and is listed."""
+
+    def __init__(self, logs: dict[bytes, float]):
+        super().__init__(logs)
+        self.others: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> float:
+        self.others.append(word)
+        return 0.0
+
+
 def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[bytes, int]], floor: int, ends: int | None) -> DataFrame:
     """A row for each of docs, numbered, stored: its ids, and what the base needs: the sum over the end and the known `words`, and the other words.
 
@@ -428,7 +441,7 @@ def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[byt
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = subwords(tokenizer)
-        logs = {w: math.log10((c + 1) / floor) for w, c in shared.value}
+        logs = _Logs({w: math.log10((c + 1) / floor) for w, c in shared.value})
         row = TaskContext.get().partitionId() << 36
         end = (1, logs[END]) if END in logs else (int(ends is not None), math.log10(((ends or 0) + 1) / floor))
         short = cut.size <= 1 << 16
@@ -439,11 +452,11 @@ def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[byt
                 for text in part.column("text"):
                     text = text.as_py()
                     said = words_of(text)
-                    found = list(map(logs.get, said))
-                    missing = Counter([w for w, x in zip(said, found) if x is None]) if None in found else {}
+                    logs.others.clear()
+                    sums.append(math.fsum(map(logs.__getitem__, said)) + end[1])
                     n.append(len(said) + 1)
-                    known.append(len(said) - sum(missing.values()) + end[0])
-                    sums.append(math.fsum(filter(None, found)) + end[1])
+                    known.append(len(said) - len(logs.others) + end[0])
+                    missing = Counter(logs.others)
                     others.extend(missing)
                     often.extend(missing.values())
                     ends_at.append(len(others))

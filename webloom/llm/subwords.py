@@ -7,6 +7,7 @@ import os
 import re
 import struct
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 #: White space on which the tokenizer never joins: its pre-tokenizer splits there too.
@@ -34,6 +35,21 @@ def _pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class _Kept(dict):
+    """Ids by piece: what is asked for first is learned, and kept while there is room for short pieces; a full table starts anew."""
+
+    def __init__(self, learn: Callable[[str], bytes], most: int):
+        self.learn, self.most = learn, most
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.learn(piece)
+        if len(piece) <= 48:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Subwords:
     """Encodes word by word; ids of short words are kept, at most `most` of them, so memory is bounded.
 
@@ -48,50 +64,30 @@ class Subwords:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size()
-        self.most = most
-        self.kept: dict[str, bytes] = {}
-        self.kept_runs: dict[str, bytes] = {}
-        self.kept_chunks: dict[str, bytes] = {}
         self.letters = _byte_letters()
+        # parts of words are kept too, as words come with many marks around them
+        self.runs, self.words, self.chunks = _Kept(self._run, most), _Kept(self._word, most), _Kept(self._chunk, most)
         parts = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (parts["normalizer"] or {}).get("normalizers", [])]
         splits = (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         self.latin = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 
-    def _all(self, pieces: list[str], kept: dict[str, bytes], learn) -> bytes:
-        ids = list(map(kept.get, pieces))
-        if None in ids:
-            new = learn(dict.fromkeys(p for p, i in zip(pieces, ids) if i is None))
-            ids = [i if i is not None else new[p] for p, i in zip(pieces, ids)]
-            if len(kept) + len(new) > self.most:
-                kept.clear()
-            kept.update((p, i) for p, i in new.items() if len(p) <= 48)
-        return b"".join(ids)
-
     def encode(self, text: str | None) -> bytes:
         text = text or ""
         if self.latin and not _other(text):
-            return self._all(text.lower().split(), self.kept, self._latin)
-        return self._all(_chunks(text), self.kept_chunks, self._chunks)
+            return b"".join(map(self.words.__getitem__, text.lower().split()))
+        return b"".join(map(self.chunks.__getitem__, _chunks(text)))
 
-    def _latin(self, words: dict[str, None]) -> dict[str, bytes]:
-        return {w: b"".join(map(self._run, _runs(w))) for w in words}
+    def _word(self, word: str) -> bytes:
+        runs = _runs(word)
+        return self._run(word) if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
 
     def _run(self, run: str) -> bytes:
-        """Ids of a part of a word; they are kept too, as words come with many marks around them."""
-        ids = self.kept_runs.get(run)
-        if ids is None:
-            text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
-            ids = _pack([t.id for t in self.model.tokenize(text)])
-            if len(self.kept_runs) >= self.most:
-                self.kept_runs.clear()
-            if len(run) <= 48:
-                self.kept_runs[run] = ids
-        return ids
+        text = run if run.isascii() else "".join(map(self.letters.__getitem__, run.encode()))
+        return _pack([t.id for t in self.model.tokenize(text)])
 
-    def _chunks(self, chunks: dict[str, None]) -> dict[str, bytes]:
-        encoded = self.tokenizer.encode_batch(list(chunks), add_special_tokens=False)
-        return {c: _pack(e.ids) for c, e in zip(chunks, encoded)}
+    def _chunk(self, chunk: str) -> bytes:
+        return _pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)
