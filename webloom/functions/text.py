@@ -27,8 +27,8 @@ def content_hash(html: Column) -> Column:
     return F.sha2(F.encode(html, "UTF-8"), 256)
 
 
-def plain_text(html: Column, most: int = 120_000) -> Column:
-    """Text without chrome and tags, white space collapsed; texts that are no markup are only collapsed."""
+def plain_text(html: Column, most: int | None = None) -> Column:
+    """Whole text, or its first `most` characters, without chrome and tags, white space collapsed; texts that are no markup are only collapsed."""
     text = html
     for tag in ("script", "style", "nav", "footer", "header", "noscript", "iframe", "svg"):
         text = F.regexp_replace(text, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
@@ -36,11 +36,12 @@ def plain_text(html: Column, most: int = 120_000) -> Column:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     squeeze = lambda x: F.trim(F.regexp_replace(x, r"[ \t\n\r\f]+", " "))
-    return F.when(F.trim(html).startswith("<"), F.substring(squeeze(text), 1, most)).otherwise(squeeze(html))
+    whole = F.when(F.trim(html).startswith("<"), squeeze(text)).otherwise(squeeze(html))
+    return whole if most is None else F.substring(whole, 1, most)
 
 
 def needs_js(html: Column) -> Column:
-    head = F.substring(html, 1, 50_000)
+    head = html
     return (F.length(html) < 500) | (head.rlike("(?i)<noscript") & (F.regexp_count(head, F.lit(r"(?i)<a\s+href=")) < 3)) | head.rlike(FRAMEWORKS)
 
 

@@ -40,25 +40,42 @@ def scheme(url: Column) -> Column:
 
 def normalized(url: Column) -> Column:
     """Lower-case scheme and host, no default port, one trailing slash off unless it is the root; query and fragment stay."""
-    port = F.regexp_extract(part(url, 2), r":([0-9]+)$", 1)
-    default = ((scheme(url) == "http") & (port == "80")) | ((scheme(url) == "https") & (port == "443")) | (port == "")
-    path = F.when(part(url, 3) == "", "/").otherwise(part(url, 3))
-    path = F.when((path != "/"), F.regexp_replace(path, "/$", "")).otherwise(path)
-    return F.when(scheme(url) != "", F.concat(scheme(url), F.lit("://"), host(url), F.when(default, "").otherwise(F.concat(F.lit(":"), port)), path, part(url, 4), part(url, 5)))
+    return put_together(*(part(url, k) for k in range(1, 6)))
+
+
+def put_together(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
+    """normalized() of an address by its parts, for callers that have them as columns; null without a scheme."""
+    scheme, port = F.lower(scheme), F.regexp_extract(authority, r":([0-9]+)$", 1)
+    name = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
+    default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
+    short = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/$", ""))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), name, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), short, query, fragment))
 
 
 def resolved(base: Column, link: Column) -> Column:
     """An absolute, normalised http(s) address for a link on a page; null for fragments and other schemes. Dot segments at the start of a relative path are taken off."""
-    link = F.trim(link)
-    root = F.concat(scheme(base), F.lit("://"), part(base, 2))
-    folder = F.regexp_replace(F.when(part(base, 3) == "", "/").otherwise(part(base, 3)), r"[^/]*$", "")
-    whole = (
+    return normalized(joined(scheme(base), part(base, 2), part(base, 3), F.trim(link)))
+
+
+def joined(scheme: Column, authority: Column, path: Column, link: Column) -> Column:
+    """The absolute address of a link, without blanks around it, on the page of these parts; not normalised."""
+    root = F.concat(scheme, F.lit("://"), authority)
+    folder = F.regexp_replace(F.when(path == "", "/").otherwise(path), r"[^/]*$", "")
+    return (
         F.when((link == "") | link.startswith("#") | link.rlike(r"(?i)^(mailto|javascript|tel|data):"), None)
         .when(link.rlike(r"(?i)^https?://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
-        .when(link.startswith("//"), F.concat(scheme(base), F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(root, part(base, 3), link)).otherwise(F.concat(root, folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link))
+        .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(root, folder, F.regexp_replace(link, r"^(\./)+", "")))
     )
-    return normalized(whole)
+
+
+def same_host(a: Column, b: Column) -> Column:
+    return host(a) == host(b)
+
+
+def within(name: Column, hosts: list[str]) -> Column:
+    """Whether a host is one of hosts or below one."""
+    return F.exists(F.array(*map(F.lit, hosts)), lambda h: (name == h) | name.endswith(F.concat(F.lit("."), h)))
 
 
 def blocked_reason(url: Column) -> Column:

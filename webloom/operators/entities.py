@@ -27,24 +27,33 @@ DOMAINS = {
 }
 
 
-def emails(text: Column, most: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0))), 1, most)
+def _first(found: Column, most: int | None) -> Column:
+    return found if most is None else F.slice(found, 1, most)
 
 
-def phones(text: Column, most: int = 8) -> Column:
+def emails(text: Column, most: int | None = None) -> Column:
+    """All addresses, or the first `most`; a text without the sign isn't searched."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)))
+    return _first(F.when(text.contains("@"), found).otherwise(F.array().cast("array<string>")), most)
+
+
+def phones(text: Column, most: int | None = None) -> Column:
     """Digit strings with ten or eleven digits that do not start like a year."""
     found = F.regexp_extract_all(text, F.lit(f"{PHONE}(?![A-Za-z0-9_])"), F.lit(0))
     digits = lambda p: F.regexp_replace(p, "[^0-9]", "")
-    return F.slice(F.array_distinct(F.filter(found, lambda p: F.length(digits(p)).isin(10, 11) & ~digits(p).rlike("^(19|20)[0-9]{2}"))), 1, most)
+    valid = F.array_distinct(F.filter(found, lambda p: F.length(digits(p)).isin(10, 11) & ~digits(p).rlike("^(19|20)[0-9]{2}")))
+    return _first(F.when(text.rlike("[0-9]{4}"), valid).otherwise(F.array().cast("array<string>")), most)
 
 
 def domains(text: Column) -> Column:
+    """Names of the fields that a text touches, in the order of the table. Most texts touch none, which one search tells."""
     low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(low.rlike(f"{B}({p})"), F.lit(name)) for name, p in DOMAINS.items())))
+    found = F.array_compact(F.array(*(F.when(low.rlike(f"{B}({p})"), F.lit(name)) for name, p in DOMAINS.items())))
+    return F.when(low.rlike(f"{B}({'|'.join(DOMAINS.values())})"), found).otherwise(F.array().cast("array<string>"))
 
 
-def compensation(text: Column, most: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.concat(*(F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)) for p in COMPENSATION))), 1, most)
+def compensation(text: Column, most: int | None = None) -> Column:
+    return _first(F.array_distinct(F.concat(*(F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)) for p in COMPENSATION))), most)
 
 
 def businesses(text: Column) -> Column:

@@ -43,7 +43,7 @@ def by_lang(lang: Column) -> Column:
 
 
 def by_script(text: Column) -> Column:
-    head = F.substring(text, 1, 8000)
+    head = text
     return _first([(head.rlike(p), code) for code, p in SCRIPTS])
 
 

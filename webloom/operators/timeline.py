@@ -71,7 +71,11 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def transitions(found: DataFrame) -> DataFrame:
-    """Moves from a span that ended to the next one, of another company, that began on or after its end. One pass in order, no self-join."""
-    w = Window.partitionBy("who").orderBy("start", "company")
-    rows = found.filter("start is not null").withColumn("to_company", F.lead("company").over(w)).withColumn("to_start", F.lead("start").over(w))
-    return rows.filter("end is not null and to_company is not null and to_company != company and to_start >= end").select("who", F.col("company").alias("from_company"), "to_company", F.col("to_start").alias("moved"))
+    """Moves from each span that ended to every later one, of another company, that began on or after its end.
+
+    Spans of one person, of whom each company has one, meet once as an array; a person has as many as companies.
+    """
+    spans = found.filter("start is not null").groupBy("who").agg(F.array_sort(F.collect_list(F.struct("start", "company", "end"))).alias("spans"))
+    pairs = spans.select("who", "spans", F.posexplode("spans").alias("i", "a")).filter("a.end is not null")
+    later = F.filter(F.slice(F.col("spans"), F.col("i") + 2, F.size("spans")), lambda b: (b["company"] != F.col("a.company")) & (b["start"] >= F.col("a.end")))
+    return pairs.select("who", F.col("a.company").alias("from_company"), F.explode(later).alias("b")).select("who", "from_company", F.col("b.company").alias("to_company"), F.col("b.start").alias("moved"))

@@ -55,7 +55,7 @@ def link_score(url: Column, anchor: Column, topic: Topic) -> Column:
 
 
 def page_score(url: Column, title: Column, body: Column, topic: Topic) -> Column:
-    return F.least(F.lit(1.0), text_score(title, topic) * 0.35 + text_score(F.substring(body, 1, 120_000), topic) * 0.45 + url_score(url, topic) * 0.2)
+    return F.least(F.lit(1.0), text_score(title, topic) * 0.35 + text_score(body, topic) * 0.45 + url_score(url, topic) * 0.2)
 
 
 def follow(url: Column, anchor: Column, topic: Topic, least: float) -> Column:

@@ -68,7 +68,7 @@ def _link_score(url: str, anchor: str) -> str:
     return f"least(1.0, {_url_score(url)} * 0.65::DOUBLE + {_score(anchor)} * 0.35::DOUBLE + CASE WHEN {_hits(url, U.SOCIAL_HOSTS)} > 0 THEN 0.08::DOUBLE ELSE 0.0::DOUBLE END)"
 
 
-_RANKED = f"ranked AS (SELECT page_id, url, title, floor(x * 1000 + 0.5) / 1000 AS relevance FROM (SELECT page_id, url, {_TITLE} AS title, least(1.0, {_score(_TITLE)} * 0.35::DOUBLE + {_score('substr(html, 1, 120000)')} * 0.45::DOUBLE + {_url_score('url')} * 0.2::DOUBLE) AS x FROM pages) WHERE x >= 0.12)"
+_RANKED = f"ranked AS (SELECT page_id, url, title, floor(x * 1000 + 0.5) / 1000 AS relevance FROM (SELECT page_id, url, {_TITLE} AS title, least(1.0, {_score(_TITLE)} * 0.35::DOUBLE + {_score('html')} * 0.45::DOUBLE + {_url_score('url')} * 0.2::DOUBLE) AS x FROM pages) WHERE x >= 0.12)"
 _BLOCKED = f"""CASE WHEN {_part('url', 1)} = '' THEN 'invalid_url' WHEN lower({_part('url', 1)}) NOT IN ('http', 'https') THEN 'scheme_not_allowed' WHEN {_host('url')} IN ('localhost', '127.0.0.1', '::1', '0.0.0.0') THEN 'blocked_host'
  WHEN {_host('url')} LIKE '%.local' OR {_host('url')} LIKE '%.internal' THEN 'blocked_tld' WHEN regexp_matches({_host('url')}, '^10\\.[0-9]+\\.[0-9]+\\.[0-9]+$') OR regexp_matches({_host('url')}, '^172\\.(1[6-9]|2[0-9]|3[01])\\.[0-9]+\\.[0-9]+$') OR regexp_matches({_host('url')}, '^192\\.168\\.[0-9]+\\.[0-9]+$') THEN 'private_ip'
  WHEN regexp_matches({_host('url')}, '^127\\.[0-9]+\\.[0-9]+\\.[0-9]+$') THEN 'loopback_ip' WHEN regexp_matches({_host('url')}, '^169\\.254\\.[0-9]+\\.[0-9]+$') THEN 'link_local_ip' ELSE 'ok' END"""
@@ -86,7 +86,7 @@ def _plain() -> str:
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
         text = f"replace({text}, '{entity}', '{sign}')"
     squeeze = lambda x: f"trim(regexp_replace({x}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
-    return f"CASE WHEN starts_with(trim(html), '<') THEN substr({squeeze(text)}, 1, 120000) ELSE {squeeze('html')} END"
+    return f"CASE WHEN starts_with(trim(html), '<') THEN {squeeze(text)} ELSE {squeeze('html')} END"
 
 
 _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) BETWEEN 40 AND 520)"""
@@ -109,9 +109,9 @@ def _ordered_distinct(items: str) -> str:
     return f"list_filter({items}, lambda one, i: list_position({items}, one) = i)"
 
 
-_EMAIL_LIST = f"list_slice({_ordered_distinct(f'regexp_extract_all(text, {_s(entities.EMAIL)})')}, 1, 8)"
+_EMAIL_LIST = _ordered_distinct(f'regexp_extract_all(text, {_s(entities.EMAIL)})')
 _PHONE_ALL = f"""list_filter(regexp_extract_all(text, {_s(entities.PHONE + chr(92) + "b")}), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) IN (10, 11) AND NOT regexp_matches(regexp_replace(p, '[^0-9]', '', 'g'), '^(19|20)[0-9][0-9]'))"""
-_PHONE_LIST = f"list_slice({_ordered_distinct(_PHONE_ALL)}, 1, 8)"
+_PHONE_LIST = _ordered_distinct(_PHONE_ALL)
 _DOMAIN_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {_s(chr(92) + 'b(' + p + ')')}) THEN {_s(n)} END" for n, p in entities.DOMAINS.items()) + "], lambda x: x IS NOT NULL)"
 _BUSINESS = r"""'\b([A-Z][A-Za-z0-9&.''-]*(?: [A-Z][A-Za-z0-9&.''-]*){0,4}) (?:LLC|Inc\.|Corp\.|Corporation|Company|Co\.)'"""
 _PAY = "list_concat(" + ", ".join(f"regexp_extract_all(lower(text), {_s(p)})" for p in entities.COMPENSATION) + ")"
@@ -122,7 +122,7 @@ def _region() -> str:
     by_host = "CASE " + " ".join("WHEN " + " OR ".join([*(f"{host} = '{d}' OR {host} LIKE '%.{d}'" for d in domains), *(f"{host} LIKE '%{t}'" for t in tlds)]) + f" THEN '{code}'" for code, _, _, tlds, domains, _ in regions.REGIONS) + " END"
     by_lang = "CASE " + " ".join(f"WHEN {_any(_LANG, hints)} OR {_any(f'string_split({_LANG}, {_s(chr(45))})[1]', hints)} THEN '{code}'" for code, *_, hints in regions.REGIONS) + " END"
     scripts = {"RU": "\\x{0400}-\\x{04FF}", "CN": "\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}", "IN": "\\x{0900}-\\x{097F}", "SA": "\\x{0600}-\\x{06FF}", "KR": "\\x{AC00}-\\x{D7AF}", "JP": "\\x{3040}-\\x{30FF}"}
-    by_script = "CASE " + " ".join(f"WHEN regexp_matches(substr(html, 1, 8000), '[{p}]') THEN '{code}'" for code, p in scripts.items()) + " END"
+    by_script = "CASE " + " ".join(f"WHEN regexp_matches(html, '[{p}]') THEN '{code}'" for code, p in scripts.items()) + " END"
     return f"(SELECT coalesce(CASE WHEN h <> 'GLOBAL' THEN h END, l, s, h, 'GLOBAL') FROM (SELECT {by_host} AS h, {by_lang} AS l, {by_script} AS s))"
 
 
@@ -157,7 +157,7 @@ ORACLE = {
     "content_shard_counts": "SELECT substr(sha256(html), 1, 2) AS shard, count(*) AS n FROM pages GROUP BY 1",
     "page_html_lang": f"SELECT page_id, nullif({_LANG}, '') AS lang FROM pages",
     "page_plain_text": f"SELECT page_id, {_plain()} AS text FROM pages",
-    "needs_js_flag": f"SELECT page_id, length(html) < 500 OR (regexp_matches(substr(html, 1, 50000), '(?i)<noscript') AND len(regexp_extract_all(substr(html, 1, 50000), '(?i)<a\\s+href=')) < 3) OR regexp_matches(substr(html, 1, 50000), {_s(T.FRAMEWORKS)}) AS needs_js FROM pages",
+    "needs_js_flag": f"SELECT page_id, length(html) < 500 OR (regexp_matches(html, '(?i)<noscript') AND len(regexp_extract_all(html, '(?i)<a\\s+href=')) < 3) OR regexp_matches(html, {_s(T.FRAMEWORKS)}) AS needs_js FROM pages",
     "link_edges": f"WITH {_LINKS} SELECT page_id, target, min(pos) AS pos FROM links GROUP BY 1, 2",
     "link_outdegree": f"WITH {_LINKS} SELECT page_id, count(DISTINCT target) AS n_links FROM links GROUP BY 1",
     "link_indegree": f"WITH {_LINKS} SELECT target, count(DISTINCT page_id) AS n_pages FROM links GROUP BY 1",
@@ -188,7 +188,7 @@ ORACLE = {
     "date_mentions": "SELECT * FROM (VALUES (1, '2024-05-08', 'day'), (2, '2024-05-08', 'day'), (3, '2024-05-08', 'day'), (4, '2024-05-01', 'month'), (2, '2024-05-01', 'month'), (5, '2024-10-05', 'day'), (8, '2024-05-08', 'day'), (8, '1999-09-03', 'day')) AS t(id, date, precision)",
     "dated_event_dedupe": "SELECT l_orderkey, month, category, confidence, seq FROM (SELECT l_orderkey, strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS category, l_discount AS confidence, CAST(l_linenumber AS BIGINT) AS seq, row_number() OVER (PARTITION BY l_orderkey, strftime(l_shipdate, '%Y-%m'), l_returnflag ORDER BY l_discount DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1",
     "timeline_spans": f"WITH {_SPANS} SELECT who, company, start, \"end\", CASE WHEN \"end\" IS NOT NULL THEN 'past' WHEN start IS NOT NULL THEN 'current' ELSE 'unknown' END AS status FROM spans",
-    "timeline_transitions": f"WITH {_SPANS}, n AS (SELECT *, lead(company) OVER w AS to_company, lead(start) OVER w AS moved FROM spans WHERE start IS NOT NULL WINDOW w AS (PARTITION BY who ORDER BY start, company)) SELECT who, company AS from_company, to_company, moved FROM n WHERE \"end\" IS NOT NULL AND to_company <> company AND moved >= \"end\"",
+    "timeline_transitions": f"WITH {_SPANS}, n AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY start, company) AS i FROM spans WHERE start IS NOT NULL) SELECT a.who, a.company AS from_company, b.company AS to_company, b.start AS moved FROM n a JOIN n b ON a.who = b.who AND a.i < b.i AND a.company <> b.company WHERE a.\"end\" IS NOT NULL AND b.start >= a.\"end\"",
     "timeline_recent": f"WITH {_SPANS} SELECT who, company, coalesce(\"end\", '9999') AS shown FROM spans ORDER BY shown DESC, who, company LIMIT 50",
     "snapshot_daily_collapse": f"WITH {_CAPTURES}, d AS (SELECT url, strftime(ts, '%Y%m%d') AS day, min(ts) AS ts FROM captures WHERE ok GROUP BY 1, 2) SELECT url, day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts) AS n FROM d) WHERE n <= 10",
     "snapshot_asof_latest": f"WITH {_CAPTURES}, w AS (SELECT url, CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS BIGINT) AS upto FROM captures GROUP BY 1), v AS (SELECT url, upto FROM w UNION ALL SELECT url, NULL FROM w) SELECT v.url, v.upto IS NULL AS latest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM v JOIN captures c ON c.url = v.url AND (v.upto IS NULL OR epoch_us(c.ts) <= v.upto) GROUP BY v.url, v.upto",

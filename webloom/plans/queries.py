@@ -28,8 +28,11 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    rows = pages.select("page_id", "url", F.posexplode(T.links(F.col("html"))).alias("pos", "l"))
-    return rows.select("page_id", "pos", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"), U.resolved(F.col("url"), F.col("l.href")).alias("target")).filter("target is not null")
+    # a page's address is taken apart once, before its links; every step names its parts, so that no step repeats another's patterns
+    rows = pages.select("page_id", U.scheme(F.col("url")).alias("s"), U.part(F.col("url"), 2).alias("a"), U.part(F.col("url"), 3).alias("p"), F.posexplode(T.links(F.col("html"))).alias("pos", "l"))
+    rows = rows.select("page_id", "pos", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"), U.joined(F.col("s"), F.col("a"), F.col("p"), F.trim("l.href")).alias("whole"))
+    rows = rows.select("page_id", "pos", "href", "anchor", *(U.part(F.col("whole"), k).alias(f"p{k}") for k in range(1, 6)))
+    return rows.select("page_id", "pos", "href", "anchor", U.put_together(*(F.col(f"p{k}") for k in range(1, 6))).alias("target")).filter("target is not null")
 
 
 @query
