@@ -91,3 +91,18 @@ def hashtags(text: Column) -> Column:
 
 def path_slug(topic: Column) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.lower(topic), "[^a-z0-9]+", "-"), "^-|-$", ""), 1, 60)
+
+
+def mentions(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"@([A-Za-z0-9_]+)"), F.lit(1)), F.lower))
+
+
+def clean_capture(text: Column) -> Column:
+    """White space collapsed, and no points, commas or semicolons at the end."""
+    return F.regexp_replace(F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " ")), r"[.,;]+$", "")
+
+
+def title_case(name: Column) -> Column:
+    """Every word with a capital and small letters, one blank between."""
+    words = F.filter(F.split(name, r"[ \t\n\r\f]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1 << 30)))), " ")

@@ -1,11 +1,11 @@
-"""A crawl over captured pages, wave by wave, and lookups over what it collects."""
+"""A crawl over captured pages, wave by wave, and when it has seen all it will see."""
 
 from __future__ import annotations
 
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,14 +14,17 @@ class CrawlSpec:
     max_depth: int = 3
     max_pages: int = 1000
     batch: int = 1_000_000
-    max_waves: int = 100
+    max_waves: int = 10_000
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder: waves must not be computed again by later ones."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="webloom-"))
+        where = context.getConf().get("spark.checkpoint.dir")
+        if not where and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="webloom-"))
     return df.checkpoint()
 
 
@@ -29,27 +32,32 @@ def crawl(spark: SparkSession, seeds: DataFrame, edges: DataFrame, spec: CrawlSp
     """(url, depth, priority, wave) of what a crawl visits.
 
     seeds: url, priority; edges: parent, child, priority (higher first). Each wave takes the best `batch` of the frontier,
-    as far as the page budget goes, drops what is visited, and adds its children one deeper. A url reached by several ways
-    keeps the best of them: priority, then depth.
+    as far as the page budget goes, drops what is visited, and adds its children one deeper. A url that waits and is reached by several
+    ways has the highest of their priorities and the least of their depths. It ends when nothing waits or the budget is spent,
+    and raises an error where that takes more than max_waves.
     """
-    best = Window.partitionBy("url").orderBy(F.desc("priority"), "depth")
-    frontier = _kept(seeds.select("url", F.lit(0).alias("depth"), "priority").withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n"))
+    once = lambda rows: kept(rows.groupBy("url").agg(F.min("depth").alias("depth"), F.max("priority").alias("priority")))
+    frontier = once(seeds.select("url", F.lit(0).alias("depth"), "priority"))
     visited, taken = None, 0
     for wave in range(spec.max_waves):
         room = spec.max_pages - taken
         if room <= 0:
             break
-        batch = _kept(frontier.orderBy(F.desc("priority"), "depth", "url").limit(min(room, spec.batch)))
-        n = batch.count()
+        n, most = frontier.count(), min(room, spec.batch)
         if not n:
             break
+        # the whole frontier, where it fits, needs no order
+        batch = frontier if n <= most else kept(frontier.orderBy(F.desc("priority"), "depth", "url").limit(most))
+        n = min(n, most)
         taken += n
         done = batch.select("url", "depth", "priority", F.lit(wave).alias("wave"))
         visited = done if visited is None else visited.union(done)
         children = batch.filter(F.col("depth") < spec.max_depth).join(edges.withColumnRenamed("priority", "p"), F.col("url") == F.col("parent"))
         children = children.select(F.col("child").alias("url"), (F.col("depth") + 1).alias("depth"), (F.col("p") - F.col("depth") - 1).alias("priority"))
         both = frontier.union(children).join(visited.select("url"), "url", "left_anti")
-        frontier = _kept(both.withColumn("n", F.row_number().over(best)).filter("n = 1").drop("n"))
+        frontier = once(both)
+    else:
+        raise RuntimeError(f"the crawl has not ended after {spec.max_waves} waves")
     if visited is None:
         return frontier.withColumn("wave", F.lit(0)).limit(0)
     return visited

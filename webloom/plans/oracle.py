@@ -195,7 +195,7 @@ ORACLE = {
     "capture_list_rows": "SELECT * FROM (VALUES (1, '20240101000000', 'http://a/'), (1, '20240102000000', 'http://b/')) AS t(id, ts, url)",
     "frontier_dedupe": f"WITH {_LINKS} SELECT target AS url, min(page_id * 1000 + pos) AS seq FROM links WHERE target NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0) GROUP BY 1",
     "frontier_pop_topk": "SELECT job, priority, depth, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY priority DESC, depth, seq) AS n FROM (SELECT event_type AS job, CAST(floor(value) AS BIGINT) AS priority, CAST(user_id % 4 AS INT) AS depth, event_id AS seq FROM events)) WHERE n <= 5",
-    "crawl_reachability": f"WITH RECURSIVE e AS (SELECT * FROM {_values(GRAPH, 'parent, child')}), r(url, depth) AS (SELECT 'a', 0 UNION SELECT child, depth + 1 FROM r JOIN e ON parent = url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
+    "crawl_reachability": f"WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT {_normal('p.url')} AS parent, l.target AS child FROM links l JOIN pages p USING (page_id)), r AS (SELECT {_normal('url')} AS url, 0 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT child, depth + 1 FROM r JOIN e ON parent = r.url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
     "crawl_budgeted": "SELECT * FROM (VALUES ('a', 0, 0), ('x', 0, 0), ('b', 1, 1), ('c', 1, 1), ('y', 1, 1)) AS t(url, depth, wave)",
     "crawl_saturation": "WITH s AS (SELECT CAST(event_id // 1000 AS INT) AS wave, user_id FROM events), f AS (SELECT user_id, min(wave) AS wave FROM s GROUP BY 1) SELECT wave, count(f.user_id) AS n_new, count(f.user_id) = 0 AS saturated FROM (SELECT DISTINCT wave FROM s) LEFT JOIN f USING (wave) GROUP BY 1",
     "pages_limit_offset": "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10 OFFSET 20",

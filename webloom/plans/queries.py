@@ -329,8 +329,11 @@ def _graph(spark):
 
 @query
 def crawl_reachability(spark, d):
-    seeds = values(spark, "('a')", "url").withColumn("priority", F.lit(100))
-    return crawling.crawl(spark, seeds, _graph(spark)).select("url", "depth")
+    """What three steps over the links of captured pages reach from every fiftieth page."""
+    pages = table(spark, d, "pages").select("page_id", U.normalized(F.col("url")).alias("parent"))
+    edges = _links(table(spark, d, "pages")).join(pages, "page_id").select("parent", F.col("target").alias("child"), F.lit(50).alias("priority")).distinct()
+    seeds = pages.filter("page_id % 50 = 0").select(F.col("parent").alias("url"), F.lit(100).alias("priority"))
+    return crawling.crawl(spark, seeds, edges, crawling.CrawlSpec(max_pages=1_000_000_000, batch=1_000_000_000)).select("url", "depth")
 
 
 @query

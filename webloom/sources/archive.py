@@ -43,13 +43,24 @@ def robots_sitemaps(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_extract(x, r"(?i)^\s*sitemap:\s*(\S+)", 1))), lambda x: x != "")
 
 
-def sitemap_closure(edges: DataFrame, start: DataFrame, most: int = 20) -> DataFrame:
-    """Distinct (url, level) that nested sitemaps lead to from start (url). edges: parent, child."""
-    reached, wave = start.select("url", F.lit(0).alias("level")).distinct(), start.select("url").distinct()
-    for level in range(1, most + 1):
-        new = wave.join(edges, wave["url"] == edges["parent"]).select(F.col("child").alias("url")).distinct().join(reached, "url", "left_anti")
-        wave = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
-        if wave.isEmpty():
-            break
+def sitemap_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Distinct (url, level) that nested sitemaps lead to from start (url), however deep. edges: parent, child."""
+    from ..plans.crawl import kept
+
+    wave = kept(start.select("url").distinct())
+    reached, level = wave.withColumn("level", F.lit(0)), 0
+    while not wave.isEmpty():
+        level += 1
+        wave = kept(wave.join(edges, wave["url"] == edges["parent"]).select(F.col("child").alias("url")).distinct().join(reached, "url", "left_anti"))
         reached = reached.union(wave.withColumn("level", F.lit(level)))
     return reached
+
+
+def originals(captures: DataFrame, pattern: str, most: int = 30) -> DataFrame:
+    """Addresses (url) like pattern that were captured with success, each once, the first `most` of them."""
+    return captures.filter(F.col("url").like(pattern) & (F.col("status") == 200)).select("url").distinct().orderBy("url").limit(most)
+
+
+def pairs(captures: DataFrame, pattern: str, most: int = 20) -> DataFrame:
+    """(ts, url) of successful captures like pattern, each once, the oldest `most`."""
+    return captures.filter(F.col("url").like(pattern) & (F.col("status") == 200)).select("ts", "url").distinct().orderBy("ts", "url").limit(most)
