@@ -266,7 +266,7 @@ class Model:
         starts = np.repeat(base[:-1], windows) + step * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
         return x, y, starts, np.repeat(np.arange(len(ids)), windows)
 
-    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None, batch: int = 128) -> np.ndarray:
+    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None, batch: int = 384) -> np.ndarray:
         """log10 probability of each text of ids (its subwords, without start and end), batches of windows at a time."""
         vocab = self.vocab
         q, k, v = tables or self.tables()

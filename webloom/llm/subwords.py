@@ -13,7 +13,8 @@ from functools import lru_cache
 #: White space on which the tokenizer never joins: its pre-tokenizer splits there too.
 _chunks = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
 #: Latin text, on which NFC is the identity and lower case is the same everywhere, and which holds no special token.
-_other = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ž]|<\\|").search
+_other = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-įı-ž]").search
+_special = "<|"
 
 
 def _class(kind: str) -> str:
@@ -74,7 +75,7 @@ class Subwords:
 
     def encode(self, text: str | None) -> bytes:
         text = text or ""
-        if self.latin and not _other(text):
+        if self.latin and _special not in text and not _other(text):
             return b"".join(map(self.words.__getitem__, text.lower().split()))
         return b"".join(map(self.chunks.__getitem__, _chunks(text)))
 
