@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.text import B, E
+from .facets import bounded
 
 #: What goes on with the answer before, and the dialogue's rules by name. The crisis rule comes first here.
 CONTINUE = B + r"(tell me more|more about that|go on|continue|keep going|what else|elaborate|expand on|say more|go deeper|dive deeper)" + E
@@ -28,8 +29,10 @@ RULES = (
 #: Cues of a search for knowledge or for people.
 KNOWLEDGE = r"^(what|how|why|when|where|explain|define|tutorial|guide to|introduction to|overview of|history of|compare|difference between)" + E
 TECHNICAL = B + r"(algorithm|protocol|framework|architecture|api|database|compiler|encryption|blockchain|quantum|biology|physics|chemistry|mathematics|theorem|specification|rfc|documentation|intelligence|artificial|learning|technology|science|economics|philosophy|history|politics|culture|medicine|engineering)" + E
-PERSON = B + r"(born|lives in|resides|hometown|family|married)" + E
-NAME = B + r"[A-Z][a-z]+\s+[A-Z][a-z]+"
+PERSON = r"(?i)\b(mr\.|mrs\.|ms\.|dr\.|born|age\s+[0-9]{1,3}|lives in|resides|hometown|family|married|linkedin\.com/in|facebook\.com/|instagram\.com/)\b"
+LOCATION = r"\b(united states|usa|[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?,\s*(?:AL|AK|AZ|AR|CA|CO|CT|DE|FL|GA|HI|ID|IL|IN|IA|KS|KY|LA|ME|MD|MA|MI|MN|MS|MO|MT|NE|NV|NH|NJ|NM|NY|NC|ND|OH|OK|OR|PA|RI|SC|SD|TN|TX|UT|VT|VA|WA|WV|WI|WY))\b"
+COUNTRY = r"(?i)\b(india|china|russia|japan|germany|france|brazil|mexico|canada|australia|uk|united kingdom|nigeria|south africa|korea|pakistan|indonesia|vietnam|thailand|egypt|saudi arabia|uae|singapore|taiwan|hong kong|europe|asia|africa|latin america)\b"
+NAME = B + r"[A-Z][a-z]+\s+[A-Z][a-z]+(\s+[A-Z][a-z]+)?" + E
 LOOKUP = B + r"(search|find|lookup|who is|person|profile)" + E
 
 
@@ -48,15 +51,20 @@ def mode(text: Column) -> Column:
     return F.when(said == "", "empty").when(F.lower(said).rlike(CONTINUE), "continuation").when(rule(said) != "none", "rule").when((words <= 3) & ~said.contains("?"), "two_phrase").otherwise("reflect")
 
 
-def search_mode(query: Column) -> Column:
-    """people or knowledge, by weighed cues; ties go to people."""
-    q = F.trim(query)
+def search_scores(query: Column) -> Column:
+    """(mode, confidence): people or knowledge, by weighed cues; ties go to people. The confidence is between 0.55 and 0.98."""
+    q = F.regexp_replace(query, r"^\s+|\s+$", "")
     low = F.lower(q)
     has = lambda c, n: F.when(c, n).otherwise(0)
-    explains, technical, named = low.rlike(KNOWLEDGE), low.rlike(TECHNICAL), q.rlike(NAME)
-    words = F.split(q, r"\s+")
+    explains, technical, called = low.rlike(KNOWLEDGE), low.rlike(TECHNICAL), q.rlike(NAME)
+    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
     proper = F.size(F.filter(words, lambda w: w.rlike("^[A-Z][a-z]+")))
-    people = has(low.rlike(PERSON), 3) + has(named, 2)
+    people = has(q.rlike(bounded(PERSON)), 3) + has(q.rlike(bounded(LOCATION)), 2) + has(q.rlike(bounded(COUNTRY)), 1) + has(called, 2)
     people = F.when(explains & technical, F.greatest(people - 2, F.lit(0))).otherwise(people) + has((proper >= 2) & (proper >= F.size(words) * 0.4), 2) + has(low.rlike(LOOKUP), 2)
-    knowledge = has(explains, 3) + has(low.rlike(B + "(is|are|was|were)" + E) & technical, 2) + has(technical & ~named, 2) + has(explains & technical, 2) + has((F.size(words) <= 2) & technical, 2)
-    return F.when(people >= knowledge, "people").otherwise("knowledge")
+    knowledge = has(explains, 3) + has(low.rlike(B + "(is|are|was|were)" + E) & technical, 2) + has(technical & ~called, 2) + has(explains & technical, 2) + has((F.size(words) <= 2) & technical, 2)
+    sure = F.abs(people - knowledge) / F.greatest(people + knowledge, F.lit(1)) + F.lit(0.5)
+    return F.struct(F.when(people >= knowledge, "people").otherwise("knowledge").alias("mode"), F.least(F.lit(0.98), F.greatest(F.lit(0.55), sure)).alias("confidence"))
+
+
+def search_mode(query: Column) -> Column:
+    return search_scores(query)["mode"]

@@ -1,6 +1,6 @@
 """All queries and their SQL."""
 
-from . import intel_oracle, intel_queries, oracle, queries, report_oracle, report_queries
+from . import facet_oracle, facet_queries, intel_oracle, intel_queries, oracle, queries, report_oracle, report_queries
 
-QUERIES = queries.QUERIES | report_queries.QUERIES | intel_queries.QUERIES
-ORACLE = oracle.ORACLE | report_oracle.ORACLE | intel_oracle.ORACLE
+QUERIES = queries.QUERIES | report_queries.QUERIES | intel_queries.QUERIES | facet_queries.QUERIES
+ORACLE = oracle.ORACLE | report_oracle.ORACLE | intel_oracle.ORACLE | facet_oracle.ORACLE
