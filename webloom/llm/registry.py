@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, credentials, graphs, language, mixing, near, packing, pairwise, warc, weak
+from . import attention, credentials, graphs, language, mixing, near, packing, pairwise, postings, sql, warc, weak
 from .shared import id_remainder, read, shared_dir, stored
 
 
@@ -65,10 +65,17 @@ def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
 
 
+def op13_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = postings.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "n_near"
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials, op10_attention]
+    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials, op10_attention, op13_inverted_index]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op13_inverted_index": sql.CONTAMINATION}
