@@ -23,3 +23,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid) LEFT JOIN near USING (rid)
 """
+
+#: The unsigned CRC of a word's bytes: by a table of the polynomial's 256 remainders.
+_CRC = """
+WITH RECURSIVE steps AS (SELECT i AS byte, i AS c, 0 AS k FROM range(256) t(i) UNION ALL
+  SELECT byte, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8),
+remainders AS (SELECT list(c ORDER BY byte) AS tbl FROM steps WHERE k = 8),
+"""
+_BUCKET = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 2 * octet_length(encode(word))::INT, 2), lambda i: ('0x' || substr(hex(encode(word)), i, 2))::BIGINT)), lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295) % 10000"
+
+RESAMPLING = f"""{_CRC}
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT rid, unnest(w) AS word FROM d),
+bw AS (SELECT unnest({_WORDS}) AS word FROM benchmark),
+buckets AS (SELECT word, {_BUCKET} AS bucket FROM (SELECT word FROM dw UNION SELECT word FROM bw), remainders),
+source AS (SELECT bucket, count(*) AS s FROM dw JOIN buckets USING (word) GROUP BY bucket),
+target AS (SELECT bucket, count(*) AS t FROM bw JOIN buckets USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM bw) + 10000))))::BIGINT AS gain FROM source LEFT JOIN target USING (bucket)),
+weights AS (SELECT rid, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY rid),
+scores AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (rid)),
+ranks AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM scores WHERE n_features >= 20) // 100 THEN place END AS rank FROM ranks
+"""
