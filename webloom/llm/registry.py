@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, credentials, graphs, language, mixing, near, packing, pairwise, postings, resampling, sql, warc, weak
+from . import attention, credentials, graphs, language, mixing, near, packing, pairwise, postings, repair, resampling, sql, warc, weak
 from .shared import id_remainder, read, shared_dir, stored
 
 
@@ -65,6 +65,10 @@ def op10_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~F.col("learned")).drop("learned")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
 
@@ -77,7 +81,7 @@ def op13_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials, op10_attention, op12_resampling, op13_inverted_index]
+    own = [op1_pruned_graph, op2_pairwise_quality, op3_probminhash, op4_weak_supervision, op5_warc, op6_harmonic_packing, op7_language_mixture, op8_mixing, op9_credentials, op10_attention, op11_repair, op12_resampling, op13_inverted_index]
     return {f.__name__: f for f in own}
 
 
