@@ -11,6 +11,12 @@ TOPIC_STOP = ("a", "an", "the", "and", "or", "in", "on", "at", "to", "for", "of"
 #: Marks of pages that scripts build.
 FRAMEWORKS = r"(?i)react|angular|vue|next\.js|nuxt|__NEXT_DATA__|window\.__INITIAL_STATE__"
 B, E = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+
+
+def bounded(pattern: str) -> str:
+    r"""pattern with \b as the boundary of ASCII words."""
+    return pattern.replace(r"\b", _EDGE)
 
 
 def title(html: Column) -> Column:
@@ -86,7 +92,7 @@ def links(html: Column) -> Column:
 
 
 def hashtags(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"#([A-Za-z0-9_]+)"), F.lit(1)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"#([a-zA-Z0-9_]{2,40})"), F.lit(1)), F.lower))
 
 
 def path_slug(topic: Column) -> Column:
@@ -94,7 +100,7 @@ def path_slug(topic: Column) -> Column:
 
 
 def mentions(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"@([A-Za-z0-9_]+)"), F.lit(1)), F.lower))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"@([a-zA-Z0-9_]{2,30})"), F.lit(1)), F.lower))
 
 
 def clean_capture(text: Column) -> Column:

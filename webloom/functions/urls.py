@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-#: Hosts that are never live, and paths of tests and fixtures.
+#: Hosts that are never live, paths of tests and fixtures, hosts of social networks, ends of image addresses, a code host's own pages.
 PLACEHOLDER_HOSTS = ("example.com", "example.org", "example.net", "localhost", "127.0.0.1", "0.0.0.0", "test", "invalid")
 BLOCKED_PATH = r"(?i)(^|[\\/])(tests?|fixtures?|mocks?|data[\\/]reports|__tests__|node_modules)([\\/]|$)"
 BLOCKED_SCHEME = r"(?i)^(file|data|blob|javascript|about):"
@@ -27,7 +29,11 @@ def part(url: Column, group: int) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-case host without user and port; empty where the address has none."""
-    return F.lower(F.regexp_replace(F.regexp_replace(part(url, 2), r"^.*@", ""), r":[0-9]*$", ""))
+    return _name(part(url, 2))
+
+
+def _name(authority: Column) -> Column:
+    return F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
 
 
 def bare_host(url: Column) -> Column:
@@ -48,13 +54,40 @@ def put_together(scheme: Column, authority: Column, path: Column, query: Column,
     scheme, port = F.lower(scheme), F.regexp_extract(authority, r":([0-9]+)$", 1)
     name = F.lower(F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":[0-9]*$", ""))
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
-    short = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/$", ""))
-    return F.when(scheme != "", F.concat(scheme, F.lit("://"), name, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), short, query, fragment))
+    short = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(_undotted(path), "(?<=.)/$", ""))
+    return F.when(scheme != "", F.concat(scheme, F.lit("://"), name, F.when(default, "").otherwise(F.concat(F.lit(":"), port)), _escaped(short), _escaped(query), _escaped(fragment)))
+
+
+#: Signs that an address holds in percent form only, and dot segments.
+_UNSAFE = r"\x00-\x20\"<>`{}\x7F-\x{10FFFF}"
+_DOTS = r"(?i)(^|/)(\.|%2e){1,2}(/|$)"
+
+
+def _escaped(part: Column) -> Column:
+    runs = F.regexp_extract_all(part, F.lit(f"[{_UNSAFE}]+|[^{_UNSAFE}]+"), F.lit(0))
+    coded = F.transform(runs, lambda x: F.when(x.rlike(f"^[{_UNSAFE}]"), F.replace(F.url_encode(x), F.lit("+"), F.lit("%20"))).otherwise(x))
+    return F.when(part.rlike(f"[{_UNSAFE}]"), F.array_join(coded, "")).otherwise(part)
+
+
+def _undotted(path: Column) -> Column:
+    """path without dot segments: a fold over its segments, the array being the stack of those that stay. A last dot segment leaves its slash."""
+    one, two = (lambda x: F.lower(x).isin(".", "%2e")), (lambda x: F.lower(x).isin("..", ".%2e", "%2e.", "%2e%2e"))
+    up = lambda stack: F.slice(stack, 1, F.greatest(F.size(stack) - 1, F.lit(0)))
+    stay = F.aggregate(F.slice(F.split(path, "/"), 2, 1 << 30), F.array().cast("array<string>"), lambda s, x: F.when(two(x), up(s)).when(one(x), s).otherwise(F.concat(s, F.array(x))))
+    end = F.when(path.rlike(r"(?i)/(\.|%2e){1,2}$"), "/").otherwise("")
+    folded = F.concat(F.lit("/"), F.array_join(stay, "/"), end)
+    return F.when(path.rlike(_DOTS), F.regexp_replace(folded, "^//$", "/")).otherwise(path)
 
 
 def resolved(base: Column, link: Column) -> Column:
-    """An absolute, normalised http(s) address for a link on a page; null for fragments and other schemes. Dot segments at the start of a relative path are taken off."""
-    return normalized(joined(scheme(base), part(base, 2), part(base, 3), F.trim(link)))
+    """An absolute, normalised http(s) address for a link on a page; null for fragments and other schemes. Dot segments go, wherever they stand."""
+    return let(F.struct(scheme(base).alias("s"), part(base, 2).alias("a"), part(base, 3).alias("p")), lambda b: placed(b, link)["url"])
+
+
+def placed(base: Column, link: Column) -> Column:
+    """struct (url, host) of a link on the page whose address has the parts (s, a, p); null as resolved() says."""
+    whole = lambda x: let(F.struct(*(F.regexp_extract(x, _PARTS, k).alias(f"p{k}") for k in range(1, 6))), lambda p: let(put_together(*(p[f"p{k}"] for k in range(1, 6))), lambda u: F.when(u.isNotNull(), F.struct(u.alias("url"), _name(p["p2"]).alias("host")))))
+    return let(F.trim(joined(base["s"], base["a"], base["p"], F.trim(link))), whole)
 
 
 def joined(scheme: Column, authority: Column, path: Column, link: Column) -> Column:
@@ -65,7 +98,7 @@ def joined(scheme: Column, authority: Column, path: Column, link: Column) -> Col
         F.when((link == "") | link.startswith("#") | link.rlike(r"(?i)^(mailto|javascript|tel|data):"), None)
         .when(link.rlike(r"(?i)^https?://"), link).when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link)).when(link.startswith("/"), F.concat(root, link))
-        .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(root, folder, F.regexp_replace(link, r"^(\./)+", "")))
+        .when(link.startswith("?"), F.concat(root, path, link)).otherwise(F.concat(root, folder, link))
     )
 
 
@@ -80,12 +113,16 @@ def within(name: Column, hosts: list[str]) -> Column:
 
 def blocked_reason(url: Column) -> Column:
     """Why an address must not be fetched, the first reason that holds; null if it may be."""
-    h = F.regexp_replace(host(url), r"^\[(.*)\]$", "$1")
-    h = F.when(part(url, 2).rlike(r"^\["), F.lower(F.regexp_extract(part(url, 2), r"^\[([^\]]*)\]", 1))).otherwise(h)
+    name = F.when(part(url, 2).rlike(r"^\["), F.lower(F.regexp_extract(part(url, 2), r"^\[([^\]]*)\]", 1))).otherwise(host(url))
+    return let(F.struct(scheme(url).alias("s"), name.alias("h"), F.trim(url).alias("u")), _blocked)
+
+
+def _blocked(x: Column) -> Column:
+    s, h = x["s"], x["h"]
     ip = h.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
     n = lambda k: F.get(F.split(h, r"\."), F.lit(k)).cast("int")
     return (
-        F.when((scheme(url) == "") | ~scheme(url).isin("http", "https") & F.trim(url).rlike(r"^[a-z]+:$"), "invalid_url").when(~scheme(url).isin("http", "https"), "scheme_not_allowed")
+        F.when((s == "") | ~s.isin("http", "https") & x["u"].rlike(r"^[a-z]+:$"), "invalid_url").when(~s.isin("http", "https"), "scheme_not_allowed")
         .when(h.isin("localhost", "127.0.0.1", "::1", "0.0.0.0"), "blocked_host").when(h.endswith(".local") | h.endswith(".internal"), "blocked_tld")
         .when(ip & (n(0) == 10), "private_ip").when(ip & (n(0) == 172) & n(1).between(16, 31), "private_ip").when(ip & (n(0) == 192) & (n(1) == 168), "private_ip")
         .when(ip & (n(0) == 127), "loopback_ip").when(ip & (n(0) == 169) & (n(1) == 254), "link_local_ip")

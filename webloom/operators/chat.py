@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import B, E
-from .facets import bounded
+from ..functions.text import B, E, bounded
 
 #: What goes on with the answer before, and the dialogue's rules by name. The crisis rule comes first here.
 CONTINUE = B + r"(tell me more|more about that|go on|continue|keep going|what else|elaborate|expand on|say more|go deeper|dive deeper)" + E
@@ -26,6 +25,26 @@ RULES = (
     ("why", B + r"why (.+)\?"),
     ("question", r"\?$"),
 )
+#: Two answers to each rule, $1 and $2 being what its groups matched; what is said in turn; what is said where nothing is found.
+REPLIES = {
+    "crisis": ("I'm a simple pattern matcher, not a counselor. Please talk to a real person you trust or a crisis line.", "That sounds very serious. This chatbot cannot help with that — please reach out to someone who can."),
+    "greeting": ("Hello. How are you feeling today?", "Hi there. Is something troubling you?"),
+    "farewell": ("Goodbye. It was good talking with you.", "Take care. Feel free to come back anytime."),
+    "sadness": ("I'm sorry to hear that you're depressed.", "Why do you think you feel depressed much of the time?"),
+    "family": ("Tell me more about your family.", "How does your family figure into this?"),
+    "relationship": ("Is it important to you that your relationship is going this way?", "Can you think of a specific example from your relationship?"),
+    "always": ("Can you think of a specific example?", "What connection do you suppose they're always doing that?"),
+    "i_am": ("Why do you say you are $1?", "Do you enjoy being $1?"),
+    "i_m": ("Why do you say you're $1?", "How long have you been $1?"),
+    "i": ("Why do you say you $1?", "You say you $1 — can you elaborate?"),
+    "you_are": ("What makes you think I am $2?", "Does it matter to you that I am $2?"),
+    "what_is": ("Why do you ask what $1 is?", "What do you already know about $1?"),
+    "why": ("Why do you think $1?", "What reason comes to mind for why $1?"),
+    "question": ("Why do you ask that?", "What do you think the answer might be?"),
+}
+IN_TURN = ("Tell me more.", "This is interesting.")
+NOTHING_SAID = "Is something troubling you?"
+NOT_FOUND = "I crawled live sources but did not find a clear definitional sentence for that question. Try a more specific domain or rephrase."
 #: Cues of a search for knowledge or for people.
 KNOWLEDGE = r"^(what|how|why|when|where|explain|define|tutorial|guide to|introduction to|overview of|history of|compare|difference between)" + E
 TECHNICAL = B + r"(algorithm|protocol|framework|architecture|api|database|compiler|encryption|blockchain|quantum|biology|physics|chemistry|mathematics|theorem|specification|rfc|documentation|intelligence|artificial|learning|technology|science|economics|philosophy|history|politics|culture|medicine|engineering)" + E
@@ -68,3 +87,21 @@ def search_scores(query: Column) -> Column:
 
 def search_mode(query: Column) -> Column:
     return search_scores(query)["mode"]
+
+
+def rule_reply(text: Column, number: Column) -> Column:
+    """The answer of the first rule that what is said matches, one of its two by number; null where none does."""
+    said = F.trim(text)
+    out = None
+    for name, pattern in RULES:
+        answers = F.when(F.pmod(number, F.lit(2)) == 0, REPLIES[name][0]).otherwise(REPLIES[name][1])
+        for group in (1, 2):
+            if f"${group}" in REPLIES[name][0]:
+                answers = F.replace(answers, F.lit(f"${group}"), F.regexp_extract(said, f"(?i){pattern}", group))
+        out = F.when(F.lower(said).rlike(pattern), answers) if out is None else out.when(F.lower(said).rlike(pattern), answers)
+    return out
+
+
+def reflected(text: Column) -> Column:
+    said = F.regexp_replace(F.trim(text), "[.!?]+$", "")
+    return F.when(said == "", NOTHING_SAID).otherwise(F.concat(F.lit("Do you often think about "), F.lower(said), F.lit("?")))

@@ -5,25 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import B, E
+from ..functions.text import bounded
 
 #: Patterns of the extractors.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-PHONE = r"(\+?1[-. ]?)?(\(?[2-9][0-9]{2}\)?[-. ]?)[2-9][0-9]{2}[-. ]?[0-9]{4}"
+PHONE = r"(?:\+?1[-.\s]?)?(?:\(?[2-9]\d{2}\)?[-.\s]?)[2-9]\d{2}[-.\s]?\d{4}\b"
 COMPENSATION = (
-    r"\$\s?[0-9,]+(\.[0-9]{2})?\s*(/\s?(hr|hour)|per hour|hourly)",
-    r"\$\s?[0-9,]+(k|,000)?\s*(/\s?(yr|year)|per year|annually|salary)",
+    r"(?i)\$\s?[\d,]+(?:\.\d{2})?\s*(?:\/\s?(?:hr|hour)|per hour|hourly)",
+    r"(?i)\$\s?[\d,]+(?:k|,000)?\s*(?:\/\s?(?:yr|year)|per year|annually|salary)",
 )
 DOMAINS = {
-    "Artificial Intelligence": r"artificial intelligence|ai|machine learning|ml|deep learning|neural network|llm|large language model",
-    "Prompt Engineering": r"prompt engineering|prompt expert|prompt design|chain-of-thought",
-    "Cybersecurity": r"cybersecurity|infosec|penetration testing|osint|threat intelligence",
-    "Web Crawling & Data": r"web scraping|crawling|spider|data extraction",
-    "Blockchain": r"blockchain|cryptocurrency|web3|smart contract",
-    "Cloud & DevOps": r"cloud computing|devops|kubernetes|docker|aws|azure|gcp",
-    "Finance": r"finance|economics|investment|trading|accounting",
-    "Healthcare & Life Sciences": r"medicine|healthcare|clinical|pharmaceutical|biology",
-    "Law & Policy": r"law|legal|jurisprudence|litigation|regulation",
+    "Artificial Intelligence": r"(?i)\b(artificial intelligence|\bAI\b|machine learning|\bML\b|deep learning|neural network|LLM|large language model)",
+    "Prompt Engineering": r"(?i)\b(prompt engineering|prompt expert|prompt design|chain-of-thought)",
+    "Cybersecurity": r"(?i)\b(cybersecurity|infosec|penetration testing|OSINT|threat intelligence)",
+    "Web Crawling & Data": r"(?i)\b(web scraping|crawling|spider|data extraction)",
+    "Blockchain": r"(?i)\b(blockchain|cryptocurrency|web3|smart contract)",
+    "Cloud & DevOps": r"(?i)\b(cloud computing|devops|kubernetes|docker|aws|azure|gcp)",
+    "Finance": r"(?i)\b(finance|economics|investment|trading|accounting)",
+    "Healthcare & Life Sciences": r"(?i)\b(medicine|healthcare|clinical|pharmaceutical|biology)",
+    "Law & Policy": r"(?i)\b(law|legal|jurisprudence|litigation|regulation)",
 }
 
 
@@ -39,7 +39,7 @@ def emails(text: Column, most: int | None = None) -> Column:
 
 def phones(text: Column, most: int | None = None) -> Column:
     """Digit strings with ten or eleven digits that do not start like a year."""
-    found = F.regexp_extract_all(text, F.lit(f"{PHONE}(?![A-Za-z0-9_])"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(bounded(PHONE)), F.lit(0))
     digits = lambda p: F.regexp_replace(p, "[^0-9]", "")
     valid = F.array_distinct(F.filter(found, lambda p: F.length(digits(p)).isin(10, 11) & ~digits(p).rlike("^(19|20)[0-9]{2}")))
     return _first(F.when(text.rlike("[0-9]{4}"), valid).otherwise(F.array().cast("array<string>")), most)
@@ -47,17 +47,8 @@ def phones(text: Column, most: int | None = None) -> Column:
 
 def domains(text: Column) -> Column:
     """Names of the fields that a text touches, in the order of the table. Most texts touch none, which one search tells."""
-    low = F.lower(text)
-    found = F.array_compact(F.array(*(F.when(low.rlike(f"{B}({p})"), F.lit(name)) for name, p in DOMAINS.items())))
-    return F.when(low.rlike(f"{B}({'|'.join(DOMAINS.values())})"), found).otherwise(F.array().cast("array<string>"))
-
-
-def compensation(text: Column, most: int | None = None) -> Column:
-    return _first(F.array_distinct(F.concat(*(F.regexp_extract_all(F.lower(text), F.lit(p), F.lit(0)) for p in COMPENSATION))), most)
-
-
-def businesses(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(B + r"([A-Z][A-Za-z0-9&.'-]*(?: [A-Z][A-Za-z0-9&.'-]*){0,4}) (?:LLC|Inc\.|Corp\.|Corporation|Company|Co\.)"), F.lit(1)), F.trim))
+    found = F.array_compact(F.array(*(F.when(text.rlike(bounded(p)), F.lit(name)) for name, p in DOMAINS.items())))
+    return F.when(text.rlike(bounded("|".join(DOMAINS.values()))), found).otherwise(F.array().cast("array<string>"))
 
 
 def found(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_capture
+from ..functions.text import bounded, clean_capture
 from .entities import COMPENSATION
 
 #: Fixed values: (kind, pattern, group) of phrases.
@@ -34,7 +34,7 @@ BUSINESSES = (
     ("DBA", r"(?i)\b(?:registered business|business name|DBA|doing business as)[:\s]+([A-Za-z0-9\s&.'-]{2,50})", 1),
     ("startup", r"(?i)\b(?:founded|started|launched|established)\s+([A-Z][A-Za-z0-9\s&.'-]{2,50})", 1),
 )
-PAY = tuple(("compensation", "(?i)" + p, 0) for p in COMPENSATION) + (
+PAY = tuple(("compensation", p, 0) for p in COMPENSATION) + (
     ("compensation", r"(?i)\b(?:salary|compensation|pay(?:s|ing)?|earns?|income)[:\s]+\$?\s?[0-9,]+(?:\.[0-9]{2})?(?:\s*(?:/\s?(?:hr|hour|yr|year)|per hour|per year|k|annually))?", 0),
 )
 WORKPLACES = (
@@ -67,13 +67,6 @@ NEAR_DATE = (
     r"\b([A-Z][A-Za-z0-9\s&.'-]{2,40})\s+(?:LLC|L\.L\.C\.|Inc\.|Corp\.|Corporation|Co\.)\b",
 )
 
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-
-
-def bounded(pattern: str) -> str:
-    return pattern.replace(r"\b", _EDGE)
-
-
 def named(text: Column, phrases: tuple, least: int = 0, most: int = 2**31 - 1) -> Column:
     """Distinct (kind, value) of all that the phrases name, cleaned, of `least` to `most` characters."""
 

@@ -31,10 +31,22 @@ def capped(children: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("priority"), "pos"))).filter(F.col("rank") <= k)
 
 
-def fingerprint(keys: Column) -> Column:
-    """Equal for equal sets of keys, regardless of case and blanks around them."""
-    return F.sha2(F.array_join(F.array_sort(F.array_distinct(F.transform(keys, lambda k: F.lower(F.trim(k))))), "\0"), 256)
+def fingerprints(keys: DataFrame, by: list[str], key: str = "key") -> DataFrame:
+    """(by..., n_keys, fingerprint): equal for groups with equal sets of keys, regardless of order, repeats, case and blanks around them; empty keys don't count.
+
+    Sums and exclusive ors of two hashes of each distinct key: they combine on the map side, and no group is ever one list.
+    """
+    told = keys.select(*by, F.lower(F.trim(key)).alias("k")).filter("k <> ''").distinct().withColumn("h", F.md5("k"))
+    half = lambda at: F.conv(F.substring("h", at, 15), 16, 10).cast("long")
+    sums = told.groupBy(*by).agg(F.count(F.lit(1)).alias("n_keys"), F.bit_xor(half(1)).alias("x"), F.sum(half(1).cast("decimal(38,0)")).alias("s"), F.bit_xor(half(17)).alias("y"), F.sum(half(17).cast("decimal(38,0)")).alias("t"))
+    return sums.select(*by, "n_keys", F.sha2(F.concat_ws(":", *(F.col(c).cast("string") for c in ("n_keys", "x", "s", "y", "t"))), 256).alias("fingerprint"))
+
+
+#: The engines that pages are fetched by.
+ENGINES = ("http", "playwright", "archive")
 
 
 def engine(explicit: Column, source: Column, js_heavy: Column, default: str = "http") -> Column:
-    return F.coalesce(explicit, F.when(source.isin("wayback", "common_crawl"), "archive").when(js_heavy, "playwright").otherwise(default))
+    """The engine asked for, http for one that isn't there; where none is asked for, by source and scripts."""
+    asked = F.when(explicit.isin(*ENGINES), explicit).when(explicit != "auto", default)
+    return F.coalesce(asked, F.when(source.isin("wayback", "common_crawl"), "archive").when(js_heavy, "playwright").otherwise(default))

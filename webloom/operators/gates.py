@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
+from collections.abc import Iterator
+from heapq import heappop, heappush
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered
+
 #: Ranks of roles, and the role that each route asks for; a route that is not listed asks for admin.
 RANKS = {"viewer": 1, "operator": 2, "admin": 3, "sovereign": 4}
 ROUTES = (
@@ -56,6 +64,40 @@ def authorized(roles: Column, method: Column, path: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(roles, rank)) >= rank(needed_role(method, path)), F.lit(False))
 
 
+def mac(key: bytes, message: Column) -> Column:
+    """The keyed hash (HMAC with SHA-256) of a text in lower-case hex: two hashes over the padded key, as a Column."""
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))), 256)
+
+
+GENESIS = "GENESIS"
+
+
+def _signed(key: bytes) -> Column:
+    prev = F.when(F.coalesce("prev", F.lit("")) == "", GENESIS).otherwise(F.col("prev"))
+    return mac(key, F.concat_ws("|", "id", "at", "kind", prev, F.coalesce("detail", F.lit(""))))
+
+
+def chained(entries: DataFrame, key: bytes, *order: str) -> DataFrame:
+    """entries (id, at, kind, detail: texts) with prev, the id of the entry before in the order ("" for the first), and their mac."""
+    linked = ordered.before(ordered.in_order(entries, *order), "prev", F.col("id"))
+    return linked.withColumn("prev", F.coalesce("prev", F.lit(""))).withColumn("mac", _signed(key)).drop("place", "part")
+
+
+def chain_faults(entries: DataFrame, key: bytes, *order: str) -> DataFrame:
+    """(order..., id, fault) of a chain's entries: mac where the keyed hash differs, link where prev is not the id of the entry before. Ranges are checked apart, their borders compared."""
+    linked = ordered.before(ordered.in_order(entries, *order), "expected", F.col("id"))
+    wrong = F.array_compact(F.array(F.when(~F.col("mac").eqNullSafe(_signed(key)), "mac"), F.when(~F.coalesce("prev", F.lit("")).eqNullSafe(F.coalesce("expected", F.lit(""))), "link")))
+    return linked.select(*order, "id", F.explode(wrong).alias("fault"))
+
+
+def vital(faults: DataFrame, dev: bool, *order: str) -> DataFrame:
+    """(vital, reason): whether work may go on, as no fault of the chain is found; else the first fault. In development it always may."""
+    first = faults.agg(F.min_by(F.concat_ws(" ", "id", "fault"), F.struct(*order, F.col("fault") == "link")).alias("reason"))
+    return first.select((F.col("reason").isNull() | F.lit(dev)).alias("vital"), F.when(~F.lit(dev), F.col("reason")).alias("reason"))
+
+
 def broken_links(events: DataFrame) -> DataFrame:
     """Where an audit chain breaks: events (chain, seq, id, prev) whose prev is not the id before."""
     before = F.lag("id").over(Window.partitionBy("chain").orderBy("seq"))
@@ -63,8 +105,45 @@ def broken_links(events: DataFrame) -> DataFrame:
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """urls (url, host, path) with allowed: the longest rule (host, prefix, allow) decides, allowing on ties; true without rules."""
-    hits = urls.join(rules, "host", "left")
-    match = F.when(F.col("path").startswith(F.col("prefix")), F.struct(F.length("prefix").alias("n"), F.col("allow").alias("allow")))
-    best = hits.groupBy("url").agg(F.max(match).alias("m"))
-    return best.select("url", F.coalesce(F.col("m.allow"), F.lit(True)).alias("allowed"))
+    """urls (url, host, path) with allowed: the longest rule (host, prefix, allow) decides, allowing on ties; true without rules.
+
+    A host's rules are folded into one array, the longest first, so urls aren't multiplied by rules; each url takes the first that fits.
+    """
+    folded = rules.groupBy("host").agg(F.reverse(F.sort_array(F.collect_set(F.struct(F.length("prefix").alias("n"), "allow", "prefix")))).alias("rules"))
+    fits = F.try_element_at(F.filter("rules", lambda r: F.col("path").startswith(r["prefix"])), F.lit(1))
+    return urls.join(folded, "host", "left").select("url", F.coalesce(fits["allow"], F.lit(True)).alias("allowed"))
+
+
+def admitted(requests: DataFrame, per_window: int, open_at_once: int, window: float = 60.0) -> DataFrame:
+    """requests (id, at, until: seconds) with admitted: fewer than per_window admissions lie in the window up to `at`, and fewer than open_at_once are open.
+
+    What is admitted depends on earlier admissions, so a busy period is a sequence; where nothing asked can still count, a new period begins. Periods are told by a running
+    maximum in ranges and are worked on side by side; one streams through its task, which keeps at most per_window times and open_at_once ends. A connection is closed
+    before a request of the same time. Requests of one time come by id.
+    """
+    line = ordered.before(ordered.in_order(requests, "at", "id"), "busy", F.greatest(F.col("at") + F.lit(window), F.col("until")), greatest=True)
+    starts = line.withColumn("start", F.col("busy").isNull() | (F.col("at") > F.col("busy")))
+    period = ordered.before(starts, "period", F.when(F.col("start"), F.col("place")), greatest=True)
+    period = period.withColumn("period", F.when(F.col("start"), F.col("place")).otherwise(F.col("period")))
+    kind = requests.schema["id"].dataType.simpleString()
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, times, ends = None, deque(), []
+        for frame in frames:
+            out = []
+            for part, at, until in zip(frame["period"], frame["at"], frame["until"]):
+                if part != now:
+                    now, times, ends = part, deque(), []
+                while times and times[0] < at - window:
+                    times.popleft()
+                while ends and ends[0] <= at:
+                    heappop(ends)
+                good = len(times) < per_window and len(ends) < open_at_once
+                if good:
+                    times.append(at)
+                    heappush(ends, until)
+                out.append(good)
+            yield pd.DataFrame({"id": frame["id"], "admitted": out})
+
+    rows = period.select("id", F.col("at").cast("double"), F.col("until").cast("double"), "period", "place").repartition("period").sortWithinPartitions("period", "place")
+    return rows.select("id", "at", "until", "period").mapInPandas(told, f"id {kind}, admitted boolean")

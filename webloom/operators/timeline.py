@@ -38,7 +38,7 @@ def dates(text: Column) -> Column:
 
         return F.transform(F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(0)), one)
 
-    every = [of(*x) for x in DATES]
+    every = [of(*x) for x in (*DATES, (r"datetime=\"([0-9]{4})-([0-9]{2})-([0-9]{2})\"", 1, 2, 3, "day"))]
     return F.filter(F.concat(*every), lambda x: x["date"].isNotNull())
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.binding import let
+from ..functions.text import bounded
 
 
 @dataclass(frozen=True)
@@ -60,7 +62,7 @@ def page_score(url: Column, title: Column, body: Column, topic: Topic) -> Column
 
 def follow(url: Column, anchor: Column, topic: Topic, least: float) -> Column:
     """Whether a link joins the frontier: no chrome, and a score of least, a little more off the social hosts."""
-    social = F.greatest(*(U.host(url).contains(h) for h in U.SOCIAL_HOSTS))
+    social = let(U.host(url), lambda name: F.greatest(*(name.contains(h) for h in U.SOCIAL_HOSTS)))
     return ~U.is_noise(url) & (link_score(url, anchor, topic) >= F.when(social, least).otherwise(least + 0.05))
 
 
@@ -75,10 +77,31 @@ def ranked_pages(pages: DataFrame, topic: Topic, least: float = 0.12) -> DataFra
 
 
 #: Fixed values of the sentence ranking.
-DEFINITION = T.B + r"(is|are|was|were|means|refers? to|defined as|consists of|involves|describes|known as)" + T.E
-NOISE = T.B + r"(github|click here|sign up|subscribe|cookie|privacy policy|terms of service|download now|get started|our platform|self-evolving memory|portable memory layer)" + T.E
-QUESTION = r"(?i)^(what\s+(is|are)|who\s+(is|are)|define|explain(\s+what)?|describe|tell\s+me\s+about)\s+(.+?)\??$"
-EDUCATIONAL = r"(?i)(^|\.|//)(arxiv|britannica|wikipedia|worldhistory|paperswithcode|nature|ncbi|nih)\.(org|com|gov)"
+DEFINITION = r"(?i)\b(is|are|was|were|means|refer(s)?\s+to|defined\s+as|consists\s+of|involves|describes|known\s+as)\b"
+SUBJECT_FIRST = r"(?i)^(?:an?\s+)?[a-z][\w\s-]{0,60}\s+(is|are|was|were)\s+(?:a|an|the)\b"
+NOISE = r"(?i)\b(github|click here|sign up|subscribe|cookie|privacy policy|terms of service|download now|get started|our platform|self-evolving memory|portable memory layer)\b"
+ACADEMIC = r"(?i)\b(comments:\s*\d+\s+pages|subjects:|figures,\s+\d+\s+appendices|arxiv:|doi:|(?:vol\.|pp\.)\s*\d)\b"
+PRODUCT, LIST_PAGE = r"(?i)\b(modular|runtime|repository|repo|agent|platform)\b", r"(?i)\/list\/\w+\/new"
+QUESTION = r"(?i)^(?:what\s+(?:is|are)|who\s+(?:is|are)|define|explain(?:\s+what)?|describe|tell\s+me\s+about)\s+(.+?)\??$"
+EDUCATIONAL = r"(?i)(?:^|\.)((?:arxiv|britannica|wikipedia|worldhistory|paperswithcode|nature|ncbi|nih)\.(?:org|com|gov))"
+
+
+def defines(sentence: Column) -> Column:
+    return sentence.rlike(bounded(DEFINITION)) | sentence.rlike(bounded(SUBJECT_FIRST))
+
+
+def style(sentence: Column, url: Column) -> Column:
+    """What a sentence is worth as a definition, whatever the question."""
+    points = lambda holds, n: F.when(holds, n).otherwise(0)
+    product = sentence.rlike(bounded(PRODUCT)) & ~sentence.rlike(bounded(DEFINITION))
+    by_url = points(F.lower(url).contains("github.com"), -5) + points(url.rlike(LIST_PAGE), -4)
+    return points(defines(sentence), 4) + points(sentence.rlike(bounded(NOISE)), -6) + points(sentence.rlike(bounded(ACADEMIC)), -5) + points(product, -2) + by_url
+
+
+def host_points(url: Column, seed_hosts: list[str]) -> Column:
+    """One point for educational hosts (as the address's own text tells), two for hosts of seeds and below them."""
+    seeded = F.when(U.within(U.bare_host(url), seed_hosts), 2).otherwise(0) if seed_hosts else F.lit(0)
+    return F.when(url.rlike(EDUCATIONAL), 1).otherwise(0) + seeded
 
 
 @dataclass(frozen=True)
@@ -90,7 +113,7 @@ class Question:
     @staticmethod
     def parse(question: str) -> Question:
         m = re.match(QUESTION, question.strip())
-        focus = m[5].rstrip("?").strip() if m else question.strip()
+        focus = m[1].rstrip("?").strip() if m else question.strip()
         terms = tuple(dict.fromkeys(t for t in re.findall(r"[a-z0-9]{3,}", focus.lower()) if t not in T.QUESTION_STOP))
         return Question(terms, focus, bool(m))
 
@@ -101,26 +124,22 @@ def matches(text: Column, term: str) -> Column:
     return text.contains(term) | text.contains(other)
 
 
-def sentence_score(sentence: Column, title: Column, url: Column, q: Question) -> Column:
+def sentence_score(sentence: Column, title: Column, url: Column, q: Question, seed_hosts: list[str] = ()) -> Column:
     if not q.terms:
         return F.lit(0.0)
     low, head = F.lower(sentence), F.lower(F.coalesce(title, F.lit("")))
     n = sum((F.when(matches(low, t) | matches(head, t), 1).otherwise(0) for t in q.terms), F.lit(0))
-    score = n + n / F.lit(float(len(q.terms))) * 2 + F.when(_hits(head, q.terms) > 0, 1.5).otherwise(0.0)
+    score = n + n / F.lit(float(len(q.terms))) * 2 + F.when(_hits(head, q.terms) > 0, 1.5).otherwise(0.0) + host_points(url, list(seed_hosts))
     if q.definition:
-        defines = low.rlike(DEFINITION)
-        score = score + F.when(defines, 4).otherwise(0) - F.when(low.rlike(NOISE), 6).otherwise(0) - F.when(F.lower(url).contains("github.com"), 5).otherwise(0)
-        score = score + F.when(low.contains(q.focus.lower()), 2).otherwise(0)
-    score = score + F.when(url.rlike(EDUCATIONAL), 1).otherwise(0)
+        score = score + style(sentence, url) + F.when(low.contains(q.focus.lower()), 2).otherwise(0)
     return F.when(n > 0, score.cast("double")).otherwise(0.0)
 
 
-def ranked_sentences(docs: DataFrame, question: str, most: int = 50) -> DataFrame:
+def ranked_sentences(docs: DataFrame, question: str, most: int = 50, seed_hosts: list[str] = ()) -> DataFrame:
     """The best sentences of docs (doc_id, title, url, text): score, then length, then place."""
     q = Question.parse(question)
     rows = docs.select("doc_id", "title", "url", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence"))
     if q.definition:
-        defined = rows.filter(F.lower("sentence").rlike(DEFINITION))
-        rows = defined
-    scored = rows.withColumn("score", sentence_score(F.col("sentence"), F.col("title"), F.col("url"), q)).filter("score > 0")
+        rows = rows.filter(defines(F.col("sentence")))
+    scored = rows.withColumn("score", sentence_score(F.col("sentence"), F.col("title"), F.col("url"), q, seed_hosts)).filter("score > 0")
     return scored.orderBy(F.desc("score"), F.length("sentence").desc(), "doc_id", "pos").limit(most)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
+
 
 @dataclass(frozen=True)
 class CrawlSpec:
@@ -17,17 +18,6 @@ class CrawlSpec:
     max_waves: int = 10_000
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder: waves must not be computed again by later ones."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        where = context.getConf().get("spark.checkpoint.dir")
-        if not where and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
-        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="webloom-"))
-    return df.checkpoint()
-
-
 def crawl(spark: SparkSession, seeds: DataFrame, edges: DataFrame, spec: CrawlSpec = CrawlSpec()) -> DataFrame:
     """(url, depth, priority, wave) of what a crawl visits.
 

@@ -1,6 +1,6 @@
 """The queries on pages, seeds and captures as SQL for an independent engine."""
 
-from .oracle import _DOCS, _LINKS, _RANKED, ORACLE as BASE, _host, _normal, _TITLE
+from .oracle import _DOMAIN_LIST, _DOCS, _LINKS, _RANKED, ORACLE as BASE, _host, _normal, _TITLE
 
 _CAPTURES = "caps AS (SELECT 'u' || CAST(user_id % 20 AS VARCHAR) AS url, ts, CASE WHEN event_id % 7 = 0 THEN 404 ELSE 200 END AS status FROM events)"
 _META = r"""(?is)<meta[^>]*(?:name|property)=["'']{0}["''][^>]*content=["'']([^"'']*)["'']"""
@@ -29,23 +29,12 @@ ORACLE = {
     "topic_snippets": f"WITH {_DOCS}, x AS (SELECT doc_id, list_filter({_SNIPPETS}, lambda s: s <> '') AS s FROM docs), y AS (SELECT doc_id, unnest(s) AS snippet, unnest(range(len(s))) AS i FROM x), z AS (SELECT doc_id, snippet, min(i) AS i FROM y GROUP BY 1, 2) SELECT doc_id, pos, snippet FROM (SELECT doc_id, snippet, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM z) WHERE pos < 8",
     "source_links": f"WITH {_RANKED} SELECT page_id, url, title, relevance FROM ranked",
     "archive_candidates": f"WITH {_RANKED}, l AS (SELECT *, regexp_replace({_host('url')}, '^www\\.', '') AS h FROM ranked) SELECT {_normal('url')} AS url, max(relevance) AS relevance FROM l WHERE h NOT IN ('example.com', 'example.org', 'example.net', 'localhost', '127.0.0.1', '0.0.0.0', 'test', 'invalid') AND NOT regexp_matches(h, '\\.(local|test|localhost)$|^127\\.|^10\\.|^192\\.168\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.') AND regexp_matches(trim(url), '(?i)^https?://') AND NOT regexp_matches(trim(url), '(?i)(^|[\\\\/])(tests?|fixtures?|mocks?|data[\\\\/]reports|__tests__|node_modules)([\\\\/]|$)|\\.(test|spec)\\.[a-z]+$') GROUP BY 1 ORDER BY relevance DESC, url LIMIT 5",
-    "mention_counts": f"WITH {_DOCS} SELECT name, count(*) AS n FROM (SELECT DISTINCT doc_id, i, lower(unnest(regexp_extract_all(text, '@([A-Za-z0-9_]+)', 1))) AS name FROM (SELECT *, row_number() OVER () AS i FROM docs)) GROUP BY 1",
-    "document_hashtags": f"WITH {_DOCS} SELECT tag, count(*) AS n FROM (SELECT DISTINCT doc_id, i, lower(unnest(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1))) AS tag FROM (SELECT *, row_number() OVER () AS i FROM docs)) GROUP BY 1",
+    "mention_counts": f"WITH {_DOCS} SELECT name, count(*) AS n FROM (SELECT DISTINCT doc_id, i, lower(unnest(regexp_extract_all(text, '@([a-zA-Z0-9_]{{2,30}})', 1))) AS name FROM (SELECT *, row_number() OVER () AS i FROM docs)) GROUP BY 1",
+    "document_hashtags": f"WITH {_DOCS} SELECT tag, count(*) AS n FROM (SELECT DISTINCT doc_id, i, lower(unnest(regexp_extract_all(text, '#([a-zA-Z0-9_]{{2,40}})', 1))) AS tag FROM (SELECT *, row_number() OVER () AS i FROM docs)) GROUP BY 1",
     "clean_captures": r"SELECT item_id, regexp_replace(trim(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g')), '[.,;]+$', '') AS text FROM benchmark",
     "title_case_names": r"SELECT item_id, array_to_string(list_transform(list_filter(string_split(regexp_replace(text, '[ \t\n\r\f]+', ' ', 'g'), ' '), lambda w: w <> ''), lambda w: CASE WHEN w[1] = 'ß' THEN 'SS' ELSE upper(w[1]) END || lower(w[2:])), ' ') AS name FROM benchmark",
     "unique_turns": "WITH t AS (SELECT conv_id, lower(trim(text)) AS k, min({'turn': turn, 'role': role, 't': trim(text)}) AS x FROM conversations WHERE conv_id IS NOT NULL AND length(trim(text)) >= 12 GROUP BY 1, 2) SELECT conv_id, rank, x.t AS text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY x.turn, x.role, k) AS rank FROM t) WHERE rank <= 5",
     "continuation_cursor": "WITH t AS (SELECT conv_id, turn, coalesce(max(length(text)) % 2 = 0, false) AS goes_on FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, count(*) FILTER (WHERE NOT goes_on) OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM t) SELECT conv_id, turn, (count(*) FILTER (WHERE goes_on) OVER (PARTITION BY conv_id, part ORDER BY turn)) % 3 AS cursor FROM p",
 }
-_WORDS = {
-    "Artificial Intelligence": "artificial intelligence|ai|machine learning|ml|deep learning|neural network|llm|large language model",
-    "Prompt Engineering": "prompt engineering|prompt expert|prompt design|chain-of-thought",
-    "Cybersecurity": "cybersecurity|infosec|penetration testing|osint|threat intelligence",
-    "Web Crawling & Data": "web scraping|crawling|spider|data extraction",
-    "Blockchain": "blockchain|cryptocurrency|web3|smart contract",
-    "Cloud & DevOps": "cloud computing|devops|kubernetes|docker|aws|azure|gcp",
-    "Finance": "finance|economics|investment|trading|accounting",
-    "Healthcare & Life Sciences": "medicine|healthcare|clinical|pharmaceutical|biology",
-    "Law & Policy": "law|legal|jurisprudence|litigation|regulation",
-}
-ORACLE["document_domains"] = f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT doc_id, '{name}' AS domain FROM docs WHERE regexp_matches(lower(text), '\\b({words})')" for name, words in _WORDS.items())
+ORACLE["document_domains"] = f"WITH {_DOCS} SELECT doc_id, unnest({_DOMAIN_LIST}) AS domain FROM docs"
 ORACLE["entity_sources"] = BASE["entity_merge"].rsplit("SELECT type, arg_min", 1)[0] + "SELECT type, lower(value) AS key, 'doc:' || CAST(doc_id AS VARCHAR) AS source, max(confidence) AS confidence FROM e GROUP BY 1, 2, 3"

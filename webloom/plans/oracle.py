@@ -3,7 +3,7 @@
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import chat, entities, regions, timeline, topic
-from .queries import ADDRESSES, CHAIN, CUES, GRAPH, PROSE, REQUESTS, SENTENCES, TOPIC
+from .queries import TOPIC
 
 _Q = "'"
 
@@ -20,6 +20,15 @@ def _any(column: str, names) -> str:
     return f"{column} IN ({', '.join(map(_s, names))})"
 
 
+_UNSAFE = r"""\x00-\x20"<>`{}\x7F-\x{10FFFF}"""
+
+
+def _escaped(part: str) -> str:
+    """Percent forms of the signs that an address can't hold, run by run."""
+    runs = f"regexp_extract_all({part}, '[{_UNSAFE}]+|[^{_UNSAFE}]+')"
+    return f"array_to_string(list_transform({runs}, lambda x: CASE WHEN regexp_matches(x, '^[{_UNSAFE}]') THEN url_encode(x) ELSE x END), '')"
+
+
 _PARTS = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$'"
 
 
@@ -36,7 +45,7 @@ def _normal(url: str) -> str:
     path = f"CASE WHEN {_part(url, 3)} IN ('', '/') THEN '/' ELSE regexp_replace({_part(url, 3)}, '/$', '') END"
     scheme = f"lower({_part(url, 1)})"
     shown = f"CASE WHEN {port} = '' OR ({scheme} = 'http' AND {port} = '80') OR ({scheme} = 'https' AND {port} = '443') THEN '' ELSE ':' || {port} END"
-    return f"CASE WHEN {scheme} <> '' THEN {scheme} || '://' || {_host(url)} || ({shown}) || ({path}) || {_part(url, 4)} || {_part(url, 5)} END"
+    return f"CASE WHEN {scheme} <> '' THEN {scheme} || '://' || {_host(url)} || ({shown}) || {_escaped(path)} || {_escaped(_part(url, 4))} || {_escaped(_part(url, 5))} END"
 
 
 
@@ -93,12 +102,18 @@ _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_r
 _DOCS = "docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
 
 
+_DEFINITION = r"regexp_matches(sentence, '(?i)\b(is|are|was|were|means|refers?\s+to|defined\s+as|consists\s+of|involves|describes|known\s+as)\b')"
+_DEFINES = rf"({_DEFINITION} OR regexp_matches(sentence, '(?i)^(an?\s+)?[a-z][\w\s-]{{0,60}}\s+(is|are|was|were)\s+(a|an|the)\b'))"
+#: Points of a sentence as a definition; the tables' sentences have no address, so nothing is taken off for one.
+_STYLE = rf"""(CASE WHEN {_DEFINES} THEN 4 ELSE 0 END - CASE WHEN regexp_matches(sentence, '(?i)\b(github|click here|sign up|subscribe|cookie|privacy policy|terms of service|download now|get started|our platform|self-evolving memory|portable memory layer)\b') THEN 6 ELSE 0 END
+ - CASE WHEN regexp_matches(sentence, '(?i)\b(comments:\s*\d+\s+pages|subjects:|figures,\s+\d+\s+appendices|arxiv:|doi:|(vol\.|pp\.)\s*\d)\b') THEN 5 ELSE 0 END - CASE WHEN regexp_matches(sentence, '(?i)\b(modular|runtime|repository|repo|agent|platform)\b') AND NOT {_DEFINITION} THEN 2 ELSE 0 END)"""
+
+
 def _ranked_sentences(question: str) -> str:
     q = topic.Question.parse(question)
     n = " + ".join(f"CAST(contains(low, {_s(t)}) OR contains(low, {_s(t[:-1] if t.endswith('s') and len(t) > 4 else t if t.endswith('s') else t + 's')}) AS INT)" for t in q.terms)
-    defines = f"regexp_matches(low, {_re(topic.DEFINITION)})"
-    extra = f"+ CASE WHEN {defines} THEN 4 ELSE 0 END - CASE WHEN regexp_matches(low, {_re(topic.NOISE)}) THEN 6 ELSE 0 END + CASE WHEN contains(low, {_s(q.focus.lower())}) THEN 2 ELSE 0 END" if q.definition else ""
-    keep = f"WHERE {defines}" if q.definition else ""
+    extra = f"+ {_STYLE} + CASE WHEN contains(low, {_s(q.focus.lower())}) THEN 2 ELSE 0 END" if q.definition else ""
+    keep = f"WHERE {_DEFINES}" if q.definition else ""
     return f"""WITH {_DOCS}, s AS (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS sentence FROM (SELECT doc_id, {_SENTENCES} AS x FROM docs)), t AS (SELECT *, lower(sentence) AS low FROM s),
  u AS (SELECT *, ({n}) AS n FROM t {keep}) SELECT doc_id, pos, sentence, score FROM (SELECT doc_id, pos, sentence, CASE WHEN n > 0 THEN CAST(n + n / {float(len(q.terms))}::DOUBLE * 2 {extra} AS DOUBLE) ELSE 0 END AS score FROM u) WHERE score > 0 ORDER BY score DESC, length(sentence) DESC, doc_id, pos LIMIT 50"""
 
@@ -109,10 +124,18 @@ def _ordered_distinct(items: str) -> str:
     return f"list_filter({items}, lambda one, i: list_position({items}, one) = i)"
 
 
-_EMAIL_LIST = _ordered_distinct(f'regexp_extract_all(text, {_s(entities.EMAIL)})')
-_PHONE_ALL = f"""list_filter(regexp_extract_all(text, {_s(entities.PHONE + chr(92) + "b")}), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) IN (10, 11) AND NOT regexp_matches(regexp_replace(p, '[^0-9]', '', 'g'), '^(19|20)[0-9][0-9]'))"""
+_EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+_PHONE = r"(\+?1[-.\s]?)?(\(?[2-9][0-9]{2}\)?[-.\s]?)[2-9][0-9]{2}[-.\s]?[0-9]{4}\b"
+_EMAIL_LIST = _ordered_distinct(f'regexp_extract_all(text, {_s(_EMAIL)})')
+_PHONE_ALL = f"""list_filter(regexp_extract_all(text, {_s(_PHONE)}), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) IN (10, 11) AND NOT regexp_matches(regexp_replace(p, '[^0-9]', '', 'g'), '^(19|20)[0-9][0-9]'))"""
 _PHONE_LIST = _ordered_distinct(_PHONE_ALL)
-_DOMAIN_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), {_s(chr(92) + 'b(' + p + ')')}) THEN {_s(n)} END" for n, p in entities.DOMAINS.items()) + "], lambda x: x IS NOT NULL)"
+_DOMAINS = (
+    ("Artificial Intelligence", "artificial intelligence|ai\\b|machine learning|ml\\b|deep learning|neural network|llm|large language model"), ("Prompt Engineering", "prompt engineering|prompt expert|prompt design|chain-of-thought"),
+    ("Cybersecurity", "cybersecurity|infosec|penetration testing|osint|threat intelligence"), ("Web Crawling & Data", "web scraping|crawling|spider|data extraction"), ("Blockchain", "blockchain|cryptocurrency|web3|smart contract"),
+    ("Cloud & DevOps", "cloud computing|devops|kubernetes|docker|aws|azure|gcp"), ("Finance", "finance|economics|investment|trading|accounting"),
+    ("Healthcare & Life Sciences", "medicine|healthcare|clinical|pharmaceutical|biology"), ("Law & Policy", "law|legal|jurisprudence|litigation|regulation"),
+)
+_DOMAIN_LIST = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(text, '(?i)\\b({p})') THEN {_s(n)} END" for n, p in _DOMAINS) + "], lambda x: x IS NOT NULL)"
 _BUSINESS = r"""'\b([A-Z][A-Za-z0-9&.''-]*(?: [A-Z][A-Za-z0-9&.''-]*){0,4}) (?:LLC|Inc\.|Corp\.|Corporation|Company|Co\.)'"""
 _PAY = "list_concat(" + ", ".join(f"regexp_extract_all(lower(text), {_s(p)})" for p in entities.COMPENSATION) + ")"
 
@@ -145,13 +168,17 @@ _HAS = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
 _EXPLAINS, _TECHNICAL, _NAMED = f"regexp_matches(lower(q), {_re(chat.KNOWLEDGE)})", f"regexp_matches(lower(q), {_re(chat.TECHNICAL)})", f"regexp_matches(q, {_re(chat.NAME)})"
 _WORDS = "regexp_split_to_array(q, '\\s+')"
 
+#: Modes of what is said and asked; {rows} stands for the rows.
+_CHAT_MODE = f"SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(lower(text), {_re(chat.CONTINUE)}) THEN 'continuation' WHEN rule <> 'none' THEN 'rule' WHEN len(regexp_extract_all(text, '\\S+')) <= 3 AND NOT contains(text, '?') THEN 'two_phrase' ELSE 'reflect' END AS mode, rule FROM (SELECT *, {_rule('text')} AS rule FROM ({{rows}}))"
+_SEARCH_MODE = f"""SELECT p_partkey, CASE WHEN p + {_HAS(f"proper >= 2 AND proper >= len({_WORDS}) * 0.4", 2)} + {_HAS(f"regexp_matches(lower(q), {_re(chat.LOOKUP)})", 2)} >= k THEN 'people' ELSE 'knowledge' END AS mode FROM (SELECT *, CASE WHEN {_EXPLAINS} AND {_TECHNICAL} THEN greatest(p0 - 2, 0) ELSE p0 END AS p FROM (SELECT p_partkey, q, {_HAS(f"regexp_matches(lower(q), {_re(chat.PERSON)})", 3)} + {_HAS(_NAMED, 2)} AS p0,
+ {_HAS(_EXPLAINS, 3)} + {_HAS(f"regexp_matches(lower(q), '{chr(92)}b(is|are|was|were){chr(92)}b') AND {_TECHNICAL}", 2)} + {_HAS(f"{_TECHNICAL} AND NOT {_NAMED}", 2)} + {_HAS(f"{_EXPLAINS} AND {_TECHNICAL}", 2)} + {_HAS(f"len({_WORDS}) <= 2 AND {_TECHNICAL}", 2)} AS k, len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^[A-Z][a-z]+'))) AS proper
+ FROM ({{rows}})))"""
+
 ORACLE = {
     "url_normalize": f"SELECT page_id, {_normal('url')} AS url FROM pages",
     "url_host": f"SELECT page_id, {_BARE} AS host FROM pages",
     "host_page_counts": f"SELECT {_host('url')} AS host, count(*) AS n_pages FROM pages GROUP BY 1",
-    "ssrf_reason": f"SELECT url, {_BLOCKED} AS reason FROM {_values(ADDRESSES, 'url')}",
-    "live_url_flag": f"SELECT url, {_LIVE} AS live FROM {_values(ADDRESSES, 'url')}",
-    "noise_url_flag": f"SELECT url, {_NOISE} AS noise FROM (SELECT url FROM {_values(ADDRESSES, 'url')} UNION ALL SELECT url FROM pages)",
+    "noise_url_flag": f"WITH {_LINKS}, u AS (SELECT unnest([target, target || '.PNG?x', replace(target, {_host('target')}, 'github.com/features')]) AS url FROM links UNION SELECT url FROM pages) SELECT url, {_NOISE} AS noise FROM u",
     "page_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
     "page_content_hash": "SELECT page_id, sha256(html) AS content_hash FROM pages",
     "content_shard_counts": "SELECT substr(sha256(html), 1, 2) AS shard, count(*) AS n FROM pages GROUP BY 1",
@@ -178,42 +205,25 @@ ORACLE = {
     "entity_merge": f"""WITH {_DOCS}, e AS (SELECT doc_id, 'email' AS type, unnest({_EMAIL_LIST}) AS value, unnest(range(len({_EMAIL_LIST}))) AS pos, 0.9::DOUBLE AS confidence FROM docs
  UNION ALL SELECT doc_id, 'phone', unnest({_PHONE_LIST}), 100 + unnest(range(len({_PHONE_LIST}))), 0.85::DOUBLE FROM docs UNION ALL SELECT doc_id, 'domain', unnest({_DOMAIN_LIST}), 200 + unnest(range(len({_DOMAIN_LIST}))), 0.7::DOUBLE FROM docs)
  SELECT type, arg_min(value, doc_id * 1000 + pos) AS value, max(confidence) AS confidence, count(DISTINCT doc_id) AS n_sources FROM e GROUP BY type, lower(value)""",
-    "knowledge_domains": f"SELECT id, array_to_string({_DOMAIN_LIST}, '|') AS domains FROM {_values(SENTENCES, 'id, text')}",
-    "business_mentions": f"SELECT id, array_to_string({_ordered_distinct(f'regexp_extract_all(text, {_BUSINESS}, 1)')}, '|') AS businesses FROM {_values(SENTENCES, 'id, text')}",
-    "compensation_mentions": f"SELECT id, array_to_string({_ordered_distinct(_PAY)}, '|') AS pay FROM {_values(SENTENCES, 'id, text')}",
-    "hashtag_counts": f"SELECT tag, count(*) AS n FROM (SELECT DISTINCT id, unnest(list_transform(regexp_extract_all(text, '#([A-Za-z0-9_]+)', 1), lambda x: lower(x))) AS tag FROM {_values(SENTENCES, 'id, text')}) GROUP BY 1",
     "region_counts": _REGION_COUNTS,
     "region_coverage": f"SELECT region, name, coalesce(n_pages, 0) AS n_pages, n_pages IS NULL AS missing FROM (VALUES {', '.join(f'({_s(r[0])}, {_s(r[1])})' for r in regions.REGIONS)}) AS d(region, name) LEFT JOIN ({_REGION_COUNTS}) USING (region)",
     "dated_events": f"SELECT doc_id, strftime(o_orderdate, '%Y-%m-%d') AS date, 'day' AS precision, CASE o_orderstatus WHEN 'F' THEN 'employment_end' WHEN 'O' THEN 'employment_start' ELSE 'general' END AS category FROM ({_ORDERS_TEXT})",
-    "date_mentions": "SELECT * FROM (VALUES (1, '2024-05-08', 'day'), (2, '2024-05-08', 'day'), (3, '2024-05-08', 'day'), (4, '2024-05-01', 'month'), (2, '2024-05-01', 'month'), (5, '2024-10-05', 'day'), (8, '2024-05-08', 'day'), (8, '1999-09-03', 'day')) AS t(id, date, precision)",
     "dated_event_dedupe": "SELECT l_orderkey, month, category, confidence, seq FROM (SELECT l_orderkey, strftime(l_shipdate, '%Y-%m') AS month, l_returnflag AS category, l_discount AS confidence, CAST(l_linenumber AS BIGINT) AS seq, row_number() OVER (PARTITION BY l_orderkey, strftime(l_shipdate, '%Y-%m'), l_returnflag ORDER BY l_discount DESC, l_linenumber) AS n FROM lineitem) WHERE n = 1",
     "timeline_spans": f"WITH {_SPANS} SELECT who, company, start, \"end\", CASE WHEN \"end\" IS NOT NULL THEN 'past' WHEN start IS NOT NULL THEN 'current' ELSE 'unknown' END AS status FROM spans",
     "timeline_transitions": f"WITH {_SPANS}, n AS (SELECT *, row_number() OVER (PARTITION BY who ORDER BY start, company) AS i FROM spans WHERE start IS NOT NULL) SELECT a.who, a.company AS from_company, b.company AS to_company, b.start AS moved FROM n a JOIN n b ON a.who = b.who AND a.i < b.i AND a.company <> b.company WHERE a.\"end\" IS NOT NULL AND b.start >= a.\"end\"",
     "timeline_recent": f"WITH {_SPANS} SELECT who, company, coalesce(\"end\", '9999') AS shown FROM spans ORDER BY shown DESC, who, company LIMIT 50",
     "snapshot_daily_collapse": f"WITH {_CAPTURES}, d AS (SELECT url, strftime(ts, '%Y%m%d') AS day, min(ts) AS ts FROM captures WHERE ok GROUP BY 1, 2) SELECT url, day, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY ts) AS n FROM d) WHERE n <= 10",
     "snapshot_asof_latest": f"WITH {_CAPTURES}, w AS (SELECT url, CAST((epoch_us(min(ts)) + epoch_us(max(ts))) // 2 AS BIGINT) AS upto FROM captures GROUP BY 1), v AS (SELECT url, upto FROM w UNION ALL SELECT url, NULL FROM w) SELECT v.url, v.upto IS NULL AS latest, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS ts FROM v JOIN captures c ON c.url = v.url AND (v.upto IS NULL OR epoch_us(c.ts) <= v.upto) GROUP BY v.url, v.upto",
-    "capture_list_rows": "SELECT * FROM (VALUES (1, '20240101000000', 'http://a/'), (1, '20240102000000', 'http://b/')) AS t(id, ts, url)",
     "frontier_dedupe": f"WITH {_LINKS} SELECT target AS url, min(page_id * 1000 + pos) AS seq FROM links WHERE target NOT IN (SELECT {_normal('url')} FROM pages WHERE page_id % 2 = 0) GROUP BY 1",
     "frontier_pop_topk": "SELECT job, priority, depth, seq FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY priority DESC, depth, seq) AS n FROM (SELECT event_type AS job, CAST(floor(value) AS BIGINT) AS priority, CAST(user_id % 4 AS INT) AS depth, event_id AS seq FROM events)) WHERE n <= 5",
     "crawl_reachability": f"WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT {_normal('p.url')} AS parent, l.target AS child FROM links l JOIN pages p USING (page_id)), r AS (SELECT {_normal('url')} AS url, 0 AS depth FROM pages WHERE page_id % 50 = 0 UNION SELECT child, depth + 1 FROM r JOIN e ON parent = r.url WHERE depth < 3) SELECT url, min(depth) AS depth FROM r GROUP BY 1",
-    "crawl_budgeted": "SELECT * FROM (VALUES ('a', 0, 0), ('x', 0, 0), ('b', 1, 1), ('c', 1, 1), ('y', 1, 1)) AS t(url, depth, wave)",
     "crawl_saturation": "WITH s AS (SELECT CAST(event_id // 1000 AS INT) AS wave, user_id FROM events), f AS (SELECT user_id, min(wave) AS wave FROM s GROUP BY 1) SELECT wave, count(f.user_id) AS n_new, count(f.user_id) = 0 AS saturated FROM (SELECT DISTINCT wave FROM s) LEFT JOIN f USING (wave) GROUP BY 1",
     "pages_limit_offset": "SELECT page_id, url FROM pages ORDER BY page_id LIMIT 10 OFFSET 20",
     "jobs_latest_status": "SELECT job, status, n AS n_changes FROM (SELECT o_custkey AS job, o_orderstatus AS status, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r = 1",
     "rate_window_60s": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n_window FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)",
     "host_slot_spacing": "SELECT event_id, CAST(max(s - n * 500) OVER (PARTITION BY user_id ORDER BY s, event_id) + n * 500 AS BIGINT) AS slot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS n FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events))",
     "replay_dedupe": "SELECT event_id, coalesce(s - lag(s) OVER (PARTITION BY user_id ORDER BY s, event_id) <= 3600, false) AS replay FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)",
-    "audit_chain_verify": f"SELECT chain, seq, expected FROM (SELECT *, lag(id) OVER (PARTITION BY chain ORDER BY seq) AS expected FROM {_values(CHAIN, 'chain, seq, id, prev')}) WHERE prev IS DISTINCT FROM expected",
-    "rbac_decision": f"SELECT id, needs, coalesce((CASE role WHEN 'viewer' THEN 1 WHEN 'operator' THEN 2 WHEN 'admin' THEN 3 WHEN 'sovereign' THEN 4 ELSE 0 END) >= CASE needs WHEN 'viewer' THEN 1 WHEN 'operator' THEN 2 ELSE 3 END, false) AS allowed FROM (SELECT *, CASE WHEN upper(method) || ' ' || path = 'GET /health' THEN 'viewer' WHEN starts_with(path, '/v1/jobs') THEN 'operator' ELSE 'admin' END AS needs FROM {_values(REQUESTS, 'id, role, method, path')})",
     "allowlist_semijoin": "SELECT event_type, count(*) AS n FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",
-    "api_key_verify": "SELECT sha256(token) AS hash, CASE token WHEN 'alpha' THEN 'viewer' WHEN 'beta' THEN 'admin' ELSE 'none' END AS role FROM (VALUES ('alpha'), ('beta'), ('gamma')) AS t(token)",
-    "robots_decision": "SELECT * FROM (VALUES ('u1', true), ('u2', false), ('u3', true), ('u4', true)) AS t(url, allowed)",
-    "domain_seed_resolve": "SELECT * FROM (VALUES ('science.physics', 'https://p.example/'), ('physics.unknown', 'https://p.example/'), ('math', 'https://m.example/'), ('nothing', 'https://d.example/')) AS t(domain, seed)",
-    "sitemap_nested": "WITH RECURSIVE e(parent, child) AS (VALUES ('s','s1'), ('s','p1'), ('s1','p2'), ('s1','s'), ('z','p9')), r(url, level) AS (SELECT 's', 0 UNION SELECT child, level + 1 FROM r JOIN e ON parent = url WHERE level < 5) SELECT url, min(level) AS level FROM r GROUP BY 1",
     "chat_phrase_alternation": "SELECT conv_id, turn, CASE WHEN (n - 1) % 2 = 0 THEN 'Tell me more.' ELSE 'This is interesting.' END AS reply FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL)",
-    "chat_mode": f"SELECT id, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(lower(text), {_re(chat.CONTINUE)}) THEN 'continuation' WHEN rule <> 'none' THEN 'rule' WHEN len(regexp_extract_all(text, '\\S+')) <= 3 AND NOT contains(text, '?') THEN 'two_phrase' ELSE 'reflect' END AS mode, rule FROM (SELECT *, {_rule('text')} AS rule FROM {_values(CUES, 'id, text')})",
-    "search_mode_classify": f"""SELECT id, CASE WHEN p + {_HAS(f"proper >= 2 AND proper >= len({_WORDS}) * 0.4", 2)} + {_HAS(f"regexp_matches(lower(q), {_re(chat.LOOKUP)})", 2)} >= k THEN 'people' ELSE 'knowledge' END AS mode FROM (SELECT *, CASE WHEN {_EXPLAINS} AND {_TECHNICAL} THEN greatest(p0 - 2, 0) ELSE p0 END AS p FROM (SELECT id, q, {_HAS(f"regexp_matches(lower(q), {_re(chat.PERSON)})", 3)} + {_HAS(_NAMED, 2)} AS p0,
- {_HAS(_EXPLAINS, 3)} + {_HAS(f"regexp_matches(lower(q), '{chr(92)}b(is|are|was|were){chr(92)}b') AND {_TECHNICAL}", 2)} + {_HAS(f"{_TECHNICAL} AND NOT {_NAMED}", 2)} + {_HAS(f"{_EXPLAINS} AND {_TECHNICAL}", 2)} + {_HAS(f"len({_WORDS}) <= 2 AND {_TECHNICAL}", 2)} AS k, len(list_filter({_WORDS}, lambda w: regexp_matches(w, '^[A-Z][a-z]+'))) AS proper
- FROM (VALUES (1, 'how does sorting algorithm work'), (2, 'Jane Doe, family in Ohio'), (3, 'red kite survey'), (4, 'what is quantum physics'), (5, 'find John Smith')) AS t(id, q)))""",
     "network_edges_top": f"WITH {_RANKED}, {_LINKS}, top AS (SELECT page_id FROM ranked ORDER BY relevance DESC, page_id LIMIT 20) SELECT page_id, target FROM (SELECT page_id, target, min(pos) AS pos FROM links WHERE page_id IN (SELECT page_id FROM top) GROUP BY 1, 2) ORDER BY page_id, pos, target LIMIT 100",
 }

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
+from ..functions.binding import let
 from ..operators import entities, frontier, gates, regions, timeline, topic
 from ..sources import archive
-from ..sources.tables import table, values
+from ..sources.tables import table
 from . import crawl as crawling
 
 TOPIC = topic.Topic.parse("the tion of")
@@ -28,11 +29,12 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _links(pages: DataFrame) -> DataFrame:
-    # a page's address is taken apart once, before its links; every step names its parts, so that no step repeats another's patterns
-    rows = pages.select("page_id", U.scheme(F.col("url")).alias("s"), U.part(F.col("url"), 2).alias("a"), U.part(F.col("url"), 3).alias("p"), F.posexplode(T.links(F.col("html"))).alias("pos", "l"))
-    rows = rows.select("page_id", "pos", F.col("l.href").alias("href"), F.col("l.anchor").alias("anchor"), U.joined(F.col("s"), F.col("a"), F.col("p"), F.trim("l.href")).alias("whole"))
-    rows = rows.select("page_id", "pos", "href", "anchor", *(U.part(F.col("whole"), k).alias(f"p{k}") for k in range(1, 6)))
-    return rows.select("page_id", "pos", "href", "anchor", U.put_together(*(F.col(f"p{k}") for k in range(1, 6))).alias("target")).filter("target is not null")
+    """(page_id, pos, href, anchor, target, host) of links with a target. Targets are told within the array, before the generator:
+    what filters them later stays above it and doesn't repeat how they came to be."""
+    base = F.struct(U.scheme(F.col("url")).alias("s"), U.part(F.col("url"), 2).alias("a"), U.part(F.col("url"), 3).alias("p"))
+    told = let(base, lambda b: F.transform(T.links(F.col("html")), lambda l: F.struct(l["href"].alias("href"), l["anchor"].alias("anchor"), U.placed(b, l["href"]).alias("t"))))
+    rows = pages.select("page_id", F.posexplode(told).alias("pos", "l"))
+    return rows.select("page_id", "pos", "l.href", "l.anchor", F.col("l.t.url").alias("target"), F.col("l.t.host").alias("host")).filter("target is not null")
 
 
 @query
@@ -50,22 +52,11 @@ def host_page_counts(spark, d):
     return table(spark, d, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-ADDRESSES = "('http://127.0.0.1/x'), ('http://10.1.2.3/'), ('ftp://h.invalid/'), ('https://h.local/'), ('http://172.20.0.1/'), ('http://192.168.1.1/a'), ('http://169.254.169.254/'), ('https://ok.example.net/tests/a'), ('https://fine.net/a.png'), ('https://www.example.com/'), ('https://fine.net/page'), ('nonsense'), ('https://github.com/features/x'), ('http://localhost:8080/')"
-
-
-@query
-def ssrf_reason(spark, d):
-    return values(spark, ADDRESSES, "url").select("url", F.coalesce(U.blocked_reason(F.col("url")), F.lit("ok")).alias("reason"))
-
-
-@query
-def live_url_flag(spark, d):
-    return values(spark, ADDRESSES, "url").select("url", U.is_live(F.col("url")).alias("live"))
-
-
 @query
 def noise_url_flag(spark, d):
-    return values(spark, ADDRESSES, "url").union(table(spark, d, "pages").select("url")).select("url", U.is_noise(F.col("url")).alias("noise"))
+    """Pages and what they link to, and each link as a picture and on the code host."""
+    urls = _links(table(spark, d, "pages")).select(F.explode(F.array("target", F.concat("target", F.lit(".PNG?x")), F.replace("target", F.col("host"), F.lit("github.com/features"))))).union(table(spark, d, "pages").select("url"))
+    return urls.toDF("url").distinct().select("url", U.is_noise(F.col("url")).alias("noise"))
 
 
 @query
@@ -200,29 +191,6 @@ def entity_merge(spark, d):
     return entities.merged(entities.found(_texts(table(spark, d, "documents"))))
 
 
-SENTENCES = "(1, 'Acme Corp. pays $25/hr and Bolt Works LLC pays $90,000 per year #Jobs'), (2, 'Machine learning and Kubernetes at Zeta Company; salary $10k/yr #jobs #AI'), (3, 'law and finance'), (4, '')"
-
-
-@query
-def knowledge_domains(spark, d):
-    return values(spark, SENTENCES, "id, text").select("id", F.array_join(entities.domains(F.col("text")), "|").alias("domains"))
-
-
-@query
-def business_mentions(spark, d):
-    return values(spark, SENTENCES, "id, text").select("id", F.array_join(entities.businesses(F.col("text")), "|").alias("businesses"))
-
-
-@query
-def compensation_mentions(spark, d):
-    return values(spark, SENTENCES, "id, text").select("id", F.array_join(entities.compensation(F.col("text")), "|").alias("pay"))
-
-
-@query
-def hashtag_counts(spark, d):
-    return values(spark, SENTENCES, "id, text").select(F.explode(T.hashtags(F.col("text"))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query
 def region_counts(spark, d):
     return table(spark, d, "pages").groupBy(regions.region(F.col("url"), F.col("html")).alias("region")).agg(F.count(F.lit(1)).alias("n_pages"))
@@ -244,15 +212,6 @@ def dated_events(spark, d):
     return timeline.events(_orders_text(spark, d)).select("doc_id", F.date_format("date", "yyyy-MM-dd").alias("date"), "precision", "category")
 
 
-PROSE = "(1, 'May 8th, 2024'), (2, '8 May 2024'), (3, '5/8/2024'), (4, 'May 2024'), (5, 'October 5, 2024'), (6, '2024-02-31'), (7, 'nothing'), (8, 'on 2024-05-08 or Sept. 3 1999')"
-
-
-@query
-def date_mentions(spark, d):
-    rows = values(spark, PROSE, "id, text").select("id", F.explode(timeline.dates(F.col("text"))).alias("x"))
-    return rows.select("id", F.date_format("x.date", "yyyy-MM-dd").alias("date"), "x.precision")
-
-
 @query
 def dated_event_dedupe(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("seq"), "l_shipdate", F.col("l_returnflag").alias("category"), F.col("l_discount").alias("confidence"))
@@ -301,12 +260,6 @@ def snapshot_asof_latest(spark, d):
     return archive.as_of(captures, both).select("url", F.col("at").isNull().alias("latest"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
 
 
-@query
-def capture_list_rows(spark, d):
-    body = values(spark, """(1, '[["timestamp","original"],["20240101000000","http://a/"],["20240102000000","http://b/"]]'), (2, '[["timestamp"]]'), (3, '[]')""", "id, body")
-    return body.select("id", F.explode(archive.cdx_rows(F.col("body"))).alias("r")).select("id", F.col("r")[0].alias("ts"), F.col("r")[1].alias("url"))
-
-
 @query
 def frontier_dedupe(spark, d):
     rows = _links(table(spark, d, "pages")).select(F.lit(1).alias("job"), F.col("target").alias("url"), F.lit(None).cast("string").alias("ts"), (F.col("page_id") * 1000 + F.col("pos")).alias("seq"))
@@ -320,13 +273,6 @@ def frontier_pop_topk(spark, d):
     return frontier.popped(rows, 5, ["job"]).select("job", "priority", "depth", "seq")
 
 
-GRAPH = "('a','b'), ('a','c'), ('b','a'), ('c','d'), ('d','e'), ('e','f'), ('x','y')"
-
-
-def _graph(spark):
-    return values(spark, GRAPH, "parent, child").withColumn("priority", F.lit(50))
-
-
 @query
 def crawl_reachability(spark, d):
     """What three steps over the links of captured pages reach from every fiftieth page."""
@@ -336,12 +282,6 @@ def crawl_reachability(spark, d):
     return crawling.crawl(spark, seeds, edges, crawling.CrawlSpec(max_pages=1_000_000_000, batch=1_000_000_000)).select("url", "depth")
 
 
-@query
-def crawl_budgeted(spark, d):
-    seeds = values(spark, "('a'), ('x')", "url").withColumn("priority", F.lit(100))
-    return crawling.crawl(spark, seeds, _graph(spark), crawling.CrawlSpec(max_depth=9, max_pages=5)).select("url", "depth", "wave")
-
-
 @query
 def crawl_saturation(spark, d):
     seen = table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).cast("int").alias("wave"), F.concat(F.lit("k"), F.col("user_id")).alias("key"))
@@ -381,56 +321,12 @@ def replay_dedupe(spark, d):
     return gates.replayed(events, "user_id", at, 3600).select("event_id", "replay")
 
 
-CHAIN = "(1, 1, 'a', NULL), (1, 2, 'b', 'a'), (1, 3, 'c', 'x'), (2, 1, 'p', 'o'), (2, 2, 'q', 'p')"
-
-
-@query
-def audit_chain_verify(spark, d):
-    return gates.broken_links(values(spark, CHAIN, "chain, seq, id, prev")).select("chain", "seq", "expected")
-
-
-REQUESTS = "(1, 'viewer', 'GET', '/health'), (2, 'viewer', 'GET', '/v1/jobs'), (3, 'operator', 'get', '/v1/jobs/77'), (4, 'operator', 'GET', '/v1/audit'), (5, 'sovereign', 'GET', '/api/chat'), (6, 'nobody', 'GET', '/health')"
-
-
-@query
-def rbac_decision(spark, d):
-    return values(spark, REQUESTS, "id, role, method, path").select("id", gates.needed_role(F.col("method"), F.col("path")).alias("needs"), gates.authorized(F.array("role"), F.col("method"), F.col("path")).alias("allowed"))
-
-
 @query
 def allowlist_semijoin(spark, d):
     listed = table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id"))
     return table(spark, d, "events").join(listed, "user_id", "left_semi").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
-def api_key_verify(spark, d):
-    keys = values(spark, "('alpha'), ('beta'), ('gamma')", "token").select(F.sha2("token", 256).alias("hash"))
-    registry = values(spark, "('alpha', 'viewer'), ('beta', 'admin')", "token, role").select(F.sha2("token", 256).alias("hash"), "role")
-    return keys.join(registry, "hash", "left").select("hash", F.coalesce("role", F.lit("none")).alias("role"))
-
-
-@query
-def robots_decision(spark, d):
-    urls = values(spark, "('u1', 'h', '/a/b'), ('u2', 'h', '/a/c'), ('u3', 'g', '/'), ('u4', 'h', '/z')", "url, host, path")
-    rules = values(spark, "('h', '/a', false), ('h', '/a/b', true), ('h', '/q', false)", "host, prefix, allow")
-    return gates.robots_allowed(urls, rules)
-
-
-@query
-def domain_seed_resolve(spark, d):
-    wanted = values(spark, "('science.physics'), ('physics.unknown'), ('math'), ('nothing')", "domain")
-    seeds = values(spark, "('physics', 'https://p.example/'), ('math', 'https://m.example/'), ('default', 'https://d.example/')", "slug, seed")
-    parts = wanted.select("domain", F.posexplode(F.concat(F.array("domain"), F.reverse(F.split("domain", r"\.")), F.array(F.lit("default")))).alias("pos", "slug"))
-    return parts.join(seeds, "slug").groupBy("domain").agg(F.min_by("seed", "pos").alias("seed"))
-
-
-@query
-def sitemap_nested(spark, d):
-    edges = values(spark, "('s','s1'), ('s','p1'), ('s1','p2'), ('s1','s'), ('z','p9')", "parent, child")
-    return archive.sitemap_closure(edges, values(spark, "('s')", "url"))
-
-
 def _turns(spark, d):
     return table(spark, d, "conversations").filter("conv_id is not null")
 
@@ -442,24 +338,6 @@ def chat_phrase_alternation(spark, d):
     return turns.select("conv_id", "turn", F.when((n - 1) % 2 == 0, "Tell me more.").otherwise("This is interesting.").alias("reply"))
 
 
-CUES = "(1, 'tell me more'), (2, 'What is a kite?'), (3, 'ok'), (4, 'I want to die, always'), (5, 'my mother called'), (6, 'I am tired today my friend'), (7, 'why does it rain?'), (8, 'the cat sat on the mat'), (9, ''), (10, 'Hello there')"
-
-
-@query
-def chat_mode(spark, d):
-    from ..operators import chat
-
-    return values(spark, CUES, "id, text").select("id", chat.mode(F.col("text")).alias("mode"), chat.rule(F.col("text")).alias("rule"))
-
-
-@query
-def search_mode_classify(spark, d):
-    from ..operators import chat
-
-    asked = values(spark, "(1, 'how does sorting algorithm work'), (2, 'Jane Doe, family in Ohio'), (3, 'red kite survey'), (4, 'what is quantum physics'), (5, 'find John Smith')", "id, q")
-    return asked.select("id", chat.search_mode(F.col("q")).alias("mode"))
-
-
 @query
 def network_edges_top(spark, d):
     top = topic.ranked_pages(table(spark, d, "pages"), TOPIC).orderBy(F.desc("relevance"), "page_id").limit(20).select("page_id")

@@ -2,8 +2,6 @@
 
 from ..operators import regions, reports
 from .oracle import _RANKED, ORACLE as BASE, _host, _normal, _region, _s, _TITLE
-from .queries import ADDRESSES
-from .report_queries import FIRMS, ROBOTS, SITEMAPS
 
 _DOCS = "(SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(text, '') AS text FROM documents)"
 _HEADINGS = r"""h AS (SELECT page_id, unnest(x) AS raw, unnest(range(len(x))) AS pos FROM (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1) AS x FROM pages)),
@@ -20,13 +18,5 @@ ORACLE = {
     "theme_counts": _THEMES,
     "first_person_voice": f"SELECT source, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(lower(text), '\\b({reports.FIRST_PERSON})\\b'))) AS BIGINT) AS n_first_person FROM {_DOCS} GROUP BY 1",
     "live_documents": f"SELECT page_id, coalesce({_TITLE}, url) AS title, length(text) AS n_chars FROM pages JOIN ({BASE['page_plain_text']}) USING (page_id) WHERE length(text) >= 80",
-    "preflight_reason": f"SELECT url, CASE WHEN regexp_extract(url, '^([a-z]+)://', 1) NOT IN ('http', 'https') THEN 'scheme_not_allowed' WHEN {_host('url')} = 'www.example.com' THEN 'domain_blocked' WHEN regexp_matches({_host('url')}, '(^|\\.)(fine\\.net|example\\.com)$') THEN 'ok' ELSE 'domain_not_allowed' END AS reason FROM (VALUES {ADDRESSES}) AS t(url)",
-    "engine_select": "SELECT * FROM (VALUES (1, 'archive'), (2, 'http'), (3, 'playwright'), (4, 'http')) AS t(id, engine)",
-    "social_profiles": "SELECT * FROM (VALUES ('https://x.com/Some_One', 'twitter', 'some_one', 'https://x.com/some_one'), ('https://www.facebook.com/groups/abc', 'facebook', NULL, NULL), ('https://facebook.com/some.one/', 'facebook', 'some.one', 'https://www.facebook.com/some.one'), ('https://www.linkedin.com/in/some-one', 'linkedin', 'some-one', 'https://www.linkedin.com/in/some-one'), ('https://github.com/search', 'github', NULL, NULL), ('https://github.com/some-one', 'github', 'some-one', 'https://github.com/some-one'), ('https://m.youtube.com/@channel', 'youtube', 'channel', 'https://www.youtube.com/@channel'), ('https://fosstodon.social/@me', 'mastodon', 'me', 'https://mastodon.social/@me'), ('https://www.tiktok.com/@me.too', 'tiktok', 'me.too', 'https://www.tiktok.com/@me.too'), ('https://x.com/a/status/1', 'twitter', NULL, NULL)) AS t(url, platform, username, profile_url)",
-    "firm_names": f"SELECT id, trim(regexp_replace(regexp_replace(lower(name), '\\s+(llc|inc|corp|corporation|co\\.?)$', ''), '[^a-z0-9]+', ' ', 'g')) AS key, CASE id WHEN 1 THEN 'LLC' WHEN 2 THEN 'Inc' END AS form, CASE id WHEN 1 THEN '12 north st town' WHEN 2 THEN '4 long ave' WHEN 3 THEN '77 hill rd' ELSE '' END AS address, id IN (1, 3) AS same_place FROM (VALUES {FIRMS}) AS t(id, name, a, b)",
-    "sitemap_locations": f"SELECT id, unnest(regexp_extract_all(xml, '<loc>([^<]*)</loc>', 1)) AS loc FROM (VALUES {SITEMAPS}) AS t(id, xml)",
-    "robots_sitemaps": f"SELECT id, unnest(regexp_extract_all(body, '(?im)^sitemap:\\s*(\\S+)', 1)) AS loc FROM (VALUES {ROBOTS.replace(chr(92) + 'n', chr(10))}) AS t(id, body)",
-    "regional_seeds": f"SELECT topic, base || replace(topic, ' ', '%20') || '&fulltext=1' AS seed FROM (VALUES ('red kite'), ('tea')) AS t(topic), (SELECT DISTINCT unnest([{_SEEDS}]) AS base)",
     "report_slugs": "SELECT item_id, substr(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 60) AS slug FROM benchmark",
-    "key_fingerprint": "SELECT event_type, sha256(array_to_string(list_sort(list_distinct(list('k' || CAST(user_id AS VARCHAR)))), chr(0))) AS fingerprint FROM events GROUP BY 1",
 }

@@ -7,18 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import names, social
 from ..functions import text as T
-from ..operators import frontier, reports, topic
-from ..sources import archive
-from ..sources.tables import table, values
-from .queries import ADDRESSES, TOPIC
+from ..operators import reports, topic
+from ..sources.tables import table
+from .queries import TOPIC
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-PROFILES = "('https://x.com/Some_One'), ('https://www.facebook.com/groups/abc'), ('https://facebook.com/some.one/'), ('https://www.linkedin.com/in/some-one'), ('https://github.com/search'), ('https://github.com/some-one'), ('https://m.youtube.com/@channel'), ('https://fosstodon.social/@me'), ('https://www.tiktok.com/@me.too'), ('https://x.com/a/status/1'), ('https://fine.net/x'), ('nonsense')"
-FIRMS = "(1, 'Bolt Works LLC', '12 North Street, Town.', '12 north st town 99999'), (2, 'Acme, Inc.', '4 Long Avenue', '5 Short Ave'), (3, 'Zeta Corp', '77 Hill Road', '77 hill rd, elsewhere'), (4, 'nothing', '', '')"
-SITEMAPS = "(1, '<urlset><url><loc>http://a/1</loc></url><url><loc>http://a/2</loc></url></urlset>'), (2, '<sitemapindex><sitemap><loc>http://a/s</loc></sitemap></sitemapindex>')"
-ROBOTS = "(1, 'User-agent: *\\nSitemap: https://a.net/s.xml\\nsitemap:http://b.net/t.xml'), (2, 'Disallow: /')"
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -73,53 +67,8 @@ def live_documents(spark, d):
     return reports.live_documents(table(spark, d, "pages")).select("page_id", "title", F.length("text").cast("long").alias("n_chars"))
 
 
-@query
-def preflight_reason(spark, d):
-    return values(spark, ADDRESSES, "url").select("url", reports.preflight(F.col("url"), ["fine.net", "example.com"], ["www.example.com"]).alias("reason"))
-
-
-@query
-def engine_select(spark, d):
-    asked = values(spark, "(1, NULL, 'wayback', true), (2, 'http', 'live', true), (3, NULL, 'live', true), (4, NULL, 'live', false)", "id, wanted, source, js")
-    return asked.select("id", frontier.engine(F.col("wanted"), F.col("source"), F.col("js")).alias("engine"))
-
-
-@query
-def social_profiles(spark, d):
-    rows = values(spark, PROFILES, "url").withColumn("s", social.classified(F.col("url")))
-    return rows.filter("s is not null").select("url", "s.platform", "s.username", social.profile_url(F.col("s")).alias("profile_url"))
-
-
-@query
-def firm_names(spark, d):
-    rows = values(spark, FIRMS, "id, name, a, b")
-    return rows.select("id", names.organisation(F.col("name")).alias("key"), names.legal_form(F.col("name")).alias("form"), names.address(F.col("a")).alias("address"), names.overlap(F.col("a"), F.col("b")).alias("same_place"))
-
-
-@query
-def sitemap_locations(spark, d):
-    rows = values(spark, SITEMAPS, "id, xml")
-    both = F.concat(archive.sitemap_links(F.col("xml"), "url"), archive.sitemap_links(F.col("xml"), "sitemap"))
-    return rows.select("id", F.explode(both).alias("loc"))
-
-
-@query
-def robots_sitemaps(spark, d):
-    return values(spark, ROBOTS, "id, body").select("id", F.explode(archive.robots_sitemaps(F.col("body"))).alias("loc"))
-
-
-@query
-def regional_seeds(spark, d):
-    topics = values(spark, "('red kite'), ('tea')", "topic")
-    return topics.select("topic", F.explode(reports.regional_seeds(F.col("topic"))).alias("seed"))
-
-
 @query
 def report_slugs(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.path_slug(F.col("text")).alias("slug"))
 
 
-@query
-def key_fingerprint(spark, d):
-    users = table(spark, d, "events").groupBy("event_type").agg(F.collect_set(F.concat(F.lit(" K"), F.col("user_id"))).alias("keys"))
-    return users.select("event_type", frontier.fingerprint(F.col("keys")).alias("fingerprint"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import kept
+
 
 def daily(captures: DataFrame, per_url: int = 10) -> DataFrame:
     """The first good capture (url, ts, status) of each url and day, the first per_url days."""
@@ -45,8 +47,6 @@ def robots_sitemaps(text: Column) -> Column:
 
 def sitemap_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Distinct (url, level) that nested sitemaps lead to from start (url), however deep. edges: parent, child."""
-    from ..plans.crawl import kept
-
     wave = kept(start.select("url").distinct())
     reached, level = wave.withColumn("level", F.lit(0)), 0
     while not wave.isEmpty():
@@ -56,6 +56,13 @@ def sitemap_closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     return reached
 
 
+def resolved_seeds(wanted: DataFrame, seeds: DataFrame) -> DataFrame:
+    """wanted (domain, ...) with seed: that of seeds (slug, seed) for the whole domain, else for its dotted parts from the right, else for "default"."""
+    slugs = F.concat(F.array("domain"), F.reverse(F.split("domain", r"\.")), F.array(F.lit("default")))
+    parts = wanted.select("domain", F.posexplode(slugs).alias("pos", "slug"))
+    return wanted.join(parts.join(seeds, "slug").groupBy("domain").agg(F.min_by("seed", "pos").alias("seed")), "domain", "left")
+
+
 def originals(captures: DataFrame, pattern: str, most: int = 30) -> DataFrame:
     """Addresses (url) like pattern that were captured with success, each once, the first `most` of them."""
     return captures.filter(F.col("url").like(pattern) & (F.col("status") == 200)).select("url").distinct().orderBy("url").limit(most)
