@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.binding import let
 from ..sources.tables import kept
-from . import chat, topic
+from . import chat, matching, topic
 
 
 def focus(question: Column) -> Column:
@@ -25,14 +25,6 @@ def _forms(term: Column) -> Column:
     return F.when(plural & (F.length(term) > 4), F.array(term, F.expr("substring(t, 1, length(t) - 1)"))).when(plural, F.array(term)).otherwise(F.array(term, F.concat(term, F.lit("s"))))
 
 
-def _within(words: DataFrame, forms: DataFrame) -> DataFrame:
-    """(word, form): which forms each word holds, by an equal join on its parts of the forms' lengths; forms (form)."""
-    sizes = [r["n"] for r in forms.select(F.length("form").alias("n")).distinct().collect()]  # some dozens
-    parts = lambda n: F.transform(F.when(F.length("word") >= n, F.sequence(F.lit(1), F.length("word") - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substring("word", i, F.lit(n)))
-    every = F.array_distinct(F.concat(*map(parts, sizes))) if sizes else F.array().cast("array<string>")
-    return words.select("word", F.explode(every).alias("form")).join(forms, "form")
-
-
 def ranked(questions: DataFrame, docs: DataFrame, most: int = 50, seed_hosts: list[str] = ()) -> DataFrame:
     """(question, rank, sentence, doc_id, pos, score) for distinct questions (question): the `most` best sentences of docs (doc_id, title, url, text) of each.
 
@@ -44,7 +36,7 @@ def ranked(questions: DataFrame, docs: DataFrame, most: int = 50, seed_hosts: li
     sentences = docs.select("doc_id", "url", F.lower(F.coalesce("title", F.lit(""))).alias("head"), F.posexplode(T.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("low", F.lower("sentence"))
     both = F.concat_ws(" ", "low", "head")
     places = sentences.select("doc_id", "pos", F.explode(F.array_distinct(F.regexp_extract_all(both, F.lit("[a-z0-9]{3,}"), F.lit(0)))).alias("word"))
-    held = _within(places.select("word").distinct(), forms.select("form").distinct()).join(forms, "form").select("word", F.col("t").alias("term")).distinct()
+    held = matching.holding(places.select("word").distinct(), forms.select("form").distinct()).join(forms, "form").select("word", F.col("t").alias("term")).distinct()
     hits = places.join(held, "word").select("doc_id", "pos", "term").distinct()
     found = hits.join(asked.select("question", F.explode("terms").alias("term")), "term").groupBy("question", "doc_id", "pos").agg(F.count(F.lit(1)).alias("n"))
     url = F.col("url")
