@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -34,6 +35,14 @@ def test_long_texts_take_the_other_way(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_repeat_words) for r in weak.base(docs).collect()) == want
 
 
+def test_hashes_that_share_their_upper_bits(spark, monkeypatch):
+    monkeypatch.setattr(weak, "_POSITIONS", 60)  # four bits of a hash are left
+    r = random.Random(5)
+    docs = frame(spark).filter("doc_id in (1, 2, 3, 4, 13, 11)").select("doc_id", "text").union(spark.createDataFrame([(100 + i, " ".join(r.choice("abcdef") for _ in range(120))) for i in range(20)], "doc_id long, text string"))
+    want = Counter((r.doc_id, brute(r.text)[4]) for r in docs.collect())
+    assert Counter((r.doc_id, r.n_repeat_words) for r in weak.base(docs).collect()) == want
+
+
 def test_expectation_maximisation_finds_accuracies():
     # two honest rules and one that votes against everything a tenth of the time
     patterns = [((1, 1, None), 700), ((0, 0, None), 180), ((1, 1, 0), 80), ((0, 0, 0), 20), ((None, None, None), 20)]

@@ -31,7 +31,8 @@ def repeated_words(w: Column) -> Column:
     """How many words lie in 3-word windows that occur twice or more.
 
     Windows are hashed to 64 bits, sorted with their places, and those equal to a neighbour are kept. Hash and place
-    share one long where places fit 24 bits (the kept hash bits then decide by neighbouring full hashes); longer texts sort pairs.
+    share one long where places fit 24 bits: the upper hash bits sort, the full hashes decide. Where different hashes share their upper
+    bits, equal ones may not be neighbours; such texts, and longer ones, sort pairs of the full hash and the place.
     """
     n = F.size(w)
     places = F.sequence(F.lit(0), n - 3)
@@ -41,29 +42,28 @@ def repeated_words(w: Column) -> Column:
         """Size of the union of [p, p + 3) over the sorted places."""
         return F.aggregate(at, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")), lambda s, p: F.struct((s["n"] + p + 3 - F.greatest(s["end"], p)).cast("long").alias("n"), (p + 3).alias("end")), lambda s: s["n"])
 
-    def short() -> Column:
-        mask = (1 << _POSITIONS) - 1
-
-        def of(h: Column) -> Column:
-            packed = F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long"))))
-
-            def repeats(s: Column) -> Column:
-                place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
-                same = lambda x, j: F.coalesce((F.shiftright(x, _POSITIONS) == F.shiftright(F.get(s, j), _POSITIONS)) & (F.get(h, place(x)) == F.get(h, place(F.get(s, j)))), F.lit(False))
-                return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), place))
+    def pairs(h: Column) -> Column:
+        def repeats(s: Column) -> Column:
+            same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
+            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
 
-            return let(packed, repeats)
+        return let(F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), repeats)
 
-        return let(hashes, of)
+    def packed(h: Column) -> Column:
+        mask = (1 << _POSITIONS) - 1
+        place = lambda x: x.bitwiseAND(F.lit(mask)).cast("int")
+        full = lambda x: F.get(h, place(x))
 
-    def long() -> Column:
         def repeats(s: Column) -> Column:
-            same = lambda x, j: F.coalesce(x["h"] == F.get(s, j)["h"], F.lit(False))
-            return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["p"]))
+            top = lambda x, j: F.coalesce(F.shiftright(x, _POSITIONS) == F.shiftright(F.get(s, j), _POSITIONS), F.lit(False))
+            same = lambda x, j: F.coalesce(top(x, j) & (full(x) == full(F.get(s, j))), F.lit(False))
+            clash = F.size(F.filter(s, lambda x, i: top(x, i + 1) & (full(x) != full(F.get(s, i + 1))))) > 0
+            found = F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), place))
+            return F.when(clash, pairs(h)).otherwise(found)
 
-        return let(F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("p")))), repeats)
+        return let(F.sort_array(F.transform(h, lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))), repeats)
 
-    return F.when(n < 4, F.lit(0).cast("long")).when(n < (1 << _POSITIONS), covered(short())).otherwise(covered(long()))
+    return F.when(n < 4, F.lit(0).cast("long")).when(n < (1 << _POSITIONS), covered(let(hashes, packed))).otherwise(covered(let(hashes, pairs)))
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
