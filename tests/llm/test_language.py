@@ -65,9 +65,10 @@ def test_score_tells_how_sure_a_prediction_is(spark):
     assert len({round(s, 6) for s in got}) > len(got) / 2
 
 
-def test_too_many_labels_are_told(spark):
-    import pytest
-
-    rows = spark.createDataFrame([(f"l{i}", "some text") for i in range(5)], "lang string, text string")
-    with pytest.raises(ValueError):
-        language.fit(rows, most_languages=4)
+def test_labels_beyond_a_models_size(spark):
+    texts = [("a", "some words of the first language " * 9), ("b", "altri vocaboli della seconda lingua " * 9), *((f"stray{i}", "zz") for i in range(3)), ("c", "noch mehr Worte der dritten Sprache " * 9)]
+    model = language.fit(spark.createDataFrame(texts, "lang string, text string"), most_languages=3)
+    assert model.names == ["a", "b", "c"] and model.left_out == 3
+    docs = spark.createDataFrame([(1, True, "vocaboli della lingua"), (2, True, "zz")], "doc_id long, held_out boolean, text string")
+    assert {r.doc_id: r.lang_pred for r in language.predict(docs, model).collect()}[1] == "b"
+    assert language.fit(spark.createDataFrame(texts, "lang string, text string")).left_out == 0

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .ngrams import Trigrams
-from .shared import stored, whole
+from .shared import discard, stored, whole
 
 UNKNOWN = "und"
 PREDICTION = "doc_id long, held_out boolean, lang_pred string, score double, languages string"
@@ -59,6 +59,7 @@ class Mixture:
         if at is not None:
             c[row[at.indices.to_numpy()], counts["bucket"].to_numpy()] += counts["n"].to_numpy()
         self.p = c / c.sum(1, keepdims=True) if self.names else c
+        self.left_out = 0
 
     def _fit(self, p: np.ndarray, n: np.ndarray, total: float) -> tuple[np.ndarray, float]:
         mix = np.full(len(p), 1 / len(p))
@@ -97,13 +98,19 @@ class Mixture:
 
 def fit(train: DataFrame, buckets: int = 1 << 15, most_languages: int = 512) -> Mixture:
     """Reads all of train (lang, text). The model is one table of languages x buckets numbers, which the driver and every
-    task hold: 128 MB at the most languages it is made for. Where labels are more, they are no languages, and this raises an error.
+    task hold: 128 MB at the most languages it is made for. Where labels are more, those with the most trigrams are learned, ties to the label
+    that sorts first, and left_out tells how many are not.
     """
     counts = stored(count(train, buckets), "trigrams")
-    labels = counts.select("lang").distinct().count()
-    if labels > most_languages:
-        raise ValueError(f"{labels} languages; a model holds at most {most_languages}")
-    return Mixture(counts.toArrow(), buckets)
+    sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
+    few = stored(sizes.orderBy(F.desc("n"), "lang").limit(most_languages), "labels")
+    left_out = sizes.count() - few.count()
+    learned = counts.join(F.broadcast(few.select("lang")), "lang") if left_out else counts  # at most most_languages rows
+    model = Mixture(learned.select("lang", "bucket", "n").toArrow(), buckets)
+    model.left_out = left_out
+    for df in (counts, few):
+        discard(df)
+    return model
 
 
 def predict(docs: DataFrame, model: Mixture, keep: list[str] = ()) -> DataFrame:

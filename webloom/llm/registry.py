@@ -46,7 +46,8 @@ def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", (id_remainder("doc_id", 5) == 0).alias("held_out"))
-    return language.predict(docs, language.fit(docs.filter("not held_out")))
+    model = language.fit(docs.filter("not held_out"))
+    return language.predict(docs, model).withColumn("labels_left_out", F.lit(model.left_out).cast("long"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
