@@ -57,3 +57,31 @@ def test_one_member_per_record_and_damage_is_told():
         list(warc.records(io.BytesIO(gzip.compress(text.replace(b"abcabc", b"abcabd", 1)))))
     with pytest.raises(ValueError):
         list(warc.records(io.BytesIO(gzip.compress(text.replace(b"Content-Length: 3", b"Content-Length: 2", 1)))))
+
+
+def test_members_hold_one_record_each():
+    a, b = warc.record(1, "u", b"abc" * 1000, None), warc.record(2, "u", b"xyz" * 70_000, None)
+    both = gzip.compress(gzip.decompress(a) + gzip.decompress(b))
+    with pytest.raises(ValueError, match="more than its record"):
+        list(warc.records(io.BytesIO(both)))
+    text = gzip.decompress(b)
+    with pytest.raises(ValueError, match="beyond its gzip member"):
+        list(warc.records(io.BytesIO(gzip.compress(text[:100_000]) + gzip.compress(text[100_000:]))))
+
+
+@pytest.mark.parametrize("kind", ["digest", "bytes", "two", "start"])
+def test_reading_goes_on_after_damage(spark, tmp_path, kind):
+    a, b, c = (warc.record(i, "u", bytes([64 + i]) * 90_000, None) for i in (1, 2, 3))
+    broken = {
+        "digest": gzip.compress(gzip.decompress(b).replace(b"BBBB", b"BBBC", 1)), "bytes": b[:40] + b"\x00\xff" * 8 + b[56:],
+        "two": gzip.compress(gzip.decompress(b) * 2), "start": gzip.compress(b"WRAC/1.1\r\n" + gzip.decompress(b)[10:]),
+    }[kind]
+    (tmp_path / "x.warc.gz").write_bytes(a + broken + c)
+    wrong: list[str] = []
+    assert [f["warc-record-id"] for f, _ in warc.records(io.BytesIO(a + broken + c), wrong)] == ["<urn:page:1>", "<urn:page:3>"] and wrong
+    archives = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz",)], "path string")
+    assert sorted(r.page_id for r in warc.scan(archives, strict=False).collect()) == [1, 3]
+    told = warc.damaged(archives).first()
+    assert told.n_records == 2 and len(told.errors) >= 1
+    with pytest.raises(Exception):
+        warc.scan(archives).collect()

@@ -27,7 +27,7 @@ from .shared import stored
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean, payload binary"
 _BLOCK = 1 << 16
 #: Fixed values of the format.
-_VERSION, _END = b"WARC/1.1\r\n", b"\r\n\r\n"
+_VERSION, _END, _MAGIC = b"WARC/1.1\r\n", b"\r\n\r\n", b"\x1f\x8b\x08"
 
 
 def digest(payload: bytes) -> str:
@@ -57,11 +57,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class Members:
-    """The bytes of a stream of gzip members, decompressed a piece at a time; take() and line() wait for as much as they need."""
+    """The bytes of a stream of gzip members, decompressed a piece at a time; take() and line() wait for as much as they need, but not beyond the member that begin() opened."""
 
     def __init__(self, stream):
         self.stream, self.raw, self.data, self.member = stream, b"", bytearray(), None
-        self.ended = False
+        self.opened = False
 
     def _more(self) -> bool:
         if not self.raw:
@@ -69,24 +69,52 @@ class Members:
             if not self.raw:
                 if self.member is not None:
                     raise ValueError("the archive ends within a gzip member")
-                self.ended = True
                 return False
         if self.member is None:
-            self.member = zlib.decompressobj(31)
+            if self.opened:
+                raise ValueError("a record goes on beyond its gzip member")
+            self.member, self.opened = zlib.decompressobj(31), True
         self.data += self.member.decompress(self.raw, _BLOCK)
         self.raw = self.member.unconsumed_tail or self.member.unused_data
         if self.member.eof:
             self.member = None
         return True
 
-    def line(self) -> bytes | None:
+    def begin(self) -> bool:
+        """Opens the next member; whether there is one."""
+        self.opened = False
+        return self._more()
+
+    def finish(self) -> None:
+        """Reads the end of the member, which must hold no more."""
+        while self.member is not None and not self.data:
+            self._more()
+        if self.data:
+            raise ValueError("a gzip member holds more than its record")
+
+    def skip(self) -> None:
+        """Goes to the end of a damaged member, or, where it can't be decompressed, to where the next seems to begin."""
+        try:
+            while self.member is not None:
+                self.data.clear()
+                self._more()
+        except (ValueError, zlib.error):
+            self.member, at = None, 1
+            while (found := self.raw.find(_MAGIC, at)) < 0:
+                more = self.stream.read(_BLOCK)
+                if not more:
+                    found = len(self.raw)
+                    break
+                self.raw, at = self.raw[-2:] + more, 0
+            self.raw = self.raw[found:]
+        self.data.clear()
+
+    def line(self) -> bytes:
         at = 0
         while (end := self.data.find(b"\r\n", at)) < 0:
             at = max(0, len(self.data) - 1)
             if not self._more():
-                if self.data:
-                    raise ValueError("the archive ends within a record")
-                return None
+                raise ValueError("the archive ends within a record")
         out = bytes(self.data[:end])
         del self.data[: end + 2]
         return out
@@ -100,21 +128,40 @@ class Members:
         return out
 
 
-def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, framed by its Content-Length, with the block digest verified."""
+def _record(members: Members) -> tuple[dict[str, str], bytes]:
+    version = members.line()
+    if not version.startswith(b"WARC/"):
+        raise ValueError(f"not a WARC record: {version[:20]!r}")
+    fields: dict[str, str] = {}
+    while line := members.line():
+        k, _, v = line.decode().partition(":")
+        fields[k.strip().lower()] = v.strip()
+    block = members.take(int(fields["content-length"]))
+    if members.take(4) != _END:
+        raise ValueError("a record is longer than its Content-Length")
+    members.finish()
+    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
+        raise ValueError(f"block digest of {fields.get('warc-record-id')} differs")
+    return fields, block
+
+
+def records(stream, damage: list[str] | None = None) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record, one to a gzip member, framed by its Content-Length, with the block digest verified.
+
+    A damaged record raises an error; with a list, what is wrong goes there and reading goes on with the next member.
+    """
     members = Members(stream)
-    while (version := members.line()) is not None:
-        if not version.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {version[:20]!r}")
-        fields: dict[str, str] = {}
-        while line := members.line():
-            k, _, v = line.decode().partition(":")
-            fields[k.strip().lower()] = v.strip()
-        block = members.take(int(fields["content-length"]))
-        if members.take(4) != _END:
-            raise ValueError("a record is longer than its Content-Length")
-        if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{digest(block)}":
-            raise ValueError(f"block digest of {fields.get('warc-record-id')} differs")
+    while True:
+        try:
+            if not members.begin():
+                return
+            fields, block = _record(members)
+        except (ValueError, KeyError, zlib.error) as wrong:
+            if damage is None:
+                raise
+            damage.append(f"{type(wrong).__name__}: {wrong}")
+            members.skip()
+            continue
         yield fields, block
 
 
@@ -158,8 +205,40 @@ def write(marked: DataFrame, folder: str) -> DataFrame:
     return stored(marked.mapInArrow(task, "path string, n_records long, n_bytes long"), "warc-list")
 
 
-def scan(archives: DataFrame) -> DataFrame:
-    """The records of archives (a column path), see RECORD. A revisit has no payload; its bytes and digest are those of its header."""
+def _payload(fields: dict[str, str], block: bytes) -> tuple:
+    """The row (see RECORD) of a record; its payload's length and digest verified."""
+    http, _, payload = block.partition(b"\r\n\r\n")
+    told = fields["warc-payload-digest"].removeprefix("sha1:")
+    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
+    revisit = fields["warc-type"] == "revisit"
+    if not revisit and (digest(payload) != told or length != len(payload)):
+        raise ValueError(f"payload digest of {fields['warc-record-id']} differs")
+    return _page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], _page(fields.get("warc-refers-to")), length, told, not revisit, None if revisit else payload
+
+
+def damaged(archives: DataFrame) -> DataFrame:
+    """(path, n_records, errors): what is wrong in archives (a column path), and how many records are whole in each. Reading goes on after a damaged record."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(path)
+                wrong: list[str] = []
+                n = 0
+                with system.open_input_stream(at, compression=None) as stream:
+                    for fields, block in records(stream, wrong):
+                        try:
+                            _payload(fields, block)
+                            n += 1
+                        except (ValueError, KeyError, StopIteration) as error:
+                            wrong.append(f"{type(error).__name__}: {error}")
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([wrong], pa.list_(pa.string()))], ["path", "n_records", "errors"])
+
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(task, "path string, n_records long, errors array<string>")
+
+
+def scan(archives: DataFrame, strict: bool = True) -> DataFrame:
+    """The records of archives (a column path), see RECORD. A revisit has no payload; its bytes and digest are those of its header. A damaged record raises an error or, unless strict, is passed over; damaged() tells of it."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,14 +247,13 @@ def scan(archives: DataFrame) -> DataFrame:
                 with system.open_input_stream(at, compression=None) as stream:
                     rows: list[tuple] = []
                     held = 0
-                    for fields, block in records(stream):
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        told = fields["warc-payload-digest"].removeprefix("sha1:")
-                        length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
-                        revisit = fields["warc-type"] == "revisit"
-                        if not revisit and (digest(payload) != told or length != len(payload)):
-                            raise ValueError(f"payload digest of {fields['warc-record-id']} differs")
-                        rows.append((_page(fields["warc-record-id"]), fields["warc-target-uri"], fields["warc-type"], _page(fields.get("warc-refers-to")), length, told, not revisit, None if revisit else payload))
+                    for fields, block in records(stream, None if strict else []):
+                        try:
+                            rows.append(_payload(fields, block))
+                        except (ValueError, KeyError, StopIteration):
+                            if strict:
+                                raise
+                            continue
                         held += len(block)
                         if len(rows) >= 1000 or held > 1 << 24:
                             yield _batch(rows)
