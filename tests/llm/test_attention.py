@@ -198,3 +198,9 @@ def test_ends_are_learned(spark):
     h = [hidden(m, x[starts[:1, None] + np.arange(m.window)])[m.overlap + len(ids)] @ m.p["o"] + m.p["b"] for m in (before, after)]
     end = [v[vocab.of[vocab.end]] - np.log(np.exp(v).sum()) for v in h]
     assert end[1] > end[0] and end[1] > math.log(0.5)
+
+
+def test_table_of_frequent_words_is_bounded_by_bytes(spark):
+    counts = spark.createDataFrame([(bytearray(b"a"), 100), (bytearray(b"b" * 50), 90), (bytearray(b"c" * 900), 10), (bytearray(b"d"), 1)], "word binary, c long")
+    assert sorted(bytes(w)[:1] for w, _ in attention.frequent(counts, 10, 500)) == [b"a", b"b"]
+    assert len(attention.frequent(counts, 10)) == 4 and len(attention.frequent(counts, 2)) == 2 and attention.frequent(counts, 10, 0) == []

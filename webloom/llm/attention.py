@@ -72,13 +72,13 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(task, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def frequent(counts: DataFrame, hot: int) -> list[tuple[bytes, int]]:
-    """The words of at least some count, the least for which there are at most `hot` of them."""
+def frequent(counts: DataFrame, hot: int, most_bytes: int = 8 << 20) -> list[tuple[bytes, int]]:
+    """The words of at least some count, the least for which there are at most `hot` of them, of at most `most_bytes` in all."""
     level = F.floor(F.log2("c") * 16).cast("int")
-    total, cut = 0, None
-    for r in sorted(counts.groupBy(level.alias("level")).count().collect(), reverse=True):  # a few hundred rows at most
-        total += r["count"]
-        if total > hot:
+    total, size, cut = 0, 0, None
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("word")).alias("bytes")).collect(), reverse=True):  # a few hundred rows at most
+        total, size = total + r["n"], size + r["bytes"]
+        if total > hot or size > most_bytes:
             break
         cut = r["level"]
     return [] if cut is None else [tuple(r) for r in counts.filter(level >= cut).select("word", "c").collect()]
