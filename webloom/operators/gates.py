@@ -74,7 +74,8 @@ def mac(key: bytes, message: Column) -> Column:
 GENESIS = "GENESIS"
 
 
-def _signed(key: bytes) -> Column:
+def signed(key: bytes) -> Column:
+    """The keyed hash of an entry (id, at, kind, prev, detail)."""
     prev = F.when(F.coalesce("prev", F.lit("")) == "", GENESIS).otherwise(F.col("prev"))
     return mac(key, F.concat_ws("|", "id", "at", "kind", prev, F.coalesce("detail", F.lit(""))))
 
@@ -82,13 +83,13 @@ def _signed(key: bytes) -> Column:
 def chained(entries: DataFrame, key: bytes, *order: str) -> DataFrame:
     """entries (id, at, kind, detail: texts) with prev, the id of the entry before in the order ("" for the first), and their mac."""
     linked = ordered.before(ordered.in_order(entries, *order), "prev", F.col("id"))
-    return linked.withColumn("prev", F.coalesce("prev", F.lit(""))).withColumn("mac", _signed(key)).drop("place", "part")
+    return linked.withColumn("prev", F.coalesce("prev", F.lit(""))).withColumn("mac", signed(key)).drop("place", "part")
 
 
 def chain_faults(entries: DataFrame, key: bytes, *order: str) -> DataFrame:
     """(order..., id, fault) of a chain's entries: mac where the keyed hash differs, link where prev is not the id of the entry before. Ranges are checked apart, their borders compared."""
     linked = ordered.before(ordered.in_order(entries, *order), "expected", F.col("id"))
-    wrong = F.array_compact(F.array(F.when(~F.col("mac").eqNullSafe(_signed(key)), "mac"), F.when(~F.coalesce("prev", F.lit("")).eqNullSafe(F.coalesce("expected", F.lit(""))), "link")))
+    wrong = F.array_compact(F.array(F.when(~F.col("mac").eqNullSafe(signed(key)), "mac"), F.when(~F.coalesce("prev", F.lit("")).eqNullSafe(F.coalesce("expected", F.lit(""))), "link")))
     return linked.select(*order, "id", F.explode(wrong).alias("fault"))
 
 

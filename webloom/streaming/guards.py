@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import gates
+
 
 def first_seen(requests: DataFrame, nonce: list[str], at: str, ttl: str = "120 seconds") -> DataFrame:
     """requests without replays: a nonce counts again only once ttl has passed. State is dropped behind the watermark."""
@@ -46,3 +48,21 @@ def admitted(requests: DataFrame, client: str, at: str, most: int, seconds: int
         yield pd.DataFrame({"client": key[0], "id": hits["id"], "admitted": out})
 
     return rows.groupBy("client").applyInPandasWithState(step, "client string, id long, admitted boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def chained(entries: DataFrame, key: bytes, chain: str = "chain", seq: str = "seq") -> DataFrame:
+    """(chain, id, at, kind, detail, prev, mac) of a stream of audit entries (chain, seq, id, at, kind, detail: texts but seq): each names the entry before it in its chain.
+
+    A chain's state is the id of its last entry. Entries of a batch are taken by seq; batches must come in order. The keyed hash is a Column expression over what state gives.
+    """
+    rows = entries.select(F.col(chain).cast("string").alias("chain"), F.col(seq).cast("long").alias("seq"), "id", "at", "kind", "detail")
+
+    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last = state.get[0] if state.exists else ""
+        hits = pd.concat(list(parts)).sort_values("seq")
+        hits["prev"] = [last, *hits["id"][:-1]]
+        state.update((hits["id"].iloc[-1],))
+        yield hits[["chain", "id", "at", "kind", "detail", "prev"]]
+
+    told = rows.groupBy("chain").applyInPandasWithState(step, "chain string, id string, at string, kind string, detail string, prev string", "last string", "append", GroupStateTimeout.NoTimeout)
+    return told.withColumn("mac", gates.signed(key))
