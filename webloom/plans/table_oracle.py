@@ -57,6 +57,9 @@ _FAULTS = f"""chain AS ({_ENTRY}), kept AS (SELECT *, CASE WHEN event_id % 97 =
 seen AS (SELECT *, coalesce(lag(id) OVER (ORDER BY event_id), '') AS expected FROM kept),
 faults AS (SELECT event_id, id, 'mac' AS fault, 0 AS o FROM seen WHERE now <> detail UNION ALL SELECT event_id, id, 'link', 1 FROM seen WHERE prev <> expected)"""
 
+#: The limiter's state, one request after another: admissions of the last minute, ends of what is open.
+_TIMES, _OPEN = "list_filter(s.times, lambda v: v >= e.t - 60)", "list_filter(s.ends, lambda v: v > e.t)"
+_ROOM = f"len({_TIMES}) < 6 AND len({_OPEN}) < 4"
 _HALF = lambda n: f"('0x' || substr(md5(k), {n}, 15))::BIGINT"
 _ROLE_RANK = "CASE {} WHEN 'viewer' THEN 1 WHEN 'operator' THEN 2 WHEN 'admin' THEN 3 WHEN 'sovereign' THEN 4 ELSE 0 END"
 
@@ -92,10 +95,9 @@ w1 AS (SELECT url, depth, 1 AS wave FROM f1 ORDER BY priority DESC, depth, url L
     "audit_chain_append": f"SELECT id, prev, {_MAC(_MESSAGE('detail'))} AS mac FROM ({_ENTRY})",
     "audit_chain_verify": f"WITH {_FAULTS} SELECT event_id, id, fault FROM faults",
     "vital_state": f"WITH {_FAULTS} SELECT 'broken' AS chain, count(*) = 0 AS vital, arg_min(id || ' ' || fault, event_id * 2 + o) AS reason FROM faults UNION ALL SELECT 'whole', true, NULL",
-    "global_limiter": """WITH RECURSIVE q AS (SELECT event_id AS id, (epoch_us(ts) // 20000000)::DOUBLE AS t, (epoch_us(ts) // 20000000)::DOUBLE + (user_id % 5) * 20 + 1 AS u, row_number() OVER (ORDER BY epoch_us(ts) // 20000000, event_id) AS n FROM events),
-r AS (SELECT n, id, true AS admitted, [t] AS times, [u] AS ends FROM q WHERE n = 1 UNION ALL
- SELECT n, id, ok, CASE WHEN ok THEN list_append(ts, t) ELSE ts END, CASE WHEN ok THEN list_append(us, u) ELSE us END FROM (SELECT *, len(ts) < 6 AND len(us) < 4 AS ok FROM (SELECT q.n, q.id, q.t, q.u, list_filter(r.times, lambda x: x >= q.t - 60) AS ts, list_filter(r.ends, lambda x: x > q.t) AS us FROM r JOIN q ON q.n = r.n + 1)))
-SELECT id, admitted FROM r""",
+    "global_limiter": f"""WITH q AS (SELECT event_id AS id, (epoch_us(ts) // 20000000)::DOUBLE AS t, (user_id % 5) * 20 + 1 AS d FROM events), l AS (SELECT list({{'id': id, 't': t, 'u': t + d}} ORDER BY t, id) AS x FROM q),
+s AS (SELECT list_reduce(x, lambda s, e: struct_pack(times := CASE WHEN {_ROOM} THEN list_append({_TIMES}, e.t) ELSE {_TIMES} END, ends := CASE WHEN {_ROOM} THEN list_append({_OPEN}, e.u) ELSE {_OPEN} END, good := CASE WHEN {_ROOM} THEN list_append(s.good, e.id) ELSE s.good END),
+ struct_pack(times := []::DOUBLE[], ends := []::DOUBLE[], good := []::BIGINT[])) AS r FROM l) SELECT event_id AS id, event_id IN (SELECT unnest(r.good) FROM s) AS admitted FROM events""",
     "key_fingerprint": f"""WITH k AS (SELECT DISTINCT event_type || s AS who, 'k' || user_id AS k FROM events, (VALUES (''), ('-again')) AS v(s)),
 a AS (SELECT who, count(*) AS n_keys, bit_xor({_HALF(1)}) AS x, sum({_HALF(1)}) AS s, bit_xor({_HALF(17)}) AS y, sum({_HALF(17)}) AS t FROM k GROUP BY 1) SELECT who, n_keys, sha256(concat_ws(':', n_keys, x, s, y, t)) AS fingerprint FROM a""",
 }
