@@ -1,7 +1,11 @@
 """A corpus pipeline over documents: language, near duplicates, secrets, mixture, packing.
 
 Each stage is given all rows that its predecessor kept, written as Parquet and read again, and returns the columns of
-documents; the last returns packed pieces.
+documents; the last returns packed pieces. What a stage has read is deleted once the next has written.
+
+A null text, or one without a letter, has no language and goes in the first stage, and so do empty texts; a null lang is filled in with the prediction. Rows with
+null or repeated ids stay as they are, and of repeated texts one stays, by the second stage. Very long texts are kept whole. Ties: near duplicates keep the least
+id of a class; equal ids of equal texts the first row. A null source is a source of its own in the mixture. An empty table gives no pieces. Columns beside those of documents pass through all but the last stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.llm import credentials, language, mixing, near, packing
-from webloom.llm.shared import id_remainder, read, stored
+from webloom.llm.shared import discard, id_remainder, read, stored
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +51,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     *filters, last = STAGES
     for name, stage in filters:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        kept = stored(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        discard(docs)
+        docs = kept
     return last[1](spark, docs, sf_dir)
