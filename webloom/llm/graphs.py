@@ -219,7 +219,7 @@ def blocks(queries: DataFrame, size: int) -> DataFrame:
     return queries.groupBy(F.size("v").alias("width"), block.alias("block")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 48, block: int = 2048) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 48, block: int = 2048, together: int = 16) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for each query (vec_id, v), never its own id. k is less than the index's copies."""
     packed = stored(blocks(queries.groupBy("vec_id").agg(F.min("v").alias("v")), block), "queries")
     shards = graphs.groupBy("width").agg((F.max("shard") + 1).alias("shards"))
@@ -248,11 +248,17 @@ def search(graphs: DataFrame, queries: DataFrame, k: int = 10, beam: int = 48, b
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):
-                yield from answers({c: batch.column(c)[at] for c in batch.schema.names})
-
-    hits = graphs.join(packed, ["width", "shard"]).mapInArrow(task, HIT)
+    def task(index: pa.Table, part: pa.Table) -> pa.Table:
+        """The hits of some blocks in one shard, which they share."""
+        known = {c: index.column(c)[0] for c in ("x", "links", "entry", "offsets", "ids")} if index.num_rows else {}
+        found = [batch for at in range(part.num_rows) if known for batch in answers(known | {"width": part.column("width")[at], "q": part.column("q")[at]})]
+        return pa.Table.from_batches(found, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]))
+
+    # a shard's arrays are sent once for `together` blocks of queries, which is what a task holds
+    packed = packed.withColumn("part", F.floor(F.col("block") / together))
+    to = ["width", "shard", "part"]
+    asked = packed.select(*(F.col(c).alias(f"to_{c}") for c in to)).distinct()
+    sent = graphs.join(asked, (F.col("width") == F.col("to_width")) & (F.col("shard") == F.col("to_shard"))).drop("width", "shard")
+    hits = sent.groupBy(*(f"to_{c}" for c in to)).cogroup(packed.groupBy(*to)).applyInArrow(task, HIT)
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
