@@ -70,3 +70,26 @@ def merged(entities: DataFrame) -> DataFrame:
     key = F.lower("value").alias("k")
     one = entities.groupBy("type", key, "source").agg(F.max("confidence").alias("confidence"), F.min(F.struct("seq", "value")).alias("first"))
     return one.groupBy("type", "k").agg(F.min("first").alias("first"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n_sources")).select("type", F.col("first.value").alias("value"), "confidence", "n_sources")
+
+
+#: How sure each kind of entity is, as a part of how sure its page is.
+SURE = {"email": 0.85, "phone": 0.85, "handle": 0.7, "url": 0.75, "location": 0.75, "past_location": 0.75, "origin": 0.75, "connection": 0.72, "name": 0.9}
+NAMED_TITLE, HANDLE, CODE_PROFILE = r"\(([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\)", r"(?:x\.com|twitter\.com)/([A-Za-z0-9_]{2,30})", r"(?i)github\.com/[^/]+$"
+
+
+def page_entities(pages: DataFrame) -> DataFrame:
+    """(type, value, confidence, source, seq) of the entities of pages (page_id, url, title, text, relevance, links: addresses): a page is as sure as 0.4 and its relevance, at most 0.95, and each kind is a part of that."""
+    from . import facets
+
+    text, sure = F.col("text"), F.least(F.lit(0.95), F.col("relevance") + 0.4)
+    of = lambda kind, values: F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), (sure * SURE[kind]).alias("confidence")))
+    places = lambda kind: F.transform(F.filter(facets.places(text), lambda x: x["kind"] == kind), lambda x: x["value"])
+    name = F.regexp_extract(F.coalesce("title", F.lit("")), NAMED_TITLE, 1)
+    handles = F.filter(F.transform("links", lambda u: F.regexp_extract(u, HANDLE, 1)), lambda h: h != "")
+    found = F.concat(
+        of("name", F.when(name != "", F.array(name)).otherwise(F.array().cast("array<string>"))), of("email", emails(text)), of("phone", phones(text)), of("location", facets.current_places(text)),
+        of("past_location", places("past")), of("origin", places("origin")), of("connection", F.transform(facets.connections(text), lambda c: F.concat_ws(": ", c["kind"], c["value"]))),
+        of("url", F.filter("links", lambda u: u.rlike(CODE_PROFILE))), of("handle", F.transform(handles, lambda h: F.concat(F.lit("@"), h))),
+    )
+    rows = pages.select("page_id", F.col("url").alias("source"), F.posexplode(found).alias("pos", "e"))
+    return rows.select("e.*", "source", F.struct("page_id", "pos").alias("seq"))

@@ -52,6 +52,11 @@ ORIGINS = (
     ("origin", r"(?i)\b(?:raised in|grew up in|hometown[:\s]+|originally from)\s+([A-Z][a-z]+(?:[\s,]+[A-Z][a-z]+){0,3})", 1),
     ("origin", r"(?i)\b(?:roots in|heritage from|descended from|family from)\s+([A-Za-z\s,]+?)(?:\.|,|$)", 1),
 )
+#: Places by their state, by two letters (but ST and DR), and as where somebody or something is now; colleagues.
+STATE_PLACE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,3}),?\s+(Alabama|AL|Alaska|AK|Arizona|AZ|Arkansas|AR|California|CA|Colorado|CO|Connecticut|CT|Delaware|DE|Florida|FL|Georgia|GA|Hawaii|HI|Idaho|ID|Illinois|IL|Indiana|IN|Iowa|IA|Kansas|KS|Kentucky|KY|Louisiana|LA|Maine|ME|Maryland|MD|Massachusetts|MA|Michigan|MI|Minnesota|MN|Mississippi|MS|Missouri|MO|Montana|MT|Nebraska|NE|Nevada|NV|New Hampshire|NH|New Jersey|NJ|New Mexico|NM|New York|NY|North Carolina|NC|North Dakota|ND|Ohio|OH|Oklahoma|OK|Oregon|OR|Pennsylvania|PA|Rhode Island|RI|South Carolina|SC|South Dakota|SD|Tennessee|TN|Texas|TX|Utah|UT|Vermont|VT|Virginia|VA|Washington|WA|West Virginia|WV|Wisconsin|WI|Wyoming|WY|United States|USA)\b"
+LETTERS_PLACE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}),?\s+([A-Z]{2})\b"
+NOW_PLACE = r"(?i)\b(?:lives in|living in|based in|located in|resides in|currently in|now in|lives at|resides at)\s+([A-Z][a-z0-9]+(?:[\s,]+[A-Za-z0-9]+){0,6}(?:,\s*(?:FL|Florida|[A-Z]{2}))?)"
+COLLEAGUES = (("colleague", r"(?i)\b(?:colleague|co-worker|coworker|teammate|team member|works with|partnered with)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)", 1),)
 #: Posts held before; the first names the firm alone, the second the role and the firm.
 PAST_FIRM = r"(?i)\b(?:formerly (?:at|with)|previously (?:at|worked at)|used to work at|ex-employee of|past role at|retired from)\s+([A-Z][A-Za-z0-9\s&.'-]{2,50})"
 PAST_ROLE = r"(?i)\b(?:former|ex-)\s+(CEO|CTO|engineer|developer|manager|director|analyst|specialist|consultant)\s+(?:at|of)\s+([A-Z][A-Za-z0-9\s&.'-]{2,50})"
@@ -159,3 +164,14 @@ def organisation_of(url: Column) -> Column:
 
 def government_of(url: Column) -> Column:
     return F.when(url.rlike(r"(?i)\.gov(?:/|$)"), url)
+
+
+def current_places(text: Column) -> Column:
+    """Distinct places that a text names with their state, or as where somebody or something is now, cleaned; no street addresses."""
+    lettered = F.filter(F.regexp_extract_all(text, F.lit(bounded(LETTERS_PLACE)), F.lit(0)), lambda v: ~F.substring(v, -2, 2).isin("ST", "DR"))
+    found = F.concat(F.regexp_extract_all(text, F.lit(bounded(STATE_PLACE)), F.lit(0)), lettered, F.regexp_extract_all(text, F.lit(bounded(NOW_PLACE)), F.lit(1)))
+    return F.array_distinct(F.transform(found, clean_capture))
+
+
+def colleagues(text: Column) -> Column:
+    return named(text, COLLEAGUES, 2)

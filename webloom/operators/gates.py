@@ -148,3 +148,16 @@ def admitted(requests: DataFrame, per_window: int, open_at_once: int, window: fl
 
     rows = period.select("id", F.col("at").cast("double"), F.col("until").cast("double"), "period", "place").repartition("period").sortWithinPartitions("period", "place")
     return rows.select("id", "at", "until", "period").mapInPandas(told, f"id {kind}, admitted boolean")
+
+
+#: Paths that every request may have.
+OPEN_PATHS = ("/health", "/organism/vitals")
+
+
+def decision(path: Column, method: Column, admitted: Column, vital: Column, listed: Column, roles: Column, asks: bool = True) -> Column:
+    """What a request meets first, or ok: RATE_LIMITED, ORGANISM_LOCKDOWN, CLIENT_NOT_ALLOWLISTED, UNAUTHORIZED (roles null: no known key, where a key is asked for), FORBIDDEN."""
+    bare = F.substring_index(path, "?", 1)
+    return (
+        F.when(bare.isin(*OPEN_PATHS), "ok").when(~admitted, "RATE_LIMITED").when(~vital, "ORGANISM_LOCKDOWN").when(~listed, "CLIENT_NOT_ALLOWLISTED")
+        .when(F.lit(asks) & roles.isNull(), "UNAUTHORIZED").when(~authorized(roles, method, bare), "FORBIDDEN").otherwise("ok")
+    )

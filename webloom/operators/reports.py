@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..functions.text import B, E
-from . import regions
+from . import gates, regions
 
 HEADING = r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"
 #: Themes of what people write about.
@@ -95,3 +95,17 @@ def regional_seeds(topic: Column) -> Column:
     """A search address for each region's encyclopedia."""
     query = F.replace(F.url_encode(F.trim(topic)), F.lit("+"), F.lit("%20"))
     return F.array_distinct(F.array(*(F.concat(F.lit(f"https://{wiki}.wikipedia.org/wiki/Special:Search?search="), query, F.lit("&fulltext=1")) for _, _, wiki, *_ in regions.REGIONS)))
+
+
+def historic(events: DataFrame, most: int = 40) -> DataFrame:
+    """(period, url, findings) of dated events (date, url, detail, seq): what is told of an address on a day, in order; the first `most` by their first event. Undated events don't count."""
+    rows = events.filter("date is not null").groupBy(F.col("date").alias("period"), "url")
+    told = F.transform(F.array_sort(F.collect_list(F.when(F.col("detail").isNotNull(), F.struct("seq", "detail")))), lambda x: x["detail"])
+    return rows.agg(told.alias("findings"), F.min("seq").alias("seq")).orderBy("seq").limit(most).select("period", "url", "findings")
+
+
+def checked(urls: DataFrame, rules: DataFrame, allowed: list[str], blocked: list[str] = ()) -> DataFrame:
+    """(url, reason) of distinct urls (url): preflight()'s reason, else robots_disallowed where the host's rules (host, prefix, allow) say so, else ok."""
+    rows = urls.select("url", U.host(F.col("url")).alias("host"), U.part(F.col("url"), 3).alias("path")).distinct()
+    robots = gates.robots_allowed(rows, rules)
+    return robots.select("url", F.when(preflight(F.col("url"), allowed, blocked) != "ok", preflight(F.col("url"), allowed, blocked)).when(~F.col("allowed"), "robots_disallowed").otherwise("ok").alias("reason"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -60,12 +60,33 @@ def page_score(url: Column, title: Column, body: Column, topic: Topic) -> Column
     return F.least(F.lit(1.0), text_score(title, topic) * 0.35 + text_score(body, topic) * 0.45 + url_score(url, topic) * 0.2)
 
 
-def follow(url: Column, anchor: Column, topic: Topic, least: float) -> Column:
+def follow(url: Column, anchor: Column, topic: Topic, least: float | Column) -> Column:
     """Whether a link joins the frontier: no chrome, and a score of least, a little more off the social hosts."""
     social = let(U.host(url), lambda name: F.greatest(*(name.contains(h) for h in U.SOCIAL_HOSTS)))
     return ~U.is_noise(url) & (link_score(url, anchor, topic) >= F.when(social, least).otherwise(least + 0.05))
 
 
+def profile_links(links: DataFrame, topic: Topic, least: float = 0.15, most: int = 20) -> DataFrame:
+    """(page_id, target, score): the `most` best links of a page (page_id, target, host, anchor, pos) to social hosts, each address once; no chrome."""
+    social = F.exists(F.array(*map(F.lit, U.SOCIAL_HOSTS)), lambda h: F.col("host").contains(h))
+    scored = links.filter(social & ~U.is_noise(F.col("target"))).withColumn("score", link_score(F.col("target"), F.col("anchor"), topic)).filter(F.col("score") >= least)
+    once = scored.groupBy("page_id", "target").agg(F.max("score").alias("score"), F.min_by("pos", F.struct(-F.col("score"), "pos")).alias("pos"))
+    rank = F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("score"), "pos"))
+    return once.withColumn("rank", rank).filter(F.col("rank") <= most).select("page_id", "target", "score")
+
+
+def children(links: DataFrame, topic: Topic, least: float = 0.1, least_relevance: float = 0.1) -> DataFrame:
+    """(page_id, url, depth, priority) of what a topic's crawl goes on to from links (page_id, depth, relevance, target, host, anchor, pos): profiles first, then
+    links that are worth following, by their score; more of them on relevant pages. An address of a page has its highest priority; nothing blocked."""
+    fine = links.filter(U.blocked_reason(F.col("target")).isNull())
+    depth = links.select("page_id", "depth").distinct()
+    first = profile_links(fine, topic).join(depth, "page_id").select("page_id", F.col("target").alias("url"), "depth", (90 - F.col("depth")).cast("double").alias("priority"))
+    score = link_score(F.col("target"), F.col("anchor"), topic)
+    threshold = F.when(F.coalesce(F.col("relevance") >= least_relevance, F.lit(False)), least * 0.6).otherwise(least)
+    others = fine.withColumn("least", threshold).filter(follow(F.col("target"), F.col("anchor"), topic, F.col("least"))).select("page_id", F.col("target").alias("url"), "depth", (F.floor(score * 100 + 0.5) - F.col("depth")).cast("double").alias("priority"))
+    return first.unionByName(others).groupBy("page_id", "url").agg((F.max("depth") + 1).alias("depth"), F.max("priority").cast("long").alias("priority"))
+
+
 def thousandths(x: Column) -> Column:
     return F.floor(x * 1000 + 0.5) / 1000
 
