@@ -42,9 +42,11 @@ def _hits(text: Column, needles: tuple[str, ...]) -> Column:
 
 
 def text_score(text: Column, topic: Topic) -> Column:
-    low = F.lower(F.coalesce(text, F.lit("")))
-    terms = F.least(F.lit(0.55), _hits(low, topic.terms) / F.lit(float(max(1, len(topic.terms)))) * 0.55)
-    return F.least(F.lit(1.0), _hits(low, topic.phrases[:6]) * 0.35 + terms)
+    def of(low: Column) -> Column:
+        terms = F.least(F.lit(0.55), _hits(low, topic.terms) / F.lit(float(max(1, len(topic.terms)))) * 0.55)
+        return F.least(F.lit(1.0), _hits(low, topic.phrases[:6]) * 0.35 + terms)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), of)
 
 
 def url_score(url: Column, topic: Topic) -> Column:
@@ -92,9 +94,10 @@ def thousandths(x: Column) -> Column:
 
 
 def ranked_pages(pages: DataFrame, topic: Topic, least: float = 0.12) -> DataFrame:
-    """pages (page_id, url, html) with title and relevance of at least `least`."""
-    scored = pages.withColumn("title", T.title(F.col("html"))).withColumn("exact", page_score(F.col("url"), F.col("title"), F.col("html"), topic))
-    return scored.filter(F.col("exact") >= least).withColumn("relevance", thousandths(F.col("exact"))).drop("exact", "html")
+    """pages (page_id, url, html) with title and relevance of at least `least`. The score is told before a generator, past which no filter goes, so it is reckoned once."""
+    scored = pages.withColumn("title", T.title(F.col("html"))).withColumn("exact", page_score(F.col("url"), F.col("title"), F.col("html"), topic)).drop("html")
+    rows = scored.select(*(c for c in scored.columns if c != "exact"), F.explode(F.array("exact")).alias("exact"))
+    return rows.filter(F.col("exact") >= least).withColumn("relevance", thousandths(F.col("exact"))).drop("exact")
 
 
 #: Fixed values of the sentence ranking.
