@@ -62,3 +62,18 @@ def test_pruning_keeps_diverse_edges():
     among[0] = [[0, 0.01, 9], [0.01, 0, 9], [9, 9, 0]]
     assert graphs.robust_prune(d, among, 1.0, 8).tolist() == [[True, False, True]]
     assert graphs.robust_prune(d, among, 1.0, 1).tolist() == [[True, False, False]]
+
+
+def test_recall_with_the_querys_settings(spark):
+    """The query's beam over several shards, each searched by several blocks of queries that share it."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    queries = graphs.usable(df, "vec_id", "embedding").filter("vec_id % 20 = 0")
+    got = graphs.search(graphs.index(df, shard_bytes=1000 * (8 * 64 + 256)), queries, beam=192, block=32, together=2).collect()
+    hits = 0
+    for q in range(0, 3000, 20):
+        d = np.square(x.astype(float) - x[q].astype(float)).sum(1)
+        want = {int(i) for i in np.argsort(d, kind="stable")[1:11]}
+        hits += len(want & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 1500 and hits / 1500 >= 0.9
