@@ -23,7 +23,7 @@ ORACLE = {
     "same_host_links": f"WITH {_LINKS} SELECT l.page_id, count(*) FILTER (WHERE {_host('p.url')} = {_host('l.target')}) AS n_same FROM links l JOIN pages p USING (page_id) GROUP BY 1",
     "seed_host_pages": f"SELECT page_id, regexp_matches({_host('url')}, '(^|\\.)example\\.(com|org)$') AS seeded FROM pages",
     "jobs_by_time": "SELECT o_orderkey AS job, strftime(o_orderdate, '%Y-%m-%d') AS created FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25",
-    "wave_totals": "SELECT count(DISTINCT event_id // 1000) AS n_waves, count(*) AS n_rows, count(DISTINCT user_id) AS n_keys, false AS all_saturated FROM events",
+    "wave_totals": "SELECT count(DISTINCT event_id // 1000) AS n_waves, count(*) AS n_rows, count(DISTINCT user_id) AS n_keys, (SELECT bool_and(wave NOT IN (SELECT min(event_id // 1000) FROM events GROUP BY user_id)) FROM (SELECT DISTINCT event_id // 1000 AS wave FROM events) WHERE wave > 0) AS all_saturated FROM events",
     "page_intel": f"SELECT page_id, {_TITLE} AS title, {_DESCRIPTION} AS description, array_to_string({_HEADINGS}, '|') AS headings, CAST(len(list_distinct(regexp_extract_all(html, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}'))) AS BIGINT) AS n_emails FROM pages",
     "page_claims": f"SELECT page_id, substr({_DESCRIPTION}, 1, 240) AS claim FROM pages WHERE length({_DESCRIPTION}) >= 30 UNION ALL SELECT page_id, substr({_TITLE}, 1, 160) FROM pages WHERE length({_TITLE}) >= 15",
     "topic_snippets": f"WITH {_DOCS}, x AS (SELECT doc_id, list_filter({_SNIPPETS}, lambda s: s <> '') AS s FROM docs), y AS (SELECT doc_id, unnest(s) AS snippet, unnest(range(len(s))) AS i FROM x), z AS (SELECT doc_id, snippet, min(i) AS i FROM y GROUP BY 1, 2) SELECT doc_id, pos, snippet FROM (SELECT doc_id, snippet, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM z) WHERE pos < 8",

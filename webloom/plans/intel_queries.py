@@ -86,7 +86,7 @@ def wave_totals(spark, d):
     seen = table(spark, d, "events").select(F.floor(F.col("event_id") / 1000).alias("wave"), "user_id")
     first = seen.groupBy("user_id").agg(F.min("wave").alias("wave"))
     waves = seen.groupBy("wave").agg(F.count(F.lit(1)).alias("n_rows")).join(first.groupBy("wave").agg(F.count(F.lit(1)).alias("n_new")), "wave", "left")
-    return waves.agg(F.count(F.lit(1)).alias("n_waves"), F.sum("n_rows").alias("n_rows"), F.sum("n_new").alias("n_keys"), F.bool_and(F.col("n_new").isNull()).alias("all_saturated"))
+    return waves.agg(F.count(F.lit(1)).alias("n_waves"), F.sum("n_rows").alias("n_rows"), F.sum("n_new").alias("n_keys"), F.bool_and(F.when(F.col("wave") > 0, F.col("n_new").isNull())).alias("all_saturated"))  # all waves but the first
 
 
 @query
