@@ -37,3 +37,17 @@ def test_profile_links(spark):
     rows = [(1, i, f"https://x.com/red-kite{i % 25}", "x.com", "red kite") for i in range(50)] + [(1, 60, "https://plain.net/red-kite", "plain.net", "red kite"), (1, 61, "https://x.com/login", "x.com", "red kite")]
     got = topic.profile_links(spark.createDataFrame(rows, "page_id long, pos int, target string, host string, anchor string"), about).collect()
     assert len(got) == 20 and len({r.target for r in got}) == 20 and all("x.com/red" in r.target for r in got)
+
+
+def test_answers_from_pages(spark):
+    from webloom.plans import answers
+
+    text = "A red kite is a large bird of prey that lives in the valleys of the west. It was rare for a hundred years and is common again today."
+    pages = spark.createDataFrame([(1, "http://birds.net/red-kite", f"<title>Red kite</title><p>{text}</p>"), (2, "http://localhost/x", f"<title>No</title><p>{text * 2}</p>"), (3, "http://birds.net/short", "<p>a red kite</p>")], "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 1, "what is a red kite?"), (1, 2, "tell me more"), (2, 1, "Hello there")], "conv_id long, turn long, text string")
+    got = {(r.conv_id, r.turn): (r["mode"], r.reply) for r in answers.answers(turns, pages).collect()}
+    assert got[1, 1][0] == "retrieval" and got[1, 1][1].endswith("A red kite is a large bird of prey that lives in the valleys of the west.") and got[1, 2][0] == "continuation" and got[2, 1][0] == "reflect"
+    small = {(r.conv_id, r.turn): r["mode"] for r in answers.answers(turns, pages.filter("page_id > 1")).collect()}
+    assert small[2, 1] == "eliza"
+    one = answers.looked_up(spark, "what is a red kite?", pages, batch=1).first()
+    assert one["mode"] == "retrieval" and "A red kite is" in one.reply
