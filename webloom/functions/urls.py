@@ -46,7 +46,7 @@ def scheme(url: Column) -> Column:
 
 def normalized(url: Column) -> Column:
     """Lower-case scheme and host, no default port, one trailing slash off unless it is the root; query and fragment stay."""
-    return put_together(*(part(url, k) for k in range(1, 6)))
+    return let(F.trim(url), lambda u: let(F.struct(*(F.regexp_extract(u, _PARTS, k).alias(f"p{k}") for k in range(1, 6))), lambda p: put_together(*(p[f"p{k}"] for k in range(1, 6)))))
 
 
 def put_together(scheme: Column, authority: Column, path: Column, query: Column, fragment: Column) -> Column:
@@ -113,8 +113,9 @@ def within(name: Column, hosts: list[str]) -> Column:
 
 def blocked_reason(url: Column) -> Column:
     """Why an address must not be fetched, the first reason that holds; null if it may be."""
-    name = F.when(part(url, 2).rlike(r"^\["), F.lower(F.regexp_extract(part(url, 2), r"^\[([^\]]*)\]", 1))).otherwise(host(url))
-    return let(F.struct(scheme(url).alias("s"), name.alias("h"), F.trim(url).alias("u")), _blocked)
+    parts = F.struct(scheme(url).alias("s"), part(url, 2).alias("a"), F.trim(url).alias("u"))
+    name = lambda a: F.when(a.rlike(r"^\["), F.lower(F.regexp_extract(a, r"^\[([^\]]*)\]", 1))).otherwise(_name(a))
+    return let(parts, lambda x: let(F.struct(x["s"].alias("s"), name(x["a"]).alias("h"), x["u"].alias("u")), _blocked))
 
 
 def _blocked(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.binding import let
 from ..functions.text import bounded
+from ..sources.tables import kept
 from . import matching
 
 #: Legal forms; (pattern, kind of link, detail) of how a text ties an organisation to its subject; addresses; telephone numbers.
@@ -92,6 +93,7 @@ def merged(told: DataFrame, businesses: DataFrame | None = None, most: int = 10)
     The kind and the form are those of the last mention (by id) that tells one; it is owned where any mention says so, or where one of businesses (name) holds
     its normal form or lies in it. Of texts the first `most` ids are listed. Lists are of distinct values; what one organisation has of them is one row.
     """
+    told = kept(told)  # read five times
     known = F.when(F.col("kind") != "unknown", F.col("id"))
     one = told.groupBy("name", "norm").agg(
         F.max_by("kind", known).alias("kind"), F.bool_or("owned").alias("owned"), F.max_by("form", F.when(F.col("form").isNotNull(), F.col("id"))).alias("form"), F.count(F.lit(1)).alias("n_texts"),
