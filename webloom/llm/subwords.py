@@ -58,7 +58,7 @@ class Subwords:
     its merges; those of all other texts go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
