@@ -36,3 +36,12 @@ def test_details_and_merge(spark):
 def test_empty(spark):
     orgs, texts = spark.createDataFrame([], "name string"), spark.createDataFrame([], "id long, text string")
     assert organisations.details(organisations.mentions(orgs, texts)).count() == 0 and organisations.groups(orgs).count() == 0
+
+
+def test_names_that_share_a_word_are_few_candidates(spark):
+    """Names of one country don't meet all its texts: the rarest of a name's words leads."""
+    names = spark.range(300).selectExpr("concat('west land ', id, ', inc.') as needle")
+    texts = spark.range(300).selectExpr("id", "concat('they sell to West Land ', id, ', inc. now') as text").selectExpr("id", "lower(text) as text")
+    found = matching.containing(names, texts).selectExpr("id", "explode(needles) as needle").collect()
+    assert {(r.id, r.needle) for r in found} == {(i, f"west land {i}, inc.") for i in range(300)}
+    assert matching.candidates(names, texts).selectExpr("sum(size(needles)) as n").first().n <= 2 * 300

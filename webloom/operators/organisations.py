@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.binding import let
 from ..functions.text import bounded
-from ..sources.tables import kept
+from ..sources.tables import kept, spread
 from . import matching
 
 #: Legal forms; (pattern, kind of link, detail) of how a text ties an organisation to its subject; addresses; telephone numbers.
@@ -70,7 +70,7 @@ def kind(name: Column, norm: Column, context: Column, terms: list[str]) -> Colum
 def details(found: DataFrame, terms: list[str] = ()) -> DataFrame:
     """(name, norm, id, n_windows, kind, owned, form, links, addresses, phones) of each mention; kind is that of the last window that tells one."""
     name, norm, contexts = F.col("name"), F.col("norm"), F.col("contexts")
-    rows = found.withColumn("contexts", windows(F.col("text"), name, norm))
+    rows = spread(found).withColumn("contexts", windows(F.col("text"), name, norm))
     told = F.filter(F.transform(contexts, lambda c: kind(name, norm, c, list(terms))), lambda k: k.isNotNull())
     rows = rows.withColumn("told", F.try_element_at(told, F.lit(-1)))
     form = lambda c: F.regexp_extract(c, bounded(LEGAL_FORM), 1)
