@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import timeline
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .table_queries import _put, chosen
 
 QUERIES = {}
@@ -23,7 +23,7 @@ def query(f):
 
 def _events(spark, d):
     firm = F.format_string("Acme %d Works", F.pmod("o_custkey", F.lit(7)))
-    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", _put(_put(chosen(TOLD, F.col("o_orderkey")), "{c}", firm), "{d}", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select("o_orderkey", "o_custkey", _put(_put(chosen(TOLD, F.col("o_orderkey")), "{c}", firm), "{d}", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("text"))
     return timeline.events(orders.select(F.struct("o_orderkey", "o_custkey").alias("doc_id"), "text"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import chat, facets
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES = {}
 #: Sentences told about customers; the sign stands for a name made of the market segment and the key.
@@ -34,7 +34,7 @@ def query(f):
 def _said(spark, d):
     name = F.concat(F.initcap(F.lower("c_mktsegment")), F.lit(" "), F.col("c_custkey").cast("string"))
     choice = F.element_at(F.array(*map(F.lit, SENTENCES)), (F.pmod("c_custkey", F.lit(len(SENTENCES))) + 1).cast("int"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), name.alias("name"), F.replace(choice, F.lit("{}"), name).alias("text"))
+    return spread(table(spark, d, "customer").select("c_custkey", "c_mktsegment")).select(F.col("c_custkey").alias("id"), name.alias("name"), F.replace(choice, F.lit("{}"), name).alias("text"))
 
 
 def _kinds(spark, d, found):

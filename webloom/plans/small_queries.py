@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..operators import entities, facets, gates, reports, topic
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .queries import TOPIC, _links
 from .table_queries import PROFILES, ROUTES, _put, chosen
 
@@ -72,7 +72,7 @@ def page_entity_merge(spark, d):
     """Entities of a page for each customer, whose title, text and links name it, merged over all pages."""
     k = F.col("c_custkey")
     text = F.concat(F.lit("Mail a"), k % 9, F.lit("@b.net or 415-555-01"), F.lpad((k % 7).cast("string"), 2, "0"), F.lit(". Member of Guild."))
-    pages = table(spark, d, "customer").select(k.alias("page_id"), F.concat(F.lit("https://p.net/"), k).alias("url"), F.lit("About (Jane Roe)").alias("title"), text.alias("text"), ((k % 10) / 10).alias("relevance"), F.array(F.concat(F.lit("https://x.com/u"), k % 5), F.concat(F.lit("https://github.com/g"), k % 4)).alias("links"))
+    pages = spread(table(spark, d, "customer").select("c_custkey")).select(k.alias("page_id"), F.concat(F.lit("https://p.net/"), k).alias("url"), F.lit("About (Jane Roe)").alias("title"), text.alias("text"), ((k % 10) / 10).alias("relevance"), F.array(F.concat(F.lit("https://x.com/u"), k % 5), F.concat(F.lit("https://github.com/g"), k % 4)).alias("links"))
     return entities.merged(entities.page_entities(pages)).select("type", "value", F.round("confidence", 6).alias("confidence"), "n_sources")
 
 
