@@ -39,7 +39,8 @@ def _nodes(level: DataFrame, id_col: str) -> DataFrame:
     """level with what each node tells as a post and as an image."""
     text = F.coalesce(_string("full_text"), _string("text"), _string("caption"), F.when(_string("@type") == "SocialMediaPosting", _string("description")))
     level = level.withColumns({"text": text, "link": F.coalesce(_string("url"), _string("permalink"), "url"), "published": _string("created_at"), "alt": _string("alt_text")})
-    post = (F.length("text") > 5) & (F.length("text") < 5000) & facets.repost_reason(F.col("text"), F.to_json("v")).isNull()
+    sized = F.coalesce((F.length("text") > 5) & (F.length("text") < 5000), F.lit(False))  # else no node is written as JSON
+    post = F.when(sized, facets.is_own(F.col("text"), F.to_json("v")))
     image = F.coalesce(_string("display_url"), _string("media_url_https"), F.when(_string("url").rlike(IMAGE_FILE), _string("url")))
     level = level.withColumn("post", F.coalesce(post, F.lit(False))).withColumn("image", F.when(facets.is_post_image(image), image))
     return level.withColumn("owners", F.when(F.col("post"), F.concat("owners", F.array(F.struct("path", "link")))).otherwise(F.col("owners")))
@@ -72,7 +73,7 @@ def full_texts(pages: DataFrame, most: int = 20, id_col: str = "page_id") -> Dat
     """(id, pos, text): the first `most` full texts of posts in a page's source, unescaped, without reposts; a mark anywhere in the page makes all of them reposts."""
     found = F.slice(F.regexp_extract_all("html", F.lit(FULL_TEXT), F.lit(1)), 1, most)
     rows = pages.select(id_col, "html", F.posexplode(found).alias("pos", "raw")).withColumn("text", facets.unescaped(F.col("raw")))
-    return rows.filter(facets.repost_reason(F.col("text"), F.col("html")).isNull()).select(id_col, "pos", "text")
+    return rows.filter(facets.is_own(F.col("text"), F.col("html"))).select(id_col, "pos", "text")
 
 
 def content(pages: DataFrame, id_col: str = "page_id") -> DataFrame:

@@ -128,6 +128,14 @@ def repost_reason(text: Column, html: Column) -> Column:
     return F.coalesce(*(F.when(both.rlike("(?i)" + bounded(p)), F.lit(p)) for p in REPOSTS))
 
 
+def is_own(text: Column, html: Column) -> Column:
+    """Whether a post has no mark of a repost: all marks hold one of a few words, which most posts do not have."""
+    both = F.concat_ws("\n", F.coalesce(text, F.lit("")), F.coalesce(html, F.lit("")))
+    low = F.lower(both)
+    marked = reduce(lambda a, w: a | low.contains(w), ("retweet", "repost", "shared ", "via @"), low.contains("rt @"))
+    return ~marked | repost_reason(text, html).isNull()
+
+
 def is_post_image(url: Column) -> Column:
     """A picture of a post: no tracking, no vector or icon file, and no icon unless it says that it is media."""
     low = F.lower(url)

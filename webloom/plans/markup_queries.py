@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedded, markup
-from ..sources.tables import kept, table
+from ..sources.tables import kept, spread, table
 
 QUERIES = {}
 
@@ -27,7 +27,7 @@ def order_pages(spark, d):
     )
     inner = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", "text", "permalink", "media", "shown"))).alias("lines"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
-    rows = orders.join(inner, "page_id", "left").withColumn("url", F.format_string("https://shop.net/o/%d", "page_id"))
+    rows = spread(orders.join(inner, "page_id", "left")).withColumn("url", F.format_string("https://shop.net/o/%d", "page_id"))
     told = F.format_string("Order %d of customer %d #c%d", "page_id", "o_custkey", "o_custkey")
     items = F.transform("lines", lambda x: F.struct(x["text"], x["permalink"], x["media"]))
     data = F.to_json(F.struct(F.lit("SocialMediaPosting").alias("@type"), told.alias("description"), "url", "created_at", F.struct(items.alias("lines")).alias("content")))
