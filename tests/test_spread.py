@@ -26,3 +26,8 @@ def test_own_posts_are_those_without_a_reason(spark):
     pairs = [("Rt @x", None), ("art @x", None), ("we reTweeted", None), ("unretweeted", None), ("REPOSTING", ""), ("shared a post", None), ("Shared  from", None), ("via @", None), ("x", '{"is_retweet" : TRUE}'), ("x", '<a aria-label="My Repost">'), (None, None), ("plain", '{"reposted":false}')]
     for r in spark.createDataFrame(pairs, "t string, h string").select("t", facets.is_own(F.col("t"), F.col("h")).alias("own"), facets.repost_reason(F.col("t"), F.col("h")).alias("why")).collect():
         assert r.own == (r.why is None)
+
+
+def test_pictures_are_placed_from_kept_pages(spark, sf):
+    """Pages are scanned before addresses are reckoned, in a plan of its own."""
+    assert "MapInArrow" not in markup_queries.order_images(spark, sf)._jdf.queryExecution().toString()

@@ -53,7 +53,7 @@ def page_posts(spark, d):
 
 @query
 def order_images(spark, d):
-    return markup.images(markup.scanned(order_pages(spark, d))).select("page_id", F.col("pos").cast("long").alias("pos"), "image", "post", "alt")
+    return markup.images(kept(markup.scanned(order_pages(spark, d)))).select("page_id", F.col("pos").cast("long").alias("pos"), "image", "post", "alt")
 
 
 @query
