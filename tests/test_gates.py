@@ -125,3 +125,13 @@ def test_profiles_merge(spark):
 def test_reports_are_written_as_lines(spark, tmp_path):
     sinks.write_report(spark.createDataFrame([(1, "x")], "n long, line string"), str(tmp_path / "r"))
     assert [r.value for r in spark.read.text(str(tmp_path / "r")).collect()] == ['{"n":1,"line":"x"}']
+
+
+def test_only_the_first_of_a_time_enter_the_sequence(spark, monkeypatch):
+    """A hundred requests a second: 5 of each may be admitted, so no more of them are put in one order."""
+    requests = [(i, float(i // 100), float(i // 100 + i % 3)) for i in range(3000)]
+    df = spark.createDataFrame(requests, "id long, at double, until double")
+    seen, in_order = [], gates.ordered.in_order
+    monkeypatch.setattr(gates.ordered, "in_order", lambda rows, *order: seen.append(rows.count()) or in_order(rows, *order))
+    got = {x.id: x.admitted for x in gates.admitted(df, 5, 3, 4.0).collect()}
+    assert seen == [150] and got == plainly(requests, 5, 3, 4)

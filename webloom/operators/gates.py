@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import kept
 from . import ordered
 
 #: Ranks of roles, and the role that each route asks for; a route that is not listed asks for admin.
@@ -120,9 +121,13 @@ def admitted(requests: DataFrame, per_window: int, open_at_once: int, window: fl
 
     What is admitted depends on earlier admissions, so a busy period is a sequence; where nothing asked can still count, a new period begins. Periods are told by a running
     maximum in ranges and are worked on side by side; one streams through its task, which keeps at most per_window times and open_at_once ends. A connection is closed
-    before a request of the same time. Requests of one time come by id.
+    before a request of the same time. Requests of one time come by id; as within it nothing is freed that a later one finds taken, and no more than per_window are admitted,
+    those behind the first per_window of a time are refused and do not enter the sequence.
     """
-    line = ordered.before(ordered.in_order(requests, "at", "id"), "busy", F.greatest(F.col("at") + F.lit(window), F.col("until")), greatest=True)
+    placed = kept(requests.select("id", "at", "until").withColumn("turn", F.row_number().over(Window.partitionBy("at").orderBy("id"))))
+    refused = placed.filter(F.col("turn") > per_window).select("id", F.lit(False).alias("admitted"))
+    first = placed.filter(F.col("turn") <= per_window).drop("turn")
+    line = ordered.before(ordered.in_order(first, "at", "id"), "busy", F.greatest(F.col("at") + F.lit(window), F.col("until")), greatest=True)
     starts = line.withColumn("start", F.col("busy").isNull() | (F.col("at") > F.col("busy")))
     period = ordered.before(starts, "period", F.when(F.col("start"), F.col("place")), greatest=True)
     period = period.withColumn("period", F.when(F.col("start"), F.col("place")).otherwise(F.col("period")))
@@ -147,7 +152,7 @@ def admitted(requests: DataFrame, per_window: int, open_at_once: int, window: fl
             yield pd.DataFrame({"id": frame["id"], "admitted": out})
 
     rows = period.select("id", F.col("at").cast("double"), F.col("until").cast("double"), "period", "place").repartition("period").sortWithinPartitions("period", "place")
-    return rows.select("id", "at", "until", "period").mapInPandas(told, f"id {kind}, admitted boolean")
+    return rows.select("id", "at", "until", "period").mapInPandas(told, f"id {kind}, admitted boolean").unionByName(refused)
 
 
 #: Paths that every request may have.
