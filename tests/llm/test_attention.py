@@ -1,4 +1,6 @@
+import json
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -6,6 +8,7 @@ import numpy as np
 import public_tokenizers
 
 from webloom.llm import attention, registry
+from webloom.llm.subwords import Subwords
 
 from .data import empty, frame
 
@@ -204,3 +207,67 @@ def test_table_of_frequent_words_is_bounded_by_bytes(spark):
     counts = spark.createDataFrame([(bytearray(b"a"), 100), (bytearray(b"b" * 50), 90), (bytearray(b"c" * 900), 10), (bytearray(b"d"), 1)], "word binary, c long")
     assert sorted(bytes(w)[:1] for w, _ in attention.frequent(counts, 10, 500)) == [b"a", b"b"]
     assert len(attention.frequent(counts, 10)) == 4 and len(attention.frequent(counts, 2)) == 2 and attention.frequent(counts, 10, 0) == []
+
+
+def by_tokenizer(words):
+    cut = attention.subwords(PATH)
+    return [cut.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+
+
+def test_words_are_cut_together_as_the_tokenizer_cuts_them():
+    cut, r = Subwords(PATH), random.Random(3)
+    letters = ["etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzéüßñ'.,-!?0123456789", "aeé'sdtrvm½ªº²"]
+    words = ["a" * 900, "the" * 300, "don't", "'s", "x.", "x's.", "..'ll", "1²½", "é", "ªa", "naïve—".removesuffix("—")]
+    words += ["".join(r.choices(r.choice(letters), k=r.randint(1, 30))) for _ in range(5000)]
+    assert cut.merges is not None and all(map(cut.plain, words))
+    ids, n = cut.many(words)
+    want = by_tokenizer(words)
+    assert ids.tolist() == [i for x in want for i in x] and n.tolist() == list(map(len, want))
+    cut.merges = None  # as without tiktoken
+    assert [x.tolist() for x in cut.many(words)] == [ids.tolist(), n.tolist()]
+    assert [len(x) for x in cut.many([])] == [0, 0]
+
+
+def test_each_piece_is_joined_to_itself_only():
+    """Joining any neighbours that make up a known piece, as tiktoken does, equals the listed pairs where each piece is what its own letters become."""
+    model = json.loads(Subwords(PATH).tokenizer.to_str())["model"]
+    rank = {tuple(p): i for i, p in enumerate(model["merges"])}
+    for piece in model["vocab"]:
+        parts = list(piece.removesuffix("</w>"))
+        if piece.endswith("</w>"):
+            parts[-1] += "</w>"
+        while pairs := [(rank[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in rank]:
+            i = min(pairs)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert parts == [piece]
+
+
+def test_a_word_is_cut_once_and_tables_are_bounded():
+    cut, asked = Subwords(PATH), []
+    many = cut.many
+    cut.many = lambda words: asked.extend(words) or many(words)
+    words = attention.Words(cut, [b"red", b"green"], most=5, most_bytes=1000)
+    for text in ("red blue red", "blue green red blue", "green"):
+        said = attention.words_of(text)
+        ids, n = words.ids(words.of([said]))
+        assert ids.tolist() == np.frombuffer(cut.encode(text), "<u4").tolist() and len(n) == len(said)
+    assert sorted(asked) == ["blue", "green", "red"]
+    for at in range(0, 60, 3):  # more others than it keeps, in number and then in bytes
+        text = f"red w{at} W{at + 1} {'x' * 40 * at} green"
+        ids, _ = words.ids(words.of([attention.words_of(text), []]))
+        assert ids.tolist() == np.frombuffer(cut.encode(text), "<u4").tolist()
+        assert len(words.numbers.words) <= 2 + 5 + 4
+
+
+def test_ids_of_all_kinds_of_texts(spark):
+    texts = ["Red  GREEN\tblue's", None, "", " \n", "J̌ T̈ red", "日本 red Red", "a<|endoftext|>b red", "É é Ünder red", "red\x00 x\x1cy", "İı"]
+    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, learned boolean").coalesce(1)
+    got = {r.doc_id: r for r in attention.encode(docs, "learned", PATH, [(b"red", 7), (b"\xc3\x89", 1), (b"", 10)], 100, 10).collect()}
+    cut = attention.subwords(PATH)
+    for i, text in enumerate(texts):
+        assert attention.numbers(got[i].ids, cut.size).tolist() == cut.tokenizer.encode(text or "", add_special_tokens=False).ids, text
+        words = attention.words_of(text)
+        logs = {b"red": math.log10(8 / 100), "É".encode(): math.log10(2 / 100)}
+        assert (got[i].n, got[i].known) == (len(words) + 1, sum(w in logs for w in words) + 1)
+        assert abs(got[i]["sum"] - sum(logs.get(w, 0) for w in words) - math.log10(11 / 100)) < 1e-9
+        assert {bytes(x.word): x.n for x in got[i].rest} == Counter(w for w in words if w not in logs)

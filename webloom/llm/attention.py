@@ -26,7 +26,9 @@ Frequencies that tie are ranked by id. An empty table gives no rows. Other colum
 
 from __future__ import annotations
 
+import itertools
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, stored
-from .subwords import subwords
+from .subwords import Subwords, subwords
 
 END = b""
 _FLUSH = 400_000
@@ -192,7 +194,7 @@ class Model:
     """Parameters and the forward and backward passes."""
 
     def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None, window: int = 16, overlap: int = 3):
-        self.vocab, self.window, self.overlap = vocab, window, overlap
+        self.vocab, self.pad, self.window, self.overlap = vocab, vocab.pad, window, overlap
         self.shapes = shapes(vocab, window)
         if flat is None:
             rng = np.random.default_rng(3)
@@ -214,16 +216,16 @@ class Model:
             self.room[name] = np.empty(n, np.float32)
         return self.room[name][:n].reshape(shape)
 
-    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All input rows times q, k and v."""
-        return tuple(self.p["e"] @ self.p[n] for n in "qkv")
+    def table(self) -> np.ndarray:
+        """All input rows, and their q, k and v, side by side."""
+        return np.concatenate([self.p["e"], *(self.p["e"] @ self.p[n] for n in "qkv")], 1)
 
-    def attend(self, rows: np.ndarray, own: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(weights, what the values give, hidden values and a column of ones) of windows of input rows for their last queries; own: the queries' rows of e."""
-        first = rows.shape[1] - own.shape[1]
-        s = np.matmul(q, k.transpose(0, 2, 1), out=self.space("s", *own.shape[:2], rows.shape[1]))
+    def attend(self, rows: np.ndarray, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(weights, what they are to be multiplied by to add up to 1, what the values give) of windows of input rows for their last queries."""
+        first = rows.shape[1] - q.shape[1]
+        s = np.matmul(q, k.transpose(0, 2, 1), out=self.space("s", *q.shape[:2], rows.shape[1]))
         s += (self.p["d"][self.back] + self.later)[first:]
-        pads = rows == self.vocab.pad
+        pads = rows == self.pad
         if pads.any():
             at = np.flatnonzero(pads.any(1))
             s[at] += np.where(pads[at], _FAR, np.float32(0))[:, None, :]
@@ -231,20 +233,20 @@ class Model:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
         sums = s.reshape(-1, s.shape[2]) @ np.ones(s.shape[2], np.float32)
-        s *= (1 / (sums + np.float32(1e-30))).reshape(*own.shape[:2], 1)
+        part = (1 / (sums + np.float32(1e-30))).reshape(*q.shape[:2], 1)
         given = np.matmul(s, v)
-        h = self.space("h", *own.shape[:2], WIDTH + 1)
-        h[..., -1] = 1
-        np.tanh(own + given, out=h[..., :-1])
-        return s, given, h
-
-    def odds(self, h: np.ndarray) -> np.ndarray:
-        """Odds of the classes for hidden values (n, WIDTH + 1)."""
-        both = np.concatenate([self.p["o"], self.p["b"][None]])
-        z = np.matmul(h, both, out=self.space("z", len(h), both.shape[1]))
-        if np.abs(both).sum(0).max() > 60:  # hidden values lie in -1..1
+        given *= part
+        return s, part, given
+
+    def odds(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Odds of the classes for hidden values (n, WIDTH), and what each class's are to be multiplied by."""
+        o, b = self.p["o"], self.p["b"]
+        z = np.matmul(h, o, out=self.space("z", len(h), len(b)))
+        if (np.abs(o).sum(0) + np.abs(b)).max() > 60:  # hidden values lie in -1..1
+            z += b
             z -= z.max(1, keepdims=True)
-        return np.exp(z, out=z)
+            b = np.zeros_like(b)
+        return np.exp(z, out=z), np.exp(b)
 
     def windows(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Input rows and next ids (-1: none) of texts one after the other, where their windows start, and each window's text."""
@@ -266,68 +268,86 @@ class Model:
         starts = np.repeat(base[:-1], windows) + step * (np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows))
         return x, y, starts, np.repeat(np.arange(len(ids)), windows)
 
-    def log_scores(self, ids: list[np.ndarray], tables: tuple[np.ndarray, ...] | None = None, batch: int = 384) -> np.ndarray:
+    def log_scores(self, ids: list[np.ndarray], table: np.ndarray | None = None, batch: int = 384) -> np.ndarray:
         """log10 probability of each text of ids (its subwords, without start and end), batches of windows at a time."""
         vocab = self.vocab
-        q, k, v = tables or self.tables()
+        table = self.table() if table is None else table
         out = np.zeros(len(ids))
         x, y, starts, owner = self.windows(ids)
         span = np.arange(self.window)
         for at in range(0, len(starts), batch):
             s = starts[at : at + batch, None] + span
-            rows, target = x[s], y[s[:, self.overlap :]]
-            own = rows[:, self.overlap :]
-            h = self.attend(rows, self.p["e"].take(own, 0), q.take(own, 0), k.take(rows, 0), v.take(rows, 0))[-1]
-            z = self.odds(h.reshape(-1, WIDTH + 1))
+            rows, target = x.take(s), y.take(s[:, self.overlap :])
+            e, q, k, v = (part[..., i : i + WIDTH] for part in [table.take(rows, 0)] for i in range(0, 4 * WIDTH, WIDTH))
+            h = self.attend(rows, q[:, self.overlap :], k, v)[-1]
+            h += e[:, self.overlap :]
+            z, scale = self.odds(np.tanh(h, out=h).reshape(-1, WIDTH))
             t = target.ravel()
-            logp = np.log10(z[np.arange(len(t)), vocab.of.take(t)] / (z @ np.ones(z.shape[1], np.float32)) + np.float32(1e-37)) + vocab.share.take(t)
+            of = vocab.of.take(t)
+            share = z.ravel().take(np.arange(0, z.size, z.shape[1]) + of) * scale.take(of) / (z @ scale)
+            logp = np.log10(share + np.float32(1e-37)) + vocab.share.take(t)
             logp[t < 0] = 0
             out += np.bincount(owner[at : at + batch], logp.reshape(target.shape).sum(1, dtype=float), len(ids))
         return out
 
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
         """Mean loss of windows: input rows x and target classes y (both (B, window); -1 targets don't count), and its gradient."""
-        loss, g, rows, sums = self.slopes(x, y, 0)
+        chances, g, rows, sums = self.slopes(x, y, 0)
+        loss = -float(np.log(chances[y.ravel() >= 0] + np.float32(1e-37)).sum()) / max(1, int((y >= 0).sum()))
         table = np.zeros_like(self.p["e"])
         table[rows] = sums
-        return loss, np.concatenate([table.ravel(), *(np.asarray(g[n], np.float32).ravel() for n in self.shapes if n != "e")])
+        return loss, np.concatenate([table.ravel(), g])
 
-    def slopes(self, x: np.ndarray, y: np.ndarray, first: int) -> tuple[float, dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """As gradient(), with targets y of the places from `first` on; the gradient of e is given as rows and theirs."""
+    def slopes(self, x: np.ndarray, y: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each target's probability, and the gradient of the mean loss as in gradient(), with targets y of the places from `first` on.
+
+        The gradient of e is given as rows and theirs, that of the others flat, in the order of the parameters.
+        """
         p, (n, w) = self.p, x.shape
         e = p["e"].take(x, 0)
         flat, own = e.reshape(-1, WIDTH), np.ascontiguousarray(e[:, first:])
         q = (own.reshape(-1, WIDTH) @ p["q"]).reshape(own.shape)
-        k, v = ((flat @ p[name]).reshape(e.shape) for name in "kv")
-        a, given, h = self.attend(x, own, q, k, v)
-        z = self.odds(h.reshape(-1, WIDTH + 1))
+        both = np.concatenate([p["k"], p["v"]], 1)
+        kv = (flat @ both).reshape(n, w, 2 * WIDTH)
+        k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+        a, part, given = self.attend(x, q, k, v)
+        h = np.tanh(own + given).reshape(-1, WIDTH)
+        z, scale = self.odds(h)
         t = y.ravel()
         on = t >= 0
-        count, at, t = max(1, int(on.sum())), np.arange(len(t)), np.maximum(t, 0)
-        share = on.astype(np.float32) / np.float32(count)
-        total = z @ np.ones(z.shape[1], np.float32)
-        loss = -float(np.log(z[at, t] / total + np.float32(1e-37)) @ share)
-        z *= (share / total)[:, None]
-        z[at, t] -= share
-        ob = h.reshape(-1, WIDTH + 1).T @ z
-        h = h[..., :-1]
-        dx = (z @ p["o"].T).reshape(own.shape)
+        of = np.maximum(t, 0)
+        total, cells, at = z @ scale, z.ravel(), np.arange(0, z.size, z.shape[1]) + of
+        one = scale.take(of)
+        chances = cells.take(at) * one / total
+        # the odds' slopes are z * scale * share
+        cells[at] -= total / one
+        share = on / (np.float32(max(1, int(on.sum()))) * total)
+        go, gb = (h * share[:, None]).T @ z * scale, share @ z * scale
+        dx = z @ (p["o"] * scale).T
+        dx *= share[:, None]
         dx *= 1 - h * h
-        ds = np.matmul(dx, v.transpose(0, 2, 1), out=self.space("ds", *a.shape))
-        ds -= np.einsum("nid,nid->ni", dx, given)[..., None]
+        dx = dx.reshape(own.shape)
+        dg = dx * part
+        ds = np.matmul(dg, v.transpose(0, 2, 1), out=self.space("ds", *a.shape))
+        given *= dg
+        ds -= (given.reshape(-1, WIDTH) @ np.ones(WIDTH, np.float32)).reshape(part.shape)
         ds *= a
-        dk, dv = np.matmul(ds.transpose(0, 2, 1), q).reshape(-1, WIDTH), np.matmul(a.transpose(0, 2, 1), dx).reshape(-1, WIDTH)
+        dkv = self.space("dkv", *kv.shape)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dg, out=dkv[..., WIDTH:])
+        dkv = dkv.reshape(-1, 2 * WIDTH)
         dq = np.matmul(ds, k).reshape(-1, WIDTH)
-        g = {"q": own.reshape(-1, WIDTH).T @ dq, "k": flat.T @ dk, "v": flat.T @ dv, "o": ob[:-1], "b": ob[-1]}
-        g["d"] = np.bincount(self.back[first:].ravel(), (ds.sum(0) * (self.later[first:] == 0)).ravel(), self.window)
-        de = (dk @ p["k"].T + dv @ p["v"].T).reshape(e.shape)
+        gkv = flat.T @ dkv
+        gd = np.bincount(self.back[first:].ravel(), (ds.sum(0) * (self.later[first:] == 0)).ravel(), self.window)
+        g = np.concatenate([(own.reshape(-1, WIDTH).T @ dq).ravel(), gkv[:, :WIDTH].ravel(), gkv[:, WIDTH:].ravel(), gd.astype(np.float32), go.ravel(), gb])
+        de = (dkv @ both.T).reshape(e.shape)
         dx += (dq @ p["q"].T).reshape(dx.shape)
         de[:, first:] += dx
-        places = x.ravel().astype(np.uint16 if self.vocab.pad < 1 << 16 else np.int32)  # short numbers sort by radix
+        places = x.ravel().astype(np.uint16 if self.pad < 1 << 16 else np.int32)  # short numbers sort by radix
         order = np.argsort(places, kind="stable")
         places = places[order]
         begins = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
-        return loss, g, places[begins].astype(np.int64), np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), begins)
+        return chances, g, places[begins].astype(np.int64), np.add.reduceat(de.reshape(-1, WIDTH).take(order, 0), begins)
 
 
 class Steps:
@@ -337,18 +357,17 @@ class Steps:
         self.model, self.rate = model, np.float32(rate)
         sizes = {k: (s[0], 1) if k == "e" else s for k, s in model.shapes.items()}
         self.state = np.full(sum(map(math.prod, sizes.values())), 1e-8, np.float32) if state is None else state.astype(np.float32).copy()
-        self.sums, at = {}, 0
-        for k, s in sizes.items():
-            self.sums[k] = self.state[at : at + math.prod(s)].reshape(s)
-            at += math.prod(s)
+        rows = sizes["e"][0]
+        self.rows, self.others = self.state[:rows], self.state[rows:]
 
-    def step(self, g: dict[str, np.ndarray], rows: np.ndarray, sums: np.ndarray) -> None:
-        for name, d in g.items():
-            self.sums[name] += d * d
-            self.model.p[name] -= self.rate * d / np.sqrt(self.sums[name])
-        seen = self.sums["e"][rows] + np.square(sums).mean(1, keepdims=True)
-        self.sums["e"][rows] = seen
-        self.model.p["e"][rows] -= self.rate * sums / np.sqrt(seen)
+    def step(self, g: np.ndarray, rows: np.ndarray, sums: np.ndarray) -> None:
+        """One step by slopes()."""
+        self.others += g * g
+        self.model.flat[-len(g) :] -= self.rate * g / np.sqrt(self.others)
+        seen = self.rows.take(rows) + (sums * sums) @ np.full(WIDTH, 1 / WIDTH, np.float32)
+        self.rows[rows] = seen
+        e = self.model.p["e"]
+        e[rows] = e.take(rows, 0) - sums * (self.rate / np.sqrt(seen))[:, None]
 
 
 #: Rounds of training: each learns from the texts whose hash mod 8 is named, so that every text is learned once.
@@ -376,7 +395,7 @@ def train(encoded: DataFrame, vocab: Vocabulary, rounds: tuple[tuple[int, ...],
                 of = np.where(y < 0, -1, vocab.of[y])
                 for s in np.array_split(rng.permutation(starts), -(-len(starts) // batch)):
                     s = s[:, None] + span
-                    steps.step(*model.slopes(x[s], of[s[:, model.overlap :]], model.overlap)[1:])
+                    steps.step(*model.slopes(x.take(s), of.take(s[:, model.overlap :]), model.overlap)[1:])
                 held.clear()
                 return int((y >= 0).sum())
 
@@ -420,16 +439,76 @@ def averaged(rows: DataFrame, fan: int = 24) -> np.ndarray | None:
     return None if last is None else np.frombuffer(last["flat"], np.float32)
 
 
-class _Logs(dict):
-    """Log probabilities of words; what is asked for and isn't there counts nothing and is listed."""
+class _Numbers(dict):
+    """Numbers of words, from 0 on: a new word gets the next and is listed."""
+
+    def __init__(self, words: list[bytes]):
+        super().__init__(zip(words, range(len(words))))
+        self.words = words
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        return n
+
+
+class Words:
+    """Numbers for words as words_of() gives them, with the subword ids of each, which are cut once.
+
+    The first numbers are those of `known` words. Others start anew once there are more than `most` or they have more than `most_bytes`.
+    """
+
+    def __init__(self, cut: Subwords, known: list[bytes], most: int = 250_000, most_bytes: int = 8 << 20):
+        self.cut, self.known, self.most, self.most_bytes = cut, known, most, most_bytes
+        self._anew()
+
+    def _anew(self) -> None:
+        self.numbers, self.bytes = _Numbers(self.known[:]), 0
+        self.length = np.full(len(self.known) + self.most, -1, np.int32)  # -1: not cut yet
+        self.start = np.zeros(len(self.length), np.int64)
+        self.pool, self.filled = np.empty(1 << 20, np.uint16 if self.cut.size <= 1 << 16 else np.uint32), 0
+
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        """The numbers of all words of texts, which hold until the next call."""
+        words = self.numbers.words
+        if len(words) > len(self.known) + self.most or self.bytes > self.most_bytes:
+            self._anew()
+            words = self.numbers.words
+        before = len(words)
+        out = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(texts)), np.int64)
+        self.bytes += sum(map(len, words[before:]))
+        if (more := len(words) - len(self.length)) > 0:
+            self.length = np.concatenate([self.length, np.full(more, -1, np.int32)])
+            self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
+        return out
+
+    def word(self, number: int) -> bytes:
+        return self.numbers.words[number]
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Subword ids of plain words one after the other, and how many each word has."""
+        new = np.unique(numbers[self.length[numbers] < 0])
+        if len(new):
+            ids, n = self.cut.many([self.word(i).decode().lower() for i in new.tolist()])
+            self.length[new], self.start[new] = n, self.filled + np.cumsum(n) - n
+            if self.filled + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool[: self.filled], np.empty(len(self.pool) + len(ids), self.pool.dtype)])
+            self.pool[self.filled : self.filled + len(ids)] = ids
+            self.filled += len(ids)
+        n = self.length[numbers].astype(np.int64)
+        ends = np.cumsum(n)
+        return self.pool[np.repeat(self.start[numbers] - ends + n, n) + np.arange(n.sum())], n
+
+
+#: The words of the last table that this process met, under its name: its next tasks know them.
+_met: dict[str, Words] = {}
 
-    def __init__(self, logs: dict[bytes, float]):
-        super().__init__(logs)
-        self.others: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> float:
-        self.others.append(word)
-        return 0.0
+def _words(name: str, tokenizer: str, known: list[bytes]) -> Words:
+    if name not in _met:
+        _met.clear()
+        _met[name] = Words(subwords(tokenizer), known)
+    return _met[name]
 
 
 def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[bytes, int]], floor: int, ends: int | None) -> DataFrame:
@@ -437,34 +516,36 @@ def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[byt
 
     floor: what counts are divided by; ends: how many training texts there are, None for no training words at all.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    name = uuid.uuid4().hex
+    known = [(bytes(w), c) for w, c in words if w != END]
+    shared = docs.sparkSession.sparkContext.broadcast(([w for w, _ in known], np.array([c for _, c in known], np.int64)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = subwords(tokenizer)
-        logs = _Logs({w: math.log10((c + 1) / floor) for w, c in shared.value})
+        listed, counts = shared.value
+        words, cut, first = _words(name, tokenizer, listed), subwords(tokenizer), len(listed)
+        logs = np.log10((counts + 1) / floor)
         row = TaskContext.get().partitionId() << 36
-        end = (1, logs[END]) if END in logs else (int(ends is not None), math.log10(((ends or 0) + 1) / floor))
-        short = cut.size <= 1 << 16
+        end = math.log10(((ends or 0) + 1) / floor)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                known, sums, n, others, often, ends_at, ids = [], [], [], [], [], [0], []
-                for text in part.column("text"):
-                    text = text.as_py()
-                    said = words_of(text)
-                    logs.others.clear()
-                    sums.append(math.fsum(map(logs.__getitem__, said)) + end[1])
-                    n.append(len(said) + 1)
-                    known.append(len(said) - len(logs.others) + end[0])
-                    missing = Counter(logs.others)
-                    others.extend(missing)
-                    often.extend(missing.values())
-                    ends_at.append(len(others))
-                    raw = cut.encode(text)
-                    ids.append(np.frombuffer(raw, "<u4").astype("<u2").tobytes() if short else raw)
-                rest = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(often, pa.int64())], ["word", "n"]))
+                texts = part.column("text").to_pylist()
+                said = [words_of(text) for text in texts]
+                n = np.array(list(map(len, said)))
+                numbers, text = words.of(said), np.repeat(np.arange(len(said)), n)
+                old = numbers < first
+                sums = np.bincount(text[old], logs[numbers[old]], len(said)) + end
+                known = np.bincount(text[old], minlength=len(said)) + (ends is not None)
+                others, often = np.unique(text[~old] << 32 | numbers[~old], return_counts=True)
+                stops = np.searchsorted(others >> 32, np.arange(len(said) + 1))
+                others = list(map(words.word, (others & 0xFFFFFFFF).tolist()))
+                rest = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(often, pa.int64())], ["word", "n"]))
+                plain = np.array([cut.plain(text or "") for text in texts], bool)
+                flat, lengths = words.ids(numbers[plain[text]])
+                stops = np.concatenate([[0], np.cumsum(np.bincount(text[plain[text]], lengths, len(said)).astype(np.int64))])
+                ids = [flat[stops[i] : stops[i + 1]] if plain[i] else np.frombuffer(cut.encode(texts[i]), "<u4").astype(flat.dtype) for i in range(len(said))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array(ids, pa.binary())],
+                    [pa.array(range(row, row + part.num_rows), pa.int64()), part.column("doc_id"), part.column("learned"), pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), rest, pa.array([x.tobytes() for x in ids], pa.binary())],
                     ["row", "doc_id", "learned", "n", "known", "sum", "rest", "ids"],
                 )
                 row += part.num_rows
@@ -481,12 +562,12 @@ def modelled(encoded: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFra
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, flat = shared.value
         model = Model(vocab, flat)
-        tables = model.tables()
+        table = model.table()
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 ids = [numbers(x.as_py(), vocab.end) for x in part.column("ids")]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model.log_scores(ids, tables), pa.float64())], [*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(model.log_scores(ids, table), pa.float64())], [*kept, "score"])
 
     return encoded.select(*kept, "ids").mapInArrow(task, "row long, doc_id long, learned boolean, n long, known long, sum double, score double")
 

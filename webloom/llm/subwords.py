@@ -8,7 +8,9 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable
-from functools import lru_cache
+from functools import cached_property, lru_cache
+
+import numpy as np
 
 #: White space on which the tokenizer never joins: its pre-tokenizer splits there too.
 _chunks = re.compile(r"[^ \t\n\r\x0b\x0c]+").findall
@@ -22,7 +24,10 @@ def _class(kind: str) -> str:
 
 
 #: The tokenizer's pre-tokenizer, over Latin letters (L) and numbers (N).
-_runs = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+").findall
+_run = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\\s{_class('L')}{_class('N')}]+")
+_runs = _run.findall
+#: What ends a run, where many are cut at once; plain words don't hold it.
+_END = "\x01"
 
 
 def _byte_letters() -> list[str]:
@@ -79,6 +84,61 @@ class Subwords:
             return b"".join(map(self.words.__getitem__, text.lower().split()))
         return b"".join(map(self.chunks.__getitem__, _chunks(text)))
 
+    def plain(self, text: str) -> bool:
+        """Whether a text's words, in lower case, may go to many()."""
+        return self.latin and _special not in text and not _other(text)
+
+    def many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain, lower-case words one after the other, and how many each has. Nothing is kept."""
+        if not words:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        if self.merges is None:
+            ids = [self._word(w) for w in words]
+            return np.frombuffer(b"".join(ids), "<u4"), np.array([len(x) // 4 for x in ids])
+        # most words are letters, or letters and a mark
+        runs = [w if w.isalpha() else f"{w[:-1]}{_END}{w[-1]}" if w[:-1].isalpha() else _END.join(_runs(w)) for w in words]
+        ids = self.merges.encode_to_numpy(f"{_END} ".join(runs) + f"{_END} ", disallowed_special=())
+        ends = ids == self.blank
+        places = np.flatnonzero(ends)
+        return ids[~ends], np.diff(places, prepend=-1) - 1
+
+    @cached_property
+    def merges(self):
+        """The tokenizer's merges in tiktoken, or None where they would not be the same there.
+
+        tiktoken joins whichever neighbours make up a known piece, the tokenizer only pairs that it lists. The two agree where each
+        piece is made in one way, of pieces that are known before it, and the order of ids is the order of merges.
+        The end of a word is a byte of its own that joins first.
+        """
+        try:
+            import tiktoken
+        except ImportError:
+            return None
+        model = json.loads(self.tokenizer.to_str())["model"]
+        vocab, pairs = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        suffix = model.get("end_of_word_suffix")
+        if not self.latin or not suffix or any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "ignore_merges")):
+            return None
+        made = [vocab[a + b] for a, b in pairs]
+        single = [vocab.get(x) for x in self.letters] + [vocab.get(x + suffix) for x in self.letters]
+        if None in single or any(a >= b for a, b in zip([max(single), *made], made)) or len(vocab) != len(made) + len(single) or any(max(vocab[a], vocab[b]) >= m for (a, b), m in zip(pairs, made)):
+            return None
+        byte = {x: i for i, x in enumerate(self.letters)}
+        ranks = {}
+        for piece, i in vocab.items():
+            last = len(piece) > len(suffix) and piece.endswith(suffix)
+            raw = bytes(map(byte.__getitem__, piece.removesuffix(suffix) if last else piece))
+            if raw == _END.encode() or _END.encode() not in raw:
+                if (raw := raw + _END.encode() * last) in ranks:
+                    return None
+                ranks[raw] = i
+        return tiktoken.Encoding("merges", pat_str=f"[^{_END} ]+{_END}| ", mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def blank(self) -> int:
+        """The id of a blank alone, which no word holds."""
+        return self.tokenizer.get_vocab()[self.letters[0x20]]
+
     def _word(self, word: str) -> bytes:
         runs = _runs(word)
         return self._run(word) if len(runs) == 1 else b"".join(map(self.runs.__getitem__, runs))
