@@ -4,7 +4,7 @@ The base needs every training word's count. Counts are combined per task and sum
 enough for at most `hot` of them to be so go to the tasks as a table of that proven size, and each text's other words are
 joined with the counts by word, so no vocabulary passes through the driver and no frequent word meets in one task.
 
-Each text is cut into subwords once; its ids are stored and read by all later passes. The first counts, for every id, what
+Each text is cut into subwords once, by words that a task has numbered, each cut when it is first met; its ids are stored and read by all later passes. The first counts, for every id, what
 stands before it: `buckets` numbers an id, by a hash of the id before, summed over all training texts. They are of the
 tokenizer's size, whatever the input's, so the driver gets them. From them come the classes of the output: the most
 frequent ids are classes of their own, and the others are clustered by what stands before them (k-means on square roots of
@@ -105,9 +105,9 @@ class Vocabulary:
         return int(self.row.max()) + 1
 
 
-def numbers(raw: bytes, size: int) -> np.ndarray:
+def numbers(raw: bytes, size: int, kind: type = np.int64) -> np.ndarray:
     """Ids from their stored bytes: two each where the tokenizer has at most 65,536 ids, else four."""
-    return np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4").astype(np.int64)
+    return np.frombuffer(raw, "<u2" if size <= 1 << 16 else "<u4").astype(kind)
 
 
 def contexts(ids: DataFrame, size: int, buckets: int = 64) -> np.ndarray:
@@ -115,27 +115,26 @@ def contexts(ids: DataFrame, size: int, buckets: int = 64) -> np.ndarray:
     names = [f"b{i}" for i in range(buckets)]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size + 1) * buckets, np.int64)
-        bucket = (np.arange(size + 2) * 2654435761 % 2**32 >> 7) % buckets
+        total = np.zeros((size + 2) * buckets, np.int64)  # the last row: the start, which follows nothing
+        bucket = ((np.arange(size + 2) * 2654435761 % 2**32 >> 7) % buckets).astype(np.int32)
         held: list[np.ndarray] = []
-        n = 0
+        first, last, n = np.array([size + 1], np.int32), np.array([size], np.int32), 0
 
         def add() -> None:
             x = np.concatenate(held)
-            follows = x[1:] < size + 1  # the start follows nothing
-            total[:] += np.bincount(x[1:][follows] * buckets + bucket.take(x[:-1][follows]), minlength=len(total))
+            total[:] += np.bincount(x[1:] * np.int32(buckets) + bucket.take(x[:-1]), minlength=len(total))
             held.clear()
 
         for batch in batches:
             for raw in batch.column(0):
-                held += [[size + 1], numbers(raw.as_py(), size), [size]]
+                held += [first, numbers(raw.as_py(), size, np.int32), last]
                 n += len(held[-2])
                 if n > 4_000_000:
                     add()
                     n = 0
         if held:
             add()
-        table = total.reshape(-1, buckets)
+        table = total.reshape(-1, buckets)[:-1]
         at = np.flatnonzero(table.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(table[at, i]) for i in range(buckets))], ["id", *names])
 
@@ -225,10 +224,8 @@ class Model:
         first = rows.shape[1] - q.shape[1]
         s = np.matmul(q, k.transpose(0, 2, 1), out=self.space("s", *q.shape[:2], rows.shape[1]))
         s += (self.p["d"][self.back] + self.later)[first:]
-        pads = rows == self.pad
-        if pads.any():
-            at = np.flatnonzero(pads.any(1))
-            s[at] += np.where(pads[at], _FAR, np.float32(0))[:, None, :]
+        window, place = np.divmod(np.flatnonzero(rows == self.pad), rows.shape[1])
+        s[window, :, place] = _FAR
         if s.max() > 60:
             s -= s.max(2, keepdims=True)
         np.exp(s, out=s)
@@ -321,7 +318,7 @@ class Model:
         chances = cells.take(at) * one / total
         # the odds' slopes are z * scale * share
         cells[at] -= total / one
-        share = on / (np.float32(max(1, int(on.sum()))) * total)
+        share = on / (np.float32(max(1, np.count_nonzero(on))) * total)
         go, gb = (h * share[:, None]).T @ z * scale, share @ z * scale
         dx = z @ (p["o"] * scale).T
         dx *= share[:, None]
@@ -338,7 +335,7 @@ class Model:
         dkv = dkv.reshape(-1, 2 * WIDTH)
         dq = np.matmul(ds, k).reshape(-1, WIDTH)
         gkv = flat.T @ dkv
-        gd = np.bincount(self.back[first:].ravel(), (ds.sum(0) * (self.later[first:] == 0)).ravel(), self.window)
+        gd = np.bincount(self.back[first:].ravel(), (np.ones(n, np.float32) @ ds.reshape(n, -1)) * (self.later[first:] == 0).ravel(), self.window)
         g = np.concatenate([(own.reshape(-1, WIDTH).T @ dq).ravel(), gkv[:, :WIDTH].ravel(), gkv[:, WIDTH:].ravel(), gd.astype(np.float32), go.ravel(), gb])
         de = (dkv @ both.T).reshape(e.shape)
         dx += (dq @ p["q"].T).reshape(dx.shape)
@@ -482,14 +479,11 @@ class Words:
             self.start = np.concatenate([self.start, np.zeros(more, np.int64)])
         return out
 
-    def word(self, number: int) -> bytes:
-        return self.numbers.words[number]
-
     def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subword ids of plain words one after the other, and how many each word has."""
         new = np.unique(numbers[self.length[numbers] < 0])
         if len(new):
-            ids, n = self.cut.many([self.word(i).decode().lower() for i in new.tolist()])
+            ids, n = self.cut.many([self.numbers.words[i].decode().lower() for i in new.tolist()])
             self.length[new], self.start[new] = n, self.filled + np.cumsum(n) - n
             if self.filled + len(ids) > len(self.pool):
                 self.pool = np.concatenate([self.pool[: self.filled], np.empty(len(self.pool) + len(ids), self.pool.dtype)])
@@ -538,7 +532,7 @@ def encode(docs: DataFrame, train_on: str, tokenizer: str, words: list[tuple[byt
                 known = np.bincount(text[old], minlength=len(said)) + (ends is not None)
                 others, often = np.unique(text[~old] << 32 | numbers[~old], return_counts=True)
                 stops = np.searchsorted(others >> 32, np.arange(len(said) + 1))
-                others = list(map(words.word, (others & 0xFFFFFFFF).tolist()))
+                others = list(map(words.numbers.words.__getitem__, (others & 0xFFFFFFFF).tolist()))
                 rest = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(often, pa.int64())], ["word", "n"]))
                 plain = np.array([cut.plain(text or "") for text in texts], bool)
                 flat, lengths = words.ids(numbers[plain[text]])
