@@ -3,6 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from webloom.operators import markup
+from webloom.plans import markup_queries
 
 
 def test_malformed_markup():
@@ -46,3 +47,11 @@ def test_images_and_posts(spark):
     assert markup.profiles(dom).filter("page_id = 1").first().avatar == "http://h.net/av.jpg?x"
     assert {(r.page_id, r.target, r.pos) for r in markup.links(dom).collect()} == {(1, "http://h.net/p", 0)}
     assert markup.scanned(spark.createDataFrame([], "page_id long, url string, html string")).select(F.size("dom.links")).count() == 0
+
+
+def test_all_posts_of_a_page(spark, tmp_path):
+    """The query has every post of a page, as its SQL, and not those among the first 25 only."""
+    articles = "".join(f"<article>The post of the page numbered {n}</article>" for n in range(40)) + "<article>short</article>"
+    spark.createDataFrame([(1, "http://h.net/", articles), (2, "http://h.net/2", "<article>RT @x a repost of some length</article>" * 30 + "<article>Behind thirty reposts a post</article>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in markup_queries.page_posts(spark, str(tmp_path)).collect())
+    assert got == [(1, n, f"The post of the page numbered {n}") for n in range(40)] + [(2, 0, "Behind thirty reposts a post")]

@@ -48,7 +48,7 @@ def page_links_dom(spark, d):
 
 @query
 def page_posts(spark, d):
-    return markup.posts(markup.scanned(table(spark, d, "pages"))).select("page_id", F.col("pos").cast("long").alias("pos"), "text")
+    return markup.posts(markup.scanned(table(spark, d, "pages")), None).select("page_id", F.col("pos").cast("long").alias("pos"), "text")
 
 
 @query
@@ -63,7 +63,7 @@ def order_profiles(spark, d):
 
 @query
 def order_mentions(spark, d):
-    posts = markup.posts(markup.scanned(order_pages(spark, d)))
+    posts = markup.posts(markup.scanned(order_pages(spark, d)), None)
     return posts.select(F.explode("mentions").alias("name"), F.size("hashtags").cast("long").alias("n_tags")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tags").alias("n_tags"))
 
 
