@@ -41,3 +41,14 @@ def test_content(spark):
     got = {(r.page_id, r.origin, r.text) for r in embedded.content(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {(1, "embedded", "embedded post"), (2, "description", "A page about it"), (3, "full_text", 'first\nline "quoted"')}
     assert embedded.content(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_content_has_all_posts(spark):
+    """More than twenty full texts and 25 posts by markup, long ones too, all count."""
+    full = " ".join(json.dumps({"full_text": f"full text {n} \n"}) for n in range(45)) + json.dumps({"full_text": "long \n" * 50_000})
+    posts = "".join(f"<div class=post>Post {n} by its markup</div>" for n in range(60))
+    rows = [(1, "http://p.net/", f"<p>{full}</p>{posts}"), (2, "http://p.net/2", "x" + full + '{"reposted": true}')]
+    got = [tuple(r) for r in embedded.content(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    want = [(1, "full_text", f"full text {n} \n", "http://p.net/") for n in range(45)] + [(1, "full_text", "long \n" * 50_000, "http://p.net/")]
+    want += [(1, "markup", f"Post {n} by its markup", "http://p.net/") for n in range(60)]
+    assert sorted(got) == sorted(want)

@@ -17,7 +17,7 @@ from . import facets, markup
 
 #: The data's types, and the full text of a post as it stands in scripts.
 LINKED, PLAIN = "application/ld+json", "application/json"
-FULL_TEXT = r'"full_text"\s*:\s*"((?:\\.|[^"\\])*)"'
+FULL_TEXT = r'"full_text"\s*:\s*"((?:\\.|[^"\\])*+)"'
 IMAGE_FILE = r"(?i)\.(?:jpg|jpeg|png|webp)"
 
 
@@ -69,11 +69,12 @@ def images(nodes: DataFrame, id_col: str = "page_id") -> DataFrame:
     return nodes.filter("image is not null").select(id_col, "block", F.explode("owners").alias("o"), "image", "alt").select(id_col, "block", "o.path", "image", "alt", F.col("o.link").alias("post"))
 
 
-def full_texts(pages: DataFrame, most: int = 20, id_col: str = "page_id") -> DataFrame:
-    """(id, pos, text): the first `most` full texts of posts in a page's source, unescaped, without reposts; a mark anywhere in the page makes all of them reposts."""
-    found = F.slice(F.regexp_extract_all("html", F.lit(FULL_TEXT), F.lit(1)), 1, most)
-    rows = pages.select(id_col, "html", F.posexplode(found).alias("pos", "raw")).withColumn("text", facets.unescaped(F.col("raw")))
-    return rows.filter(facets.is_own(F.col("text"), F.col("html"))).select(id_col, "pos", "text")
+def full_texts(pages: DataFrame, most: int | None = None, id_col: str = "page_id") -> DataFrame:
+    """(id, pos, text): all full texts of posts in a page's source, or its first `most`, unescaped, without reposts; a mark anywhere in the page makes all of them reposts."""
+    found = F.regexp_extract_all("html", F.lit(FULL_TEXT), F.lit(1))
+    own = pages.filter(F.contains("html", F.lit('"full_text"')) & facets.is_own(F.lit(None), F.col("html")))
+    rows = own.select(id_col, F.posexplode(found if most is None else F.slice(found, 1, most)).alias("pos", "raw")).withColumn("text", facets.unescaped(F.col("raw")))
+    return rows.filter(facets.is_own(F.col("text"), F.lit(None))).select(id_col, "pos", "text")
 
 
 def content(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -82,6 +83,6 @@ def content(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     told = posts(walked(blocks(dom, id_col), id_col), id_col).select(id_col, F.lit("embedded").alias("origin"), "text", "link")
     page = pages.select(id_col, F.col("url").alias("link"))
     full = full_texts(pages, id_col=id_col).join(page, id_col).select(id_col, F.lit("full_text").alias("origin"), "text", "link")
-    own = markup.posts(dom, id_col=id_col).join(page, id_col).select(id_col, F.when(F.col("described"), "description").otherwise("markup").alias("origin"), "text", "link")
+    own = markup.posts(dom, None, id_col).join(page, id_col).select(id_col, F.when(F.col("described"), "description").otherwise("markup").alias("origin"), "text", "link")
     found = told.unionByName(full)
     return found.unionByName(own.filter("origin = 'markup'")).unionByName(own.filter("origin = 'description'").join(found.select(id_col).distinct(), id_col, "left_anti"))
