@@ -55,3 +55,9 @@ def test_all_posts_of_a_page(spark, tmp_path):
     spark.createDataFrame([(1, "http://h.net/", articles), (2, "http://h.net/2", "<article>RT @x a repost of some length</article>" * 30 + "<article>Behind thirty reposts a post</article>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(tuple(r) for r in markup_queries.page_posts(spark, str(tmp_path)).collect())
     assert got == [(1, n, f"The post of the page numbered {n}") for n in range(40)] + [(2, 0, "Behind thirty reposts a post")]
+
+
+def test_scripts_alone(spark, sf):
+    odd = ["<a title='<script>x</script>'>y<script>1</script>", "<!-- <script>a</script> --><SCRIPT type=x>b</Script ><script>", "<p><style><script>a</script></style><script type='t'>c", "<title><script>q</script></title><scripty>z</scripty><script/>x</script> <b", "x<script>1</script>", None]
+    for page in odd + [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]:
+        assert markup.scripts(page) == markup.scan(page)["scripts"]

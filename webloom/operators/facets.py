@@ -5,6 +5,7 @@ Patterns stand in their plain form; `bounded` makes a word boundary that of ASCI
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -128,11 +129,22 @@ def repost_reason(text: Column, html: Column) -> Column:
     return F.coalesce(*(F.when(both.rlike("(?i)" + bounded(p)), F.lit(p)) for p in REPOSTS))
 
 
+#: A mark of a repost holds one of these words; the marks as one pattern.
+REPOST_WORDS = ("rt @", "retweet", "repost", "shared ", "via @")
+_REPOST = re.compile("|".join(REPOSTS), re.I | re.A)
+
+
+def has_mark(text: str) -> bool:
+    """Whether a text has a mark of a repost, for code within tasks: what repost_reason() finds."""
+    low = text.lower()
+    return any(w in low for w in REPOST_WORDS) and bool(_REPOST.search(text))
+
+
 def is_own(text: Column, html: Column) -> Column:
     """Whether a post has no mark of a repost: all marks hold one of a few words, which most posts do not have."""
     both = F.concat_ws("\n", F.coalesce(text, F.lit("")), F.coalesce(html, F.lit("")))
     low = F.lower(both)
-    marked = reduce(lambda a, w: a | low.contains(w), ("retweet", "repost", "shared ", "via @"), low.contains("rt @"))
+    marked = reduce(lambda a, w: a | low.contains(w), REPOST_WORDS[1:], low.contains(REPOST_WORDS[0]))
     return ~marked | repost_reason(text, html).isNull()
 
 

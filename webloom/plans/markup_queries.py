@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import embedded, markup
-from ..sources.tables import kept, spread, table
+from ..sources.tables import kept, table
 
 QUERIES = {}
 
@@ -17,22 +17,25 @@ def query(f):
 
 def order_pages(spark, d):
     """(page_id, url, html): each order as a post with its lines as posts within, each with a picture, and once more as markup."""
-    lines = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("page_id"),
-        F.col("l_linenumber").alias("n"),
-        F.format_string("Line %d is part %d", "l_linenumber", "l_partkey").alias("text"),
-        F.format_string("https://shop.net/o/%d/%d", "l_orderkey", "l_linenumber").alias("permalink"),
-        F.array(F.struct(F.format_string("https://img.net/%d.jpg", "l_partkey").alias("display_url"), F.col("l_returnflag").alias("alt_text"))).alias("media"),
-        F.format_string('<li><a href="../part/%d">Part<img src=/i/%d.png alt="part %d"></a>', "l_partkey", "l_partkey", "l_partkey").alias("shown"),
-    )
-    inner = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", "text", "permalink", "media", "shown"))).alias("lines"))
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), "o_custkey", "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"))
-    rows = spread(orders.join(inner, "page_id", "left")).withColumn("url", F.format_string("https://shop.net/o/%d", "page_id"))
-    told = F.format_string("Order %d of customer %d #c%d", "page_id", "o_custkey", "o_custkey")
-    items = F.transform("lines", lambda x: F.struct(x["text"], x["permalink"], x["media"]))
-    data = F.to_json(F.struct(F.lit("SocialMediaPosting").alias("@type"), told.alias("description"), "url", "created_at", F.struct(items.alias("lines")).alias("content")))
-    markup_ = F.concat(F.lit("<article><p>"), told, F.lit(" by @clerk_"), F.substring("o_orderpriority", 1, 1), F.lit(".<ul>"), F.array_join(F.transform("lines", lambda x: x["shown"]), ""), F.lit("</article>"))
-    html = F.concat(F.lit("<h1>Order</h1><meta property=og:title content='Shop &amp; order'><script type='application/ld+json'>"), data, F.lit("</script>"), F.coalesce(markup_, F.lit("")))
+    whole = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # what is shuffled are numbers, once; texts are written behind, in as many tasks
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("n"), whole("l_partkey"), "l_returnflag").repartition(tasks, "page_id")
+    inner = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("n", F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("flag")))).alias("lines"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), whole("o_custkey"), "o_orderpriority", F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at")).repartition(tasks, "page_id")
+    order, join = F.coalesce(F.col("page_id").cast("string"), F.lit("null")), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    rows = orders.join(inner, "page_id", "left").withColumn("url", join("https://shop.net/o/", order))
+    told = join("Order ", order, " of customer ", F.col("o_custkey"), " #c", F.col("o_custkey"))
+
+    def item(x):
+        n = F.coalesce(x["n"].cast("string"), F.lit("null"))
+        media = F.array(F.struct(join("https://img.net/", x["part"], ".jpg").alias("display_url"), x["flag"].alias("alt_text")))
+        return F.struct(join("Line ", n, " is part ", x["part"]).alias("text"), join("https://shop.net/o/", order, "/", n).alias("permalink"), media.alias("media"))
+
+    shown = F.transform("lines", lambda x: join('<li><a href="../part/', x["part"], '">Part<img src=/i/', x["part"], '.png alt="part ', x["part"], '"></a>'))
+    data = F.to_json(F.struct(F.lit("SocialMediaPosting").alias("@type"), told.alias("description"), "url", "created_at", F.struct(F.transform("lines", item).alias("lines")).alias("content")))
+    markup_ = join("<article><p>", told, " by @clerk_", F.substring("o_orderpriority", 1, 1), ".<ul>", F.array_join(shown, ""), "</article>")
+    html = join("<h1>Order</h1><meta property=og:title content='Shop &amp; order'><script type='application/ld+json'>", data, "</script>", F.coalesce(markup_, F.lit("")))
     return rows.select("page_id", "url", html.alias("html"))
 
 
@@ -53,7 +56,8 @@ def page_posts(spark, d):
 
 @query
 def order_images(spark, d):
-    return markup.images(kept(markup.scanned(order_pages(spark, d)))).select("page_id", F.col("pos").cast("long").alias("pos"), "image", "post", "alt")
+    pages = markup.scanned(order_pages(spark, d), ddl="images array<struct<src string, alt string, link string>>, metas array<struct<name string, content string>>")
+    return markup.images(kept(pages)).select("page_id", F.col("pos").cast("long").alias("pos"), "image", "post", "alt")
 
 
 @query
@@ -67,18 +71,14 @@ def order_mentions(spark, d):
     return posts.select(F.explode("mentions").alias("name"), F.size("hashtags").cast("long").alias("n_tags")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tags").alias("n_tags"))
 
 
-def _walked(spark, d):
-    return embedded.walked(embedded.blocks(kept(markup.scanned(order_pages(spark, d)))))
-
-
 @query
 def embedded_posts(spark, d):
-    return embedded.posts(_walked(spark, d)).select("page_id", "text", "link", "published", F.array_join("hashtags", ",").alias("hashtags"))
+    return embedded.posts(embedded.read(order_pages(spark, d))).select("page_id", "text", "link", "published", F.array_join("hashtags", ",").alias("hashtags"))
 
 
 @query
 def embedded_images(spark, d):
-    return embedded.images(_walked(spark, d)).select("page_id", "image", "alt", "post")
+    return embedded.images(embedded.read(order_pages(spark, d))).select("page_id", "image", "alt", "post")
 
 
 @query
